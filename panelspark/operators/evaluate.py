@@ -171,15 +171,17 @@ def buy_hold(bars: DataFrame, start: str | None = None, end: str | None = None,
     return ends.withColumn("cagr", F.when(years > 0, F.pow("growth", 1 / F.nullif(years, F.lit(0.0))) - 1))
 
 
-def sweep_summary(ledger: DataFrame, null_means: DataFrame | None = None, fold: str = "fold",
-                  level: str = "cost_bps") -> DataFrame:
-    """Stitched curve statistics per cost level plus means of the per-fold ones."""
-    stitched = summarize(ledger.drop("turnover", "n"), [level]).withColumnRenamed("sharpe", "stitched_sharpe")
-    folds = summarize(ledger, [level, fold]).groupBy(level).agg(
+def sweep_summary(ledger: DataFrame, levels: Sequence[str] = ("cost_bps",), fold: str = "fold",
+                  null_means: DataFrame | None = None) -> DataFrame:
+    """Stitched curve statistics per level, means of the per-fold ones, mean net and,
+    if given, the null's mean per level."""
+    levels = list(levels)
+    stitched = summarize(ledger.select(*levels, "d0", "net"), levels).withColumnRenamed("sharpe", "stitched_sharpe")
+    folds = summarize(ledger, [*levels, fold]).groupBy(*levels).agg(
         F.avg("sharpe").alias("sharpe_mean"), F.avg("cagr").alias("fold_cagr_mean"))
-    net = ledger.groupBy(level).agg(F.avg("net").alias("avg_net"))
-    out = stitched.join(folds, level).join(net, level)
-    return out if null_means is None else out.join(null_means, level, "left")
+    net = ledger.groupBy(*levels).agg(F.avg("net").alias("avg_net"))
+    out = stitched.join(folds, levels).join(net, levels)
+    return out if null_means is None else out.join(null_means, levels, "left")
 
 
 def grade_summary(grades: DataFrame) -> DataFrame:

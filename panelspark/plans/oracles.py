@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 
 def _needs(text: str, seen: dict[str, str]) -> None:
     for name in CTES:
-        if name not in seen and re.search(rf"\b{name}\b", text):
+        if name not in seen and re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text):
             _needs(CTES[name], seen)
             seen[name] = CTES[name]
 
@@ -150,3 +150,344 @@ def rebased(source: str, keys: str) -> str:
 
 
 SQL["momentum_summary"] = query(summary_sql(rebased("mo_half", "half"), ("half",), FULL))
+
+
+# ---- features, labels, folds, scores ------------------------------------------------
+FEATURES = ["ret_1", "ret_5", "ret_20", "mom_20", "vol_20", "range", "range_20", "vol_chg", "rsi_14", "ma10_gap", "ma50_gap"]
+
+
+def roll(fn: str, col: str, n: int, need: int | None = None, part: str = "ticker", order: str = '"Date"') -> str:
+    head = f"PARTITION BY {part} " if part else ""
+    w = f"OVER ({head}ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({col}) {w} >= {n if need is None else need} THEN {fn}({col}) {w} END"
+
+
+def feature_ctes(name: str, source: str) -> None:
+    CTES[f"{name}_base"] = f"""SELECT *, ln("Close") - ln(lag("Close", 1) OVER w) AS ret_1, ln("Close") - ln(lag("Close", 5) OVER w) AS ret_5,
+      ln("Close") - ln(lag("Close", 20) OVER w) AS ret_20, "Close" / lag("Close", 20) OVER w - 1 AS mom_20,
+      ("High" - "Low") / lag("Close", 1) OVER w AS range,
+      CASE WHEN lag("Close", 1) OVER w IS NOT NULL THEN greatest("Close" - lag("Close", 1) OVER w, 0) END AS up,
+      CASE WHEN lag("Close", 1) OVER w IS NOT NULL THEN greatest(lag("Close", 1) OVER w - "Close", 0) END AS down
+      FROM {source} WINDOW w AS (PARTITION BY ticker ORDER BY "Date")"""
+    CTES[name] = f"""SELECT ticker, "Date", "Close", ret_1, ret_5, ret_20, mom_20, {roll('stddev_samp', 'ret_1', 20)} AS vol_20,
+      range, {roll('avg', 'range', 20)} AS range_20, "Volume" / ({roll('avg', '"Volume"', 20)}) - 1 AS vol_chg,
+      100 - 100 / (1 + ({roll('avg', 'up', 14)}) / nullif({roll('avg', 'down', 14)}, 0)) AS rsi_14,
+      "Close" / ({roll('avg', '"Close"', 10)}) - 1 AS ma10_gap, "Close" / ({roll('avg', '"Close"', 50)}) - 1 AS ma50_gap
+      FROM {name}_base"""
+
+
+feature_ctes("feat", "allbars")
+CTES["mktf"] = """SELECT "Date", "Close" AS mkt, ln(lead("Close", 20) OVER (ORDER BY "Date") / "Close") AS mkt_fwd FROM mkt"""
+CTES["lab0"] = """SELECT f.*, m.mkt, m.mkt_fwd, f.fwd_ret - m.mkt_fwd AS excess FROM (
+    SELECT *, ln(lead("Close", 20) OVER (PARTITION BY ticker ORDER BY "Date") / "Close") AS fwd_ret,
+      lead("Date", 20) OVER (PARTITION BY ticker ORDER BY "Date") AS label_end FROM feat) f LEFT JOIN mktf m USING ("Date")"""
+CTES["panel"] = f"""SELECT *, CASE WHEN pct >= 0.8::DOUBLE THEN 1.0::DOUBLE ELSE 0 END AS label FROM (
+    SELECT *, (rank() OVER (PARTITION BY "Date" ORDER BY excess) + (count(*) OVER (PARTITION BY "Date", excess) - 1) / 2.0::DOUBLE)
+      / count(excess) OVER (PARTITION BY "Date") AS pct FROM lab0)
+    WHERE excess IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}"""
+CTES["fcal"] = """SELECT cast(k AS BIGINT) AS fold, cast(a + cast(180 * k AS INT) AS DATE) AS train_start,
+      cast(a + 1095 + cast(180 * k AS INT) AS DATE) AS val_start, cast(a + 1275 + cast(180 * k AS INT) AS DATE) AS test_start,
+      cast(a + 1455 + cast(180 * k AS INT) AS DATE) AS test_end
+    FROM (SELECT min("Date") AS a, max("Date") AS b FROM panel), generate_series(0, 200) g(k)
+    WHERE a + 1095 + cast(180 * k AS INT) + 360 <= b"""
+CTES["assigned"] = """SELECT p.*, f.fold, f.val_start, f.test_start, r.role FROM panel p
+    JOIN fcal f ON p."Date" >= f.train_start AND p."Date" < f.test_end
+    JOIN (VALUES ('train'), ('val'), ('test')) r(role) ON CASE r.role WHEN 'train' THEN p."Date" < f.val_start
+      WHEN 'val' THEN p."Date" >= f.val_start AND p."Date" < f.test_start ELSE p."Date" >= f.test_start END"""
+CTES["purged"] = """SELECT * FROM assigned WHERE role = 'test' OR (role = 'train' AND label_end < val_start - 20)
+    OR (role = 'val' AND label_end < test_start - 20)"""
+CTES["purged_old"] = """SELECT * FROM assigned WHERE role <> 'train' OR "Date" < val_start - 20"""
+
+
+def unit(prefix: str) -> str:
+    return (f"cast(('0x' || substr(md5('{prefix}|' || ticker || '|' || strftime(\"Date\", '%Y-%m-%d')), 1, 6))::INT AS DOUBLE)"
+            " / 16777216.0::DOUBLE")
+
+
+CTES["scores"] = f"""SELECT arm, fold, ticker, "Date", "Close", label,
+      CASE arm WHEN 'legacy' THEN p1 ELSE 0.8::DOUBLE * p1 + 0.2::DOUBLE * p2 END AS proba
+    FROM (SELECT *, {unit('legacy')} AS p1, {unit('other')} AS p2 FROM assigned WHERE role = 'test') t,
+      (VALUES ('legacy'), ('corrected')) a(arm)"""
+CTES["cands"] = """SELECT s.* EXCLUDE ("Date"), s."Date" AS d0, m.month FROM scores s JOIN (
+      SELECT arm, fold, cast(date_trunc('month', "Date") AS DATE) AS month, max("Date") AS d0 FROM scores GROUP BY ALL) m
+    ON s.arm = m.arm AND s.fold = m.fold AND s."Date" = m.d0"""
+CTES["scal"] = """SELECT arm, fold, "Date", row_number() OVER (PARTITION BY arm, fold ORDER BY "Date") AS ord,
+      count(*) OVER (PARTITION BY arm, fold) AS last_ord FROM (SELECT DISTINCT arm, fold, "Date" FROM scores)"""
+CTES["spx"] = """SELECT s.arm, s.fold, s.ticker, s."Date", s."Close" AS p, c.ord FROM scores s
+    JOIN scal c ON s.arm = c.arm AND s.fold = c.fold AND s."Date" = c."Date" """
+
+SQL["features"] = query('SELECT ticker, "Date", round("Close", 6) AS "Close", ' + ", ".join(
+    f"round({c}, 6) AS {c}" for c in FEATURES if c != "rsi_14") + " FROM feat")
+SQL["rsi"] = query('SELECT ticker, "Date", round(rsi_14, 6) AS rsi_14 FROM feat WHERE rsi_14 IS NOT NULL')
+SQL["labels"] = query("""SELECT ticker, "Date", round(fwd_ret, 6) AS fwd_ret, round(mkt_fwd, 6) AS mkt_fwd,
+  round(excess, 6) AS excess, label_end, label FROM panel""")
+feature_ctes("feat_own", "bars")
+SQL["latest_slice"] = query('SELECT ticker, "Date", round("Close", 6) AS "Close", ' + ", ".join(
+    f"round({c}, 6) AS {c}" for c in FEATURES) + f""" FROM feat_own WHERE "Date" = (SELECT max("Date") FROM bars)
+    AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}""")
+SQL["vintage"] = query("""WITH e AS (SELECT ticker, max("Date") AS last_date FROM bars GROUP BY 1)
+  SELECT ticker, last_date, (SELECT count(*) FROM e) AS symbols,
+    (SELECT date_diff('day', min(last_date), max(last_date)) FROM e) AS span_days,
+    (SELECT date_diff('day', min(last_date), max(last_date)) FROM e) <= 7 AS ok
+  FROM e ORDER BY last_date, ticker LIMIT 5""".replace("WITH e AS", "SELECT * FROM (WITH e AS") + ")")
+SQL["panel_coverage"] = query("""SELECT fold, role, count(*) AS rows, count(DISTINCT "Date") AS dates,
+  count(DISTINCT ticker) AS tickers, min("Date") AS first_date, max("Date") AS last_date FROM purged GROUP BY 1, 2""")
+CTES["cal"] = """SELECT "Date", row_number() OVER (ORDER BY "Date") AS ord, count(*) OVER () AS last_ord
+  FROM (SELECT DISTINCT "Date" FROM bars)"""
+
+
+def vol_cte(source: str, keys: str, kind: str) -> str:
+    """Regime volatility over ``source`` (keys, ticker, "Date", ord, p)."""
+    k = f"{keys}, " if keys else ""
+    step = "ln(p / lag(p) OVER w)" if kind == "log" else "p / lag(p) OVER w - 1"
+    return f"""SELECT {k}"Date", uret, ({roll('stddev_samp', 'uret', 60, 20, keys)}) * sqrt(252) AS uvol FROM (
+      SELECT {k}"Date", avg(r) AS uret FROM (
+        SELECT {k}"Date", CASE WHEN lag(ord) OVER w = ord - 1 THEN {step} END AS r FROM {source}
+        WINDOW w AS (PARTITION BY {k}ticker ORDER BY ord)) GROUP BY {k}"Date") WHERE uret IS NOT NULL"""
+
+
+CTES["px"] = 'SELECT b.ticker, b."Date", b."Close" AS p, c.ord FROM bars b JOIN cal c USING ("Date")'
+CTES["uvol_simple"] = vol_cte("px", "", "simple")
+CTES["uvol_log"] = vol_cte("px", "", "log")
+SQL["universe_vol"] = query("""SELECT s."Date", round(s.uret, 6) AS uret, round(s.uvol, 6) AS uvol, round(l.uvol, 6) AS uvol_log
+  FROM uvol_simple s JOIN uvol_log l USING ("Date")""")
+CTES["dv"] = f"""SELECT ticker, "Date", coalesce({roll('avg', '("Close" * "Volume")', 20)}, 0) AS dv FROM allbars"""
+CTES["tvol"] = f"""SELECT ticker, "Date", ({roll('stddev_samp', 'ret_1', 20)}) * sqrt(252) AS vol FROM feat_base"""
+SQL["trailing_risk"] = query("""SELECT ticker, "Date", round(dv, 4) AS dv, round(vol, 6) AS vol FROM dv JOIN tvol USING (ticker, "Date")""")
+CTES["trend"] = """SELECT ticker, "Date", p, sma, p > sma AS above FROM (
+    SELECT ticker, "Date", ord, p, avg(p) OVER (PARTITION BY ticker ORDER BY ord RANGE BETWEEN 209 PRECEDING AND CURRENT ROW) AS sma
+    FROM px) WHERE ord >= 215"""
+SQL["trend_signal"] = query("""SELECT ticker, "Date", round(p, 6) AS "Close", round(sma, 6) AS sma, above FROM trend""")
+SQL["fold_calendar"] = query("SELECT * FROM fcal")
+for _n, _src in (("fold_assign_purged", "purged"), ("fold_assign_legacy", "purged_old")):
+    SQL[_n] = query(f"""SELECT fold, role, ticker, "Date", label_end FROM {_src} WHERE fold IN (
+      SELECT fold FROM {_src} GROUP BY fold HAVING count(*) FILTER (WHERE role = 'train') > 500
+        AND count(*) FILTER (WHERE role = 'val') > 100 AND count(*) FILTER (WHERE role = 'test') > 100)""")
+SQL["trailing_split"] = query("""SELECT role, ticker, "Date" FROM (SELECT *, CASE WHEN "Date" >= b - 180 THEN 'val'
+    WHEN "Date" >= b - 180 - 1095 AND label_end < b - 180 - 20 THEN 'train' END AS role
+  FROM panel, (SELECT max("Date") AS b FROM panel)) WHERE role IS NOT NULL""")
+SQL["scored_folds"] = query("""SELECT arm, fold, ticker, "Date", round("Close", 6) AS "Close", label, round(proba, 6) AS proba FROM scores""")
+
+# ---- filings ------------------------------------------------------------------------
+CTES["rawf"] = """SELECT cast(o_orderdate AS DATE) AS filing_dt, cast(o_orderdate AS DATE) - 2 AS trade_dt,
+    concat('T', lpad(cast(c_nationkey AS VARCHAR), 2, '0')) AS ticker, cast(o_custkey AS VARCHAR) AS insider,
+    CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CEO' WHEN '2' THEN 'CFO' WHEN '3' THEN 'Dir' WHEN '4' THEN 'VP' ELSE 'COO' END AS title,
+    CASE o_orderstatus WHEN 'P' THEN 'P - Purchase' WHEN 'F' THEN 'S - Sale' END AS ttype,
+    cast(cast(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS value
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('P', 'F')"""
+CTES["fil"] = """SELECT * EXCLUDE (rn) FROM (SELECT *, substr(ttype, 1, 1) AS side, 1.5::DOUBLE AS price, 1000.0::DOUBLE AS qty,
+    CASE WHEN ttype LIKE 'P%' THEN abs(value) ELSE -abs(value) END AS sval,
+    row_number() OVER (PARTITION BY filing_dt, trade_dt, ticker, insider, substr(ttype, 1, 1)
+      ORDER BY title, ttype, value) AS rn FROM rawf) WHERE rn = 1"""
+SQL["clean_filings"] = query("""SELECT filing_dt, trade_dt, ticker, insider, side, qty, price, title, ttype, value, sval FROM fil""")
+CTES["mfil"] = """SELECT ticker, cast(date_trunc('month', filing_dt) AS DATE) AS month, count(*) FILTER (WHERE side = 'P') AS n_buy,
+    count(*) FILTER (WHERE side = 'S') AS n_sell, count(DISTINCT insider) FILTER (WHERE side = 'P') AS buyers,
+    cast(sum(cast(sval AS DECIMAL(20,2))) AS DOUBLE) AS netval FROM fil GROUP BY 1, 2"""
+SQL["monthly_filings"] = query("""SELECT ticker, cast(last_day(month) + 3 AS DATE) AS avail, round(avg(n_buy) OVER w, 6) AS ins_nbuy_3m,
+    round(avg(netval) OVER w, 4) AS ins_netval_3m, round(avg(n_buy / greatest(n_buy + n_sell, 1)) OVER w, 6) AS ins_buy_ratio_3m,
+    cast(CASE WHEN buyers >= 3 THEN 1 ELSE 0 END AS BIGINT) AS ins_cluster_buy FROM mfil
+  WINDOW w AS (PARTITION BY ticker ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+CTES["convb"] = """SELECT * FROM (SELECT *, lag(filing_dt) OVER (PARTITION BY ticker, insider ORDER BY filing_dt, sval) AS prev FROM fil
+    WHERE side = 'P' AND title IN ('CEO', 'CFO', 'COO') AND sval > 50000) WHERE prev IS NULL OR filing_dt - prev > 365"""
+SQL["conviction_buys"] = query("SELECT ticker, insider, filing_dt, sval FROM convb")
+CTES["conv"] = """SELECT s.ticker, cast(last_day(s.month) + 3 AS DATE) AS avail,
+    avg(CASE WHEN c.n > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER w AS ins_conv_3m, avg(coalesce(c.val, 0)) OVER w AS ins_convval_3m
+  FROM (SELECT DISTINCT ticker, cast(date_trunc('month', filing_dt) AS DATE) AS month FROM fil) s
+  LEFT JOIN (SELECT ticker, cast(date_trunc('month', filing_dt) AS DATE) AS month, count(*) AS n,
+      cast(sum(cast(sval AS DECIMAL(20,2))) AS DOUBLE) AS val FROM convb GROUP BY 1, 2) c USING (ticker, month)
+  WINDOW w AS (PARTITION BY s.ticker ORDER BY s.month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""
+SQL["conviction"] = query("""SELECT ticker, avail, round(ins_conv_3m, 6) AS ins_conv_3m, round(ins_convval_3m, 4) AS ins_convval_3m FROM conv""")
+SQL["asof_insider"] = query("""SELECT p.ticker, p."Date", round(coalesce(c.ins_conv_3m, 0), 6) AS ins_conv_3m,
+    round(coalesce(c.ins_convval_3m, 0), 4) AS ins_convval_3m, cast(CASE WHEN c.avail IS NULL THEN 1 ELSE 0 END AS BIGINT) AS ins_missing
+  FROM panel p ASOF LEFT JOIN conv c ON p.ticker = c.ticker AND p."Date" >= c.avail""")
+
+
+# ---- selection ----------------------------------------------------------------------
+def topn(source: str, n: str, where: str, part: str = "arm, fold, d0", order: str = "proba DESC, ticker",
+         cols: str = "arm, fold, d0, ticker, proba") -> str:
+    return f"""SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY {part}) AS weight FROM (
+      SELECT {cols}, row_number() OVER (PARTITION BY {part} ORDER BY {order}) AS rn FROM {source} WHERE {where}) WHERE rn <= {n}"""
+
+
+CTES["pt"] = topn("cands", "10", "proba >= 0.3::DOUBLE")
+SQL["pick_threshold"] = query("SELECT arm, fold, d0, ticker, round(proba, 6) AS proba, rn, round(weight, 6) AS weight FROM pt")
+CTES["gridc"] = """SELECT c.*, v.* FROM cands c JOIN (VALUES ('base', 0.30::DOUBLE, 10), ('gate25', 0.25::DOUBLE, 20),
+    ('gate35', 0.35::DOUBLE, 20), ('gate60', 0.60::DOUBLE, 5), ('top40', 0.25::DOUBLE, 40)) v(variant, gate, names) ON proba >= gate"""
+CTES["gridb"] = topn("gridc", "names", "1=1", "arm, fold, variant, d0", cols="arm, fold, variant, d0, ticker, proba, names")
+SQL["pick_variants"] = query("SELECT arm, fold, variant, d0, ticker, round(weight, 6) AS weight FROM gridb")
+CTES["fvol"] = vol_cte("spx", "arm, fold", "simple")
+CTES["rexp"] = """SELECT q.arm, q.fold, q.d0, CASE WHEN v.uvol > 0 THEN least(1.0::DOUBLE, 0.2::DOUBLE / v.uvol) ELSE 1 END AS exposure
+  FROM (SELECT arm, fold, d0 FROM cands WHERE proba >= 0.25::DOUBLE GROUP BY ALL HAVING count(*) >= 5) q
+  ASOF LEFT JOIN fvol v ON q.arm = v.arm AND q.fold = v.fold AND q.d0 >= v."Date" """
+CTES["rtop"] = topn("cands", "20", "proba >= 0.25::DOUBLE")
+CTES["rbook"] = """SELECT t.* EXCLUDE (weight), e.exposure, t.weight * e.exposure AS weight FROM rtop t JOIN rexp e USING (arm, fold, d0)"""
+SQL["pick_risk"] = query("SELECT arm, fold, d0, ticker, round(exposure, 6) AS exposure, round(weight, 6) AS weight FROM rbook")
+CTES["lsw"] = topn("cands", "5", "proba <= 1 - 0.3::DOUBLE", order="proba, ticker DESC")
+CTES["lsl"] = topn("cands", "5", "proba >= 0.3::DOUBLE")
+CTES["lsb"] = """SELECT arm, fold, d0, ticker, proba, 0.5::DOUBLE * side / count(*) OVER (PARTITION BY arm, fold, d0, side) AS weight FROM (
+    SELECT arm, fold, d0, ticker, proba, -1 AS side FROM lsw UNION ALL
+    SELECT arm, fold, d0, ticker, proba, 1 FROM lsl WHERE (arm, fold, d0, ticker) NOT IN (SELECT (arm, fold, d0, ticker) FROM lsw))
+  QUALIFY count(DISTINCT side) OVER (PARTITION BY arm, fold, d0) = 2"""
+SQL["pick_long_short"] = query("SELECT arm, fold, d0, ticker, round(proba, 6) AS proba, round(weight, 6) AS weight FROM lsb")
+CTES["acal"] = """SELECT "Date", row_number() OVER (ORDER BY "Date") AS ord, count(*) OVER () AS last_ord
+  FROM (SELECT DISTINCT "Date" FROM allbars)"""
+CTES["apx"] = """SELECT b.ticker, b."Date", b."Close" AS p, c.ord FROM allbars b JOIN acal c USING ("Date")"""
+CTES["dmom"] = """SELECT d.d0, r.ticker, r.p / b.p - 1 AS mom FROM (SELECT DISTINCT d0 FROM cands) d JOIN acal c ON d.d0 = c."Date"
+  JOIN apx r ON r.ord = c.ord - 20 JOIN apx b ON b.ord = c.ord - 251 AND b.ticker = r.ticker WHERE c.ord >= 252"""
+
+
+def pct_rank_sql(value: str, part: str) -> str:
+    return (f"(rank() OVER (PARTITION BY {part} ORDER BY {value}) + (count(*) OVER (PARTITION BY {part}, {value}) - 1) / 2.0::DOUBLE)"
+            f" / count(*) OVER (PARTITION BY {part})")
+
+
+CTES["dmomr"] = f"SELECT d0, ticker, {pct_rank_sql('mom', 'd0')} AS mom_rank FROM dmom"
+CTES["mlr"] = f"SELECT arm, fold, d0, ticker, proba, {pct_rank_sql('proba', 'arm, fold, d0')} AS ml_rank FROM cands"
+
+
+def blend_cte(w: float, fill: str | None) -> str:
+    mr = f"coalesce(g.mom_rank, {fill}::DOUBLE)" if fill else "g.mom_rank"
+    return f"""SELECT *, {w}::DOUBLE * ml_rank + {1 - w}::DOUBLE * mom_rank AS score FROM (
+      SELECT m.*, {mr} AS mom_rank FROM mlr m {'LEFT JOIN' if fill else 'JOIN'} dmomr g USING (d0, ticker))"""
+
+
+CTES["bl25"] = blend_cte(0.25, None)
+CTES["bl50"] = blend_cte(0.5, None)
+CTES["bl50f"] = blend_cte(0.5, "0.5")
+CTES["bl0"] = blend_cte(0.0, None)
+SQL["blend_scores"] = query("""SELECT arm, fold, d0, ticker, round(proba, 6) AS proba, round(ml_rank, 6) AS ml_rank,
+  round(mom_rank, 6) AS mom_rank, round(score, 6) AS score FROM bl25""")
+BLC = dict(order="score DESC, ticker", cols="arm, fold, d0, ticker, score")
+CTES["blb"] = topn("bl50f", "8", "1=1", **BLC)
+CTES["conb"] = topn("bl50", "20", "ml_rank >= 0.6::DOUBLE AND mom_rank >= 0.6::DOUBLE", **BLC)
+for _n, _c in (("pick_blend", "blb"), ("pick_consensus", "conb")):
+    SQL[_n] = query(f"SELECT arm, fold, d0, ticker, round(score, 6) AS score, rn, round(weight, 6) AS weight FROM {_c}")
+CTES["liqc"] = """SELECT c.* FROM cands c JOIN dv v ON c.ticker = v.ticker AND c.d0 = v."Date" WHERE v.dv >= 60000"""
+CTES["liqb"] = topn("liqc", "10", "proba >= 0.3::DOUBLE")
+SQL["pick_liquid"] = query("SELECT arm, fold, d0, ticker, round(proba, 6) AS proba, rn, round(weight, 6) AS weight FROM liqb")
+
+
+def inverse_vol_cte(book: str) -> str:
+    return f"""SELECT arm, fold, d0, ticker, vol, CASE WHEN sum(inv) OVER w > 0 THEN sum(weight) OVER w * inv / sum(inv) OVER w
+      ELSE weight END AS weight FROM (SELECT b.*, v.vol, CASE WHEN v.vol > 0 THEN 1 / v.vol ELSE 0 END AS inv
+        FROM {book} b LEFT JOIN tvol v ON b.ticker = v.ticker AND b.d0 = v."Date") WINDOW w AS (PARTITION BY arm, fold, d0)"""
+
+
+CTES["ivb"] = inverse_vol_cte("rtop")
+SQL["weight_inverse_vol"] = query("SELECT arm, fold, d0, ticker, round(vol, 6) AS vol, round(weight, 6) AS weight FROM ivb")
+CTES["stf"] = topn("cands", "5", "proba >= 0.3::DOUBLE", cols="arm, fold, d0, month, ticker, proba")
+CTES["sth"] = """SELECT d.arm, d.fold, d.d0, f.ticker, min((f.d0, f.rn)) AS first FROM (SELECT DISTINCT arm, fold, d0 FROM cands) d
+  JOIN stf f ON d.arm = f.arm AND d.fold = f.fold AND f.d0 < d.d0 GROUP BY ALL HAVING d.d0 - max(f.d0) < 40"""
+CTES["stb"] = """SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY arm, fold, d0) AS weight FROM (
+    SELECT *, row_number() OVER (PARTITION BY arm, fold, d0 ORDER BY fresh, first) AS rn FROM (
+      SELECT arm, fold, d0, ticker, 0 AS fresh, first FROM sth UNION ALL
+      SELECT arm, fold, d0, ticker, 1, (d0, rn) FROM stf WHERE (arm, fold, d0, ticker) NOT IN (SELECT (arm, fold, d0, ticker) FROM sth)))
+  WHERE rn <= 5"""
+SQL["pick_sticky"] = query("SELECT arm, fold, d0, ticker, cast(fresh AS BIGINT) AS fresh, rn, round(weight, 6) AS weight FROM stb")
+CTES["tmon"] = """SELECT max("Date") AS d0, max(ord) AS ord, row_number() OVER (ORDER BY date_trunc('month', "Date")) - 1 AS i
+  FROM cal GROUP BY date_trunc('month', "Date")"""
+CTES["tbook"] = """SELECT m.d0, t.ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY m.d0) AS weight FROM tmon m
+  JOIN tmon s ON s.i = m.i - m.i % 3 JOIN trend t ON t."Date" = s.d0 AND t.above WHERE m.ord >= 215"""
+CTES["tdec"] = "SELECT d0 FROM tmon WHERE ord >= 215"
+SQL["pick_trend"] = query("SELECT d0, ticker, round(weight, 6) AS weight FROM tbook")
+SQL["liquid_universe"] = query("""SELECT * FROM (SELECT "Date" AS d0, ticker, round("Close" * "Volume", 6) AS dv, row_number() OVER (
+  PARTITION BY "Date" ORDER BY "Close" * "Volume" DESC, ticker) AS rn FROM bars WHERE "Close" > 5 AND "Close" * "Volume" > 30000) WHERE rn <= 10""")
+CTES["wliq"] = """SELECT * FROM (SELECT "Date" AS d0, ticker, row_number() OVER (PARTITION BY "Date" ORDER BY "Close" * "Volume" DESC, ticker) AS rn
+  FROM wbars WHERE "Close" > 5 AND "Close" * "Volume" > 100000) WHERE rn <= 20"""
+CTES["wown"] = """SELECT "Date" AS d0, ticker, CASE WHEN row_number() OVER w >= 52 THEN lag("Close", 3) OVER w / lag("Close", 51) OVER w - 1 END AS mom
+  FROM wbars WINDOW w AS (PARTITION BY ticker ORDER BY "Date")"""
+SQL["pick_momentum_topk"] = query("""SELECT d0, ticker, round(mom, 6) AS mom, round(1.0::DOUBLE / count(*) OVER (PARTITION BY d0), 6) AS weight FROM (
+  SELECT o.*, row_number() OVER (PARTITION BY d0 ORDER BY mom DESC, ticker) AS rn, count(*) OVER (PARTITION BY d0) AS total
+  FROM wown o JOIN wdec USING (d0) JOIN wliq USING (d0, ticker) WHERE mom IS NOT NULL)
+  WHERE total >= 5 AND rn <= greatest(5, floor(total * 0.1::DOUBLE) + 1)""")
+SQL["pick_momentum_score"] = query("""SELECT d0, ticker, round(mom, 6) AS mom, round(1.0::DOUBLE / count(*) OVER (PARTITION BY d0), 6) AS weight FROM (
+  SELECT x.*, c.total, row_number() OVER (PARTITION BY x.d0 ORDER BY x.mom DESC, x.ticker) AS place FROM wmom x JOIN wcut c ON x.d0 = c.d0
+  WHERE x.mom >= c.cut) WHERE place <= greatest(5, floor(total * 0.1::DOUBLE) + 1)""")
+SQL["pick_momentum_live"] = query("""SELECT d0, ticker, round(mom, 6) AS mom, round(1.0::DOUBLE / n, 6) AS weight FROM (
+  SELECT x.*, count(*) OVER (PARTITION BY x.d0) AS n FROM wmom x JOIN (SELECT d0, quantile_cont(mom, 0.9) AS cut FROM wmom GROUP BY d0) c
+  ON x.d0 = c.d0 WHERE x.mom >= c.cut) WHERE n >= 3""")
+CTES["live"] = f"""SELECT "Date" AS d0, ticker, {unit('live')} AS proba FROM feat_own WHERE "Date" = (SELECT max("Date") FROM bars)
+  AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURES)}"""
+SQL["pick_live"] = query("SELECT d0, ticker, round(proba, 6) AS proba, rn, round(weight, 6) AS weight FROM (" + topn(
+    "live", "20", "proba >= 0.3::DOUBLE", "d0", cols="d0, ticker, proba") + ")")
+SQL["selection_boundary"] = query(f"""SELECT arm, fold, d0, string_agg(ticker, ',' ORDER BY ticker) AS picks,
+  round(CASE WHEN count(*) = 10 THEN greatest(0.25::DOUBLE, min(proba)) ELSE 0.25::DOUBLE END, 6) AS boundary
+  FROM ({topn("cands", "10", "proba >= 0.25::DOUBLE")}) GROUP BY 1, 2, 3""")
+
+# ---- ledger -------------------------------------------------------------------------
+KEYS = ("arm", "fold")
+COLS8 = ", ".join(f"round({c}, 8) AS {c}" for c in ("gross", "turnover", "cost", "net", "equity", "drawdown"))
+FOLD = dict(decisions="cands", px="spx", cal="scal", keys=KEYS, grid=KEYS)
+FULLPX = dict(decisions="cands", px="apx", cal="acal", keys=KEYS, grid=())
+ledger_ctes("lb", "pt", **FOLD)
+ledger_ctes("lst", "pt", stop=0.95, **FOLD)
+ledger_ctes("lls", "lsb", stop=0.95, borrow=0.05, **FOLD)
+ledger_ctes("lr", "rbook", stop=0.95, cost=25.0, **FOLD)
+ledger_ctes("lh", "rtop", stop=0.95, cost=25.0, horizon=10, missing="survivors", **FOLD)
+ledger_ctes("lk", "stb", cost=25.0, horizon=21, missing="survivors", **FULLPX)
+ledger_ctes("lt", "tbook", decisions="tdec", px="px", cal="cal", cost=10.0, horizon=21, missing="survivors")
+CTES["rk_top"] = topn("bl25", "5", "1=1", **BLC)
+CTES["rk_book"] = inverse_vol_cte("rk_top")
+ledger_ctes("lrk", "rk_book", stop=0.95, cost=25.0, **FULLPX)
+CTES["ctl_book"] = topn("bl0", "5", "1=1", **BLC)
+ledger_ctes("lc", "ctl_book", stop=0.95, cost=25.0, **FULLPX)
+CTES["ptshort"] = "SELECT * REPLACE (-weight AS weight) FROM pt"
+ledger_ctes("lsh", "ptshort", stop=0.95, **FOLD)
+
+SQL["turnover"] = query("""SELECT n.arm, n.fold, n.d0, n.m, round(coalesce(t.turnover, 0), 8) AS turnover
+  FROM lb_num n LEFT JOIN lb_turn t USING (arm, fold, m)""")
+SQL["legs_stop"] = query("SELECT arm, fold, ticker, d0, round(ret, 8) AS ret FROM lst_legs")
+SQL["legs_short"] = query("SELECT arm, fold, ticker, d0, round(ret, 8) AS ret FROM lsh_legs")
+for _n, _c in (("ledger_base", "lb"), ("ledger_ls", "lls"), ("ledger_risk", "lr"), ("ledger_hold10", "lh"),
+               ("ledger_sticky", "lk"), ("ledger_rank", "lrk")):
+    SQL[_n] = query(f"SELECT arm, fold, d0, m, n, {COLS8} FROM {_c}_eq")
+SQL["ledger_trend"] = query(f"SELECT d0, m, n, {COLS8} FROM lt_eq")
+SQL["ledger_summary"] = query(summary_sql("lb_eq", KEYS, FULL))
+CTES["ens"] = "SELECT a.arm, a.fold, a.d0, (a.net + b.net) / 2 AS net FROM lr_led a JOIN lc_led b USING (arm, fold, d0)"
+SQL["ensemble"] = query(f"""SELECT arm, fold, d0, round(net, 8) AS net, round(equity, 8) AS equity,
+  round(drawdown, 8) AS drawdown FROM {rebased('ens', 'arm, fold')}""")
+CTES["avol"] = vol_cte("apx", "", "log")
+CTES["calm"] = """SELECT l.arm, l.fold, l.d0, v.uvol, CASE WHEN v.uvol > 0.25::DOUBLE THEN 0 ELSE l.net END AS net
+  FROM lr_led l ASOF LEFT JOIN avol v ON l.d0 >= v."Date" """
+SQL["calm_only"] = query(f"""SELECT arm, fold, d0, round(uvol, 8) AS uvol, round(net, 8) AS net, round(equity, 8) AS equity
+  FROM {rebased('calm', 'arm, fold')}""")
+CTES["brk"] = """SELECT n.arm, n.fold, n.d0, n.m AS i, coalesce(g.gross, 0) AS gross0, p.pairs FROM lr_num n
+  LEFT JOIN lr_gross g USING (arm, fold, d0) LEFT JOIN (
+    SELECT coalesce(a.arm, b.arm) AS arm, coalesce(a.fold, b.fold) AS fold, coalesce(a.m, b.m) AS m,
+      list({'a': coalesce(b.weight, 0), 'b': coalesce(a.weight, 0)} ORDER BY coalesce(a.ticker, b.ticker)) AS pairs
+    FROM (SELECT arm, fold, m, ticker, weight FROM lr_bk) a FULL JOIN (SELECT arm, fold, m + 1 AS m, ticker, weight FROM lr_bk) b
+      ON a.arm = b.arm AND a.fold = b.fold AND a.m = b.m AND a.ticker = b.ticker GROUP BY 1, 2, 3) p
+    ON n.arm = p.arm AND n.fold = p.fold AND n.m = p.m"""
+SQL["brake_ledger"] = query("""SELECT arm, fold, cost_bps, d0, f AS exposure, round(gross, 8) AS gross, round(turnover, 8) AS turnover,
+    round(net, 8) AS net, round(equity, 8) AS equity, round(equity / peak - 1, 8) AS drawdown FROM path WHERE i > 0""", recursive="""path AS (
+  SELECT arm, fold, cost_bps, 0::BIGINT AS i, NULL::DATE AS d0, 0.0::DOUBLE AS f, 0.0::DOUBLE AS gross, 0.0::DOUBLE AS turnover,
+    0.0::DOUBLE AS net, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak
+  FROM (SELECT DISTINCT arm, fold FROM brk), (VALUES (5.0::DOUBLE), (25.0::DOUBLE)) c(cost_bps)
+  UNION ALL
+  SELECT arm, fold, cost_bps, i, d0, f, gross, turnover, net, e0 * (1 + net) AS equity, greatest(p0, e0 * (1 + net)) AS peak FROM (
+    SELECT *, gross - turnover * cost_bps / 10000 AS net FROM (
+      SELECT *, gross0 * f AS gross, 0.5::DOUBLE * coalesce(list_sum(list_transform(pairs, lambda x: abs(f * x.b - f0 * x.a))), 0) AS turnover FROM (
+        SELECT b.*, p.cost_bps, p.equity AS e0, p.peak AS p0, p.f AS f0,
+          CASE WHEN p.equity / p.peak - 1 < -0.02::DOUBLE THEN 0.5::DOUBLE ELSE 1 END AS f
+        FROM path p JOIN brk b ON p.arm = b.arm AND p.fold = b.fold AND b.i = p.i + 1))))""")
+CTES["sweep"] = """SELECT l.* REPLACE (gross - turnover * c / 10000 AS net), c AS cost_bps FROM lb_led l,
+  (VALUES (0.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (25.0::DOUBLE), (50.0::DOUBLE)) v(c)"""
+CTES["sweep_all"] = summary_sql(rebased("sweep", "arm, cost_bps"), ("arm", "cost_bps"))
+CTES["sweep_fold"] = """SELECT arm, cost_bps, avg(s) AS sharpe_mean, avg(g) AS fold_cagr_mean FROM (
+    SELECT arm, cost_bps, fold, avg(net) / (stddev_samp(net) + 1e-12) * sqrt(12) AS s,
+      pow(product(1 + net), 12.0::DOUBLE / count(*)) - 1 AS g FROM sweep GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+CTES["sweep_net"] = "SELECT arm, cost_bps, avg(net) AS avg_net FROM sweep GROUP BY 1, 2"
+SQL["cost_sweep"] = query("""SELECT arm, cost_bps, months, equity_end, sharpe AS stitched_sharpe, max_dd, cagr,
+  round(sharpe_mean, 6) AS sharpe_mean, round(fold_cagr_mean, 6) AS fold_cagr_mean, round(avg_net, 6) AS avg_net
+  FROM sweep_all JOIN sweep_fold USING (arm, cost_bps) JOIN sweep_net USING (arm, cost_bps)""")
+CTES["nb"] = """SELECT arm, fold, trial, d0, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY arm, fold, trial, d0) AS weight FROM (
+    SELECT arm, fold, trial, d0, ticker, row_number() OVER (PARTITION BY arm, fold, trial, d0
+      ORDER BY md5(concat_ws('|', '0', trial, strftime(d0, '%Y-%m-%d'), ticker)), ticker) AS rn
+    FROM cands, range(50) r(trial) WHERE arm = 'legacy') WHERE rn <= 5"""
+ledger_ctes("ln", "nb", "nb", "spx", "scal", ("arm", "fold", "trial"), KEYS)
+SQL["null_books"] = query("""SELECT arm, fold, count(*) AS trials, round(avg(e), 6) AS null_mean, round(stddev_samp(e), 6) AS null_std,
+  round(quantile_cont(e, 0.05), 6) AS null_p5, round(quantile_cont(e, 0.95), 6) AS null_p95
+  FROM (SELECT arm, fold, trial, product(1 + net) AS e FROM ln_led GROUP BY 1, 2, 3) GROUP BY 1, 2""")
+CTES["mcal"] = 'SELECT "Date", "Close" AS p, row_number() OVER (ORDER BY "Date") AS ord FROM mkt'
+SQL["benchmark_legs"] = query("""SELECT d.d0, round(f.p / s.p - 1, 8) AS bench FROM (SELECT DISTINCT d0 FROM cands) d
+  ASOF JOIN mcal s ON d.d0 >= s."Date" JOIN mcal f ON f.ord = s.ord + 21""")

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import hash_unit
 from panelspark.functions.windows import decision_dates
-from panelspark.operators import evaluate, features, ledger, select
+from panelspark.operators import brake, evaluate, features, folds, labels, ledger, select
 from panelspark.plans.shape import tidy
 from panelspark.session import materialize
-from panelspark.sources import fixtures
+from panelspark.sources import bars as bar_sources
+from panelspark.sources import filings, fixtures
 from panelspark.sources.bars import bars_from_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +70,397 @@ def momentum_ledger(spark, sf):
 def momentum_summary(spark, sf):
     from panelspark.operators.folds import split_halves
     return tidy(evaluate.summarize(split_halves(momentum_rows(spark, sf), "d0"), ["half"]))
+
+
+# ---- features, labels, folds ----------------------------------------------------------
+@register
+def features_(spark, sf):
+    return tidy(features.add_features(fixtures.all_bars(spark, sf)).select(
+        "ticker", "Date", "Close", *[c for c in features.FEATURES if c != "rsi_14"]))
+
+
+QUERIES["features"] = QUERIES.pop("features_")
+
+
+@register
+def rsi(spark, sf):
+    return tidy(features.add_features(fixtures.all_bars(spark, sf)).select("ticker", "Date", "rsi_14").dropna())
+
+
+@register
+def labels_(spark, sf):
+    panel = labels.build_panel(fixtures.all_bars(spark, sf))
+    return tidy(panel.select("ticker", "Date", "fwd_ret", "mkt_fwd", "excess", "label_end", "label"))
+
+
+QUERIES["labels"] = QUERIES.pop("labels_")
+
+
+@register
+def latest_slice(spark, sf):
+    return tidy(labels.build_latest(fixtures.all_bars(spark, sf)))
+
+
+@register
+def vintage(spark, sf):
+    return tidy(bar_sources.vintage(fixtures.bars(spark, sf)))
+
+
+@register
+def panel_coverage(spark, sf):
+    purged = folds.purge(folds.assign_folds(fixtures.panel(spark, sf)))
+    return tidy(bar_sources.coverage(purged, ["fold", "role"]))
+
+
+@register
+def universe_vol(spark, sf):
+    bars = fixtures.bars(spark, sf)
+    log = features.universe_vol(bars, "log").select("Date", F.col("uvol").alias("uvol_log"))
+    return tidy(features.universe_vol(bars).join(log, "Date"))
+
+
+@register
+def trailing_risk(spark, sf):
+    bars = fixtures.all_bars(spark, sf)
+    return tidy(features.trailing_dv(bars).join(features.trailing_vol(bars), ["ticker", "Date"]), dv=4)
+
+
+@register
+def trend_signal(spark, sf):
+    return tidy(features.trend_signal(fixtures.bars(spark, sf)))
+
+
+@register
+def fold_calendar(spark, sf):
+    return tidy(folds.fold_calendar(fixtures.panel(spark, sf)))
+
+
+@register
+def fold_assign_purged(spark, sf):
+    kept = folds.gate_folds(folds.purge(folds.assign_folds(fixtures.panel(spark, sf))))
+    return tidy(kept.select("fold", "role", "ticker", "Date", "label_end"))
+
+
+@register
+def fold_assign_legacy(spark, sf):
+    kept = folds.gate_folds(folds.purge_legacy(folds.assign_folds(fixtures.panel(spark, sf))))
+    return tidy(kept.select("fold", "role", "ticker", "Date", "label_end"))
+
+
+@register
+def trailing_split(spark, sf):
+    return tidy(folds.trailing_split(fixtures.panel(spark, sf)).select("role", "ticker", "Date"))
+
+
+@register
+def scored_folds(spark, sf):
+    return tidy(fixtures.scores(spark, sf))
+
+
+# ---- filings --------------------------------------------------------------------------
+@register
+def clean_filings(spark, sf):
+    return tidy(filings.clean_filings(fixtures.raw_filings(spark, sf)))
+
+
+@register
+def monthly_filings(spark, sf):
+    return tidy(filings.monthly_features(filings.clean_filings(fixtures.raw_filings(spark, sf))), ins_netval_3m=4)
+
+
+@register
+def conviction_buys(spark, sf):
+    return tidy(filings.conviction_buys(filings.clean_filings(fixtures.raw_filings(spark, sf))))
+
+
+@register
+def conviction(spark, sf):
+    return tidy(filings.monthly_conviction(filings.clean_filings(fixtures.raw_filings(spark, sf))), ins_convval_3m=4)
+
+
+@register
+def asof_insider(spark, sf):
+    buckets = filings.monthly_conviction(filings.clean_filings(fixtures.raw_filings(spark, sf)))
+    panel = fixtures.panel(spark, sf).select("ticker", "Date")
+    return tidy(filings.add_insider(panel, buckets), ins_convval_3m=4)
+
+
+# ---- selection ------------------------------------------------------------------------
+KEYS = list(select.KEYS)
+STOP = 0.95  # see FIXTURES 3: the derived prices rarely fall 15 %
+
+
+def cands(spark, sf) -> DataFrame:
+    return select.candidates(fixtures.scores(spark, sf))
+
+
+def fold_vol(spark, sf) -> DataFrame:
+    return features.universe_vol(fixtures.scores(spark, sf), "simple", KEYS)
+
+
+def blended(spark, sf, ml_weight: float, fill: float | None) -> DataFrame:
+    rows = cands(spark, sf)
+    mom = features.formation_momentum(fixtures.all_bars(spark, sf), decisions=rows.select("d0"))
+    return select.blend_scores(rows, materialize(mom), ml_weight, fill)
+
+
+@register
+def pick_threshold(spark, sf):
+    return tidy(select.pick_threshold(cands(spark, sf)))
+
+
+GRID = [
+    {"variant": "base", "gate": 0.30, "names": 10},
+    {"variant": "gate25", "gate": 0.25, "names": 20},
+    {"variant": "gate35", "gate": 0.35, "names": 20},
+    {"variant": "gate60", "gate": 0.60, "names": 5},
+    {"variant": "top40", "gate": 0.25, "names": 40},
+]
+
+
+def grid_books(spark, sf) -> DataFrame:
+    rows = select.variants(cands(spark, sf), GRID)
+    return select.pick_threshold(rows, "gate", "names", [*KEYS, "variant"], most=40)
+
+
+@register
+def pick_variants(spark, sf):
+    return tidy(grid_books(spark, sf).select(*KEYS, "variant", "d0", "ticker", "weight"))
+
+
+def risk_book(spark, sf) -> DataFrame:
+    return select.pick_risk(cands(spark, sf), fold_vol(spark, sf), thresh=0.25, n=20, min_names=5)
+
+
+@register
+def pick_risk(spark, sf):
+    return tidy(risk_book(spark, sf).select(*KEYS, "d0", "ticker", "exposure", "weight"))
+
+
+@register
+def pick_long_short(spark, sf):
+    return tidy(select.pick_long_short(cands(spark, sf), longs=5, shorts=5))
+
+
+@register
+def blend_scores(spark, sf):
+    return tidy(blended(spark, sf, 0.25, None))
+
+
+@register
+def pick_blend(spark, sf):
+    return tidy(select.pick_blend(blended(spark, sf, 0.5, 0.5), 8))
+
+
+@register
+def pick_consensus(spark, sf):
+    return tidy(select.pick_blend(blended(spark, sf, 0.5, None), 20, consensus=0.60))
+
+
+@register
+def pick_liquid(spark, sf):
+    dv = features.trailing_dv(fixtures.all_bars(spark, sf))
+    return tidy(select.pick_threshold(select.pick_liquid(cands(spark, sf), dv, 60_000.0)))
+
+
+@register
+def weight_inverse_vol(spark, sf):
+    book = select.pick_threshold(cands(spark, sf), 0.25, 20)
+    return tidy(select.weight_inverse_vol(book, features.trailing_vol(fixtures.all_bars(spark, sf))).select(
+        *KEYS, "d0", "ticker", "vol", "weight"))
+
+
+@register
+def pick_sticky(spark, sf):
+    return tidy(select.pick_sticky(cands(spark, sf), n=5))
+
+
+def trend_book(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Book and evaluated decisions; months before the first signal are not evaluated."""
+    bars = fixtures.bars(spark, sf)
+    book = select.pick_trend(features.trend_signal(bars), bars, stride=3)
+    dates = decision_dates(bars).select("d0").join(select.evaluated_sessions(bars, 215), "d0", "left_semi")
+    return book, dates
+
+
+@register
+def pick_trend(spark, sf):
+    return tidy(trend_book(spark, sf)[0])
+
+
+@register
+def liquid_universe(spark, sf):
+    return tidy(select.liquid_universe(fixtures.bars(spark, sf), 10, 5.0, 30_000.0).select("d0", "ticker", "dv", "rn"))
+
+
+@register
+def pick_momentum_topk(spark, sf):
+    bars = fixtures.bars(spark, sf, "week")
+    liquid = select.liquid_universe(bars, 20, 5.0, 100_000.0)
+    own = features.own_momentum(bars, LOOKBACK, SKIP).withColumnRenamed("Date", "d0")
+    rows = own.join(F.broadcast(decision_dates(bars).select("d0")), "d0").join(
+        liquid.select("d0", "ticker"), ["d0", "ticker"], "left_semi")
+    return tidy(select.pick_momentum_topk(rows, MIN_NAMES))
+
+
+@register
+def pick_momentum_score(spark, sf):
+    return tidy(momentum_book(fixtures.bars(spark, sf, "week"), "score").select("d0", "ticker", "mom", "weight"))
+
+
+@register
+def pick_momentum_live(spark, sf):
+    return tidy(select.pick_momentum_live(weekly_momentum(fixtures.bars(spark, sf, "week")), min_picks=3))
+
+
+@register
+def pick_live(spark, sf):
+    latest = labels.build_latest(fixtures.all_bars(spark, sf)).select(
+        F.col("Date").alias("d0"), "ticker",
+        hash_unit(F.lit("live"), "ticker", F.date_format("Date", "yyyy-MM-dd")).alias("proba"))
+    return tidy(select.pick_live(latest))
+
+
+@register
+def selection_boundary(spark, sf):
+    return tidy(select.boundary(cands(spark, sf), 0.25, 10).withColumn("picks", F.array_join("picks", ",")))
+
+
+# ---- ledger ---------------------------------------------------------------------------
+LEDGER = ["d0", "m", "n", "gross", "turnover", "cost", "net", "equity", "drawdown"]
+
+
+@register
+def turnover(spark, sf):
+    rows = cands(spark, sf)
+    return tidy(ledger.turnover(select.pick_threshold(rows), rows, KEYS), 8)
+
+
+@register
+def legs_stop(spark, sf):
+    book = select.pick_threshold(cands(spark, sf))
+    return tidy(ledger.leg_returns(book, fixtures.scores(spark, sf), KEYS, stop=STOP), 8)
+
+
+@register
+def legs_short(spark, sf):
+    book = select.pick_threshold(cands(spark, sf))
+    return tidy(ledger.leg_returns(book, fixtures.scores(spark, sf), KEYS, stop=STOP, short=True), 8)
+
+
+def base_ledger(spark, sf) -> DataFrame:
+    rows = cands(spark, sf)
+    return ledger.run_book(select.pick_threshold(rows), rows, fixtures.scores(spark, sf), KEYS, KEYS)
+
+
+@register
+def ledger_base(spark, sf):
+    return tidy(base_ledger(spark, sf).select(*KEYS, *LEDGER), 8)
+
+
+@register
+def ledger_summary(spark, sf):
+    return tidy(evaluate.summarize(base_ledger(spark, sf), KEYS))
+
+
+@register
+def ledger_ls(spark, sf):
+    rows = cands(spark, sf)
+    book = materialize(select.pick_long_short(rows, longs=5, shorts=5))
+    return tidy(ledger.run_book(book, rows, fixtures.scores(spark, sf), KEYS, KEYS, borrow_apr=0.05, stop=STOP,
+                                stop_short=STOP, shorts=True).select(*KEYS, *LEDGER), 8)
+
+
+def risk_ledger(spark, sf) -> DataFrame:
+    book = materialize(risk_book(spark, sf))
+    return ledger.run_book(book, cands(spark, sf), fixtures.scores(spark, sf), KEYS, KEYS, cost_bps=25.0, stop=STOP)
+
+
+@register
+def ledger_risk(spark, sf):
+    return tidy(risk_ledger(spark, sf).select(*KEYS, *LEDGER), 8)
+
+
+@register
+def ledger_hold10(spark, sf):
+    rows = cands(spark, sf)
+    return tidy(ledger.run_book(select.pick_threshold(rows, 0.25, 20), rows, fixtures.scores(spark, sf), KEYS, KEYS,
+                                cost_bps=25.0, horizon=10, stop=STOP, missing="survivors").select(*KEYS, *LEDGER), 8)
+
+
+@register
+def ledger_sticky(spark, sf):
+    rows = cands(spark, sf)
+    return tidy(ledger.run_book(select.pick_sticky(rows, n=5), rows, fixtures.all_bars(spark, sf), KEYS, (),
+                                cost_bps=25.0, horizon=21, missing="survivors").select(*KEYS, *LEDGER), 8)
+
+
+@register
+def ledger_trend(spark, sf):
+    book, dates = trend_book(spark, sf)
+    return tidy(ledger.run_book(materialize(book), dates, fixtures.bars(spark, sf), cost_bps=10.0, horizon=21,
+                                missing="survivors").select(*LEDGER), 8)
+
+
+def control_ledger(spark, sf, ml_weight: float = 0.0, inverse_vol: bool = False) -> DataFrame:
+    """Rank-blend book on the full price grid; weight 0 is the momentum control."""
+    book = select.pick_blend(blended(spark, sf, ml_weight, None), 5)
+    if inverse_vol:
+        book = select.weight_inverse_vol(book, features.trailing_vol(fixtures.all_bars(spark, sf)))
+    return ledger.run_book(materialize(book), cands(spark, sf), fixtures.all_bars(spark, sf), KEYS, (),
+                           cost_bps=25.0, stop=STOP)
+
+
+@register
+def ledger_rank(spark, sf):
+    return tidy(control_ledger(spark, sf, 0.25, True).select(*KEYS, *LEDGER), 8)
+
+
+@register
+def ensemble(spark, sf):
+    mixed = ledger.ensemble(risk_ledger(spark, sf), control_ledger(spark, sf), KEYS)
+    return tidy(ledger.equity_curve(mixed, KEYS).select(*KEYS, "d0", "net", "equity", "drawdown"), 8)
+
+
+@register
+def calm_only(spark, sf):
+    rows = cands(spark, sf)
+    vol = features.universe_vol(fixtures.all_bars(spark, sf), "log").withColumn("_k", F.lit(0))
+    known = select.exposure_at(rows.select("d0").withColumn("_k", F.lit(0)), vol, ["_k"], 0.20).select("d0", "uvol")
+    calm = ledger.calm_only(risk_ledger(spark, sf).select(*KEYS, "d0", "net"), known, limit=CALM)
+    return tidy(ledger.equity_curve(calm, KEYS).select(*KEYS, "d0", "uvol", "net", "equity"), 8)
+
+
+CALM = 0.25
+
+
+@register
+def brake_ledger(spark, sf):
+    book = materialize(risk_book(spark, sf))
+    rows = cands(spark, sf)
+    gross = ledger.gross_returns(book, fixtures.scores(spark, sf), KEYS, KEYS, stop=STOP)
+    return tidy(brake.brake_ledger(book, gross, rows, [5.0, 25.0], KEYS, brake=0.02).select(
+        *KEYS, "cost_bps", "d0", "exposure", "gross", "turnover", "net", "equity", "drawdown"), 8)
+
+
+@register
+def cost_sweep(spark, sf):
+    swept = ledger.cost_sweep(base_ledger(spark, sf), [0, 5, 10, 25, 50], KEYS)
+    return tidy(evaluate.sweep_summary(swept, ["arm", "cost_bps"]))
+
+
+TRIALS = 50
+
+
+@register
+def null_books(spark, sf):
+    rows = materialize(cands(spark, sf).where(F.col("arm") == "legacy"))
+    book = materialize(ledger.null_books(rows, TRIALS, 5))
+    dates = rows.select(*KEYS, "d0").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
+    run = ledger.run_book(book, dates, fixtures.scores(spark, sf), [*KEYS, "trial"], KEYS)
+    return tidy(evaluate.null_summary(evaluate.summarize(run, [*KEYS, "trial"]), KEYS))
+
+
+@register
+def benchmark_legs(spark, sf):
+    return tidy(ledger.benchmark_legs(cands(spark, sf), fixtures.market(spark, sf), 21), 8)
