@@ -491,3 +491,347 @@ SQL["null_books"] = query("""SELECT arm, fold, count(*) AS trials, round(avg(e),
 CTES["mcal"] = 'SELECT "Date", "Close" AS p, row_number() OVER (ORDER BY "Date") AS ord FROM mkt'
 SQL["benchmark_legs"] = query("""SELECT d.d0, round(f.p / s.p - 1, 8) AS bench FROM (SELECT DISTINCT d0 FROM cands) d
   ASOF JOIN mcal s ON d.d0 >= s."Date" JOIN mcal f ON f.ord = s.ord + 21""")
+
+
+# ---- evaluation and stability -------------------------------------------------------
+SQL["auc_by_fold"] = query("""SELECT arm, fold, count(*) AS rows, count(*) FILTER (WHERE label = 1) AS positives,
+  round((sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0::DOUBLE)
+    / nullif(count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0), 0), 6) AS auc
+  FROM (SELECT *, rank() OVER (PARTITION BY arm, fold ORDER BY proba)
+    + (count(*) OVER (PARTITION BY arm, fold, proba) - 1) / 2.0::DOUBLE AS r FROM scores) GROUP BY 1, 2""")
+CTES["common"] = """SELECT a."Date", a.ticker, a."Close" AS cl, b."Close" AS cr, a.label AS ll, b.label AS lr, a.proba AS pl, b.proba AS pr
+  FROM scores a JOIN scores b ON a."Date" = b."Date" AND a.ticker = b.ticker WHERE a.arm = 'legacy' AND b.arm = 'corrected'"""
+
+
+def avg_rank(value: str, part: str) -> str:
+    p, v = (f"PARTITION BY {part} ", f"PARTITION BY {part}, {value}") if part else ("", f"PARTITION BY {value}")
+    return f"(rank() OVER ({p}ORDER BY {value}) + (count(*) OVER ({v}) - 1) / 2.0::DOUBLE)"
+
+
+SQL["score_compare"] = query(f"""SELECT count(*) AS rows, round(avg(CASE WHEN ll = lr THEN 1.0::DOUBLE ELSE 0 END), 6) AS label_match,
+  round(max(abs(cl / cr - 1)), 6) AS close_max_diff, round(corr(pl, pr), 6) AS pearson, round(corr(a, b), 6) AS spearman,
+  round(avg(abs(pl - pr)), 6) AS mean_abs_diff, round(quantile_cont(abs(cl / cr - 1), 0.5), 6) AS close_gap
+  FROM (SELECT *, {avg_rank('pl', '')} AS a, {avg_rank('pr', '')} AS b FROM common)""")
+SQL["spearman_by_date"] = query(f"""SELECT "Date", count(*) AS rows, round(corr(a, b), 6) AS spearman
+  FROM (SELECT *, {avg_rank('pl', '"Date"')} AS a, {avg_rank('pr', '"Date"')} AS b FROM common) GROUP BY 1""")
+
+
+def arm_picks(source: str, col: str, n: int) -> str:
+    return f"""SELECT d0, list(ticker ORDER BY ticker) AS picks,
+      CASE WHEN count(*) = {n} THEN greatest(0.25::DOUBLE, min({col})) ELSE 0.25::DOUBLE END AS bound FROM (
+        SELECT *, row_number() OVER (PARTITION BY d0 ORDER BY {col} DESC, ticker) AS rn FROM {source} WHERE {col} >= 0.25::DOUBLE)
+      WHERE rn <= {n} GROUP BY d0"""
+
+
+def chosen(source: str, n: int) -> str:
+    return f"""SELECT s.d0, coalesce(l.picks, []) AS lp, coalesce(r.picks, []) AS rp, coalesce(l.bound, 0.25::DOUBLE) AS lb,
+      coalesce(r.bound, 0.25::DOUBLE) AS rb FROM (SELECT DISTINCT d0 FROM {source}) s
+      LEFT JOIN ({arm_picks(source, 'pl', n)}) l ON s.d0 = l.d0 LEFT JOIN ({arm_picks(source, 'pr', n)}) r ON s.d0 = r.d0"""
+
+
+CTES["cdays"] = 'SELECT *, "Date" AS d0 FROM common'
+CTES["cmonths"] = """SELECT * FROM cdays WHERE "Date" IN (SELECT max("Date") FROM common GROUP BY date_trunc('month', "Date"))"""
+CTES["jday"] = chosen("cdays", 5)
+CTES["jmon"] = chosen("cmonths", 5)
+SIZES = """cast(len(lp) AS BIGINT) AS left_n, cast(len(rp) AS BIGINT) AS right_n,
+  cast(len(list_intersect(lp, rp)) AS BIGINT) AS intersection_n, cast(len(list_distinct(lp || rp)) AS BIGINT) AS union_n"""
+JAC = "len(list_intersect(lp, rp)) / nullif(len(list_distinct(lp || rp)), 0)"
+SQL["jaccard"] = query(f"SELECT d0, {SIZES}, round(coalesce({JAC}, 1.0::DOUBLE), 6) AS jaccard, lp = rp AS exact_match FROM jday")
+CTES["smon"] = f"""SELECT j.d0, {SIZES}, {JAC} AS jaccard, lp = rp AS exact_match, x.rs AS rank_spearman, lb AS left_boundary,
+    rb AS right_boundary, x.mad AS mean_abs_change FROM jmon j JOIN (
+    SELECT d0, corr(a, b) AS rs, avg(abs(pl - pr)) AS mad FROM (
+      SELECT *, {avg_rank('pl', 'd0')} AS a, {avg_rank('pr', 'd0')} AS b FROM cmonths) GROUP BY d0) x ON j.d0 = x.d0"""
+SQL["stability_monthly"] = query("""SELECT d0, left_n, right_n, intersection_n, union_n, round(jaccard, 6) AS jaccard, exact_match,
+  round(rank_spearman, 6) AS rank_spearman, round(left_boundary, 6) AS left_boundary, round(right_boundary, 6) AS right_boundary,
+  round(mean_abs_change, 6) AS mean_abs_change FROM smon""")
+CTES["sdist"] = """SELECT list_contains(lp, ticker) <> list_contains(rp, ticker) AS changed,
+    0.5::DOUBLE * (abs(pl - lb) + abs(pr - rb)) AS dist FROM cmonths JOIN jmon USING (d0)"""
+SQL["stability_distance"] = query("""SELECT b.pos, b.distance_bin, count(s.dist) AS names, count(*) FILTER (WHERE changed) AS changed,
+  round(count(*) FILTER (WHERE changed) / nullif(count(s.dist), 0), 6) AS disagreement_rate
+  FROM (VALUES (0::BIGINT, '0-1 pp', -1::DOUBLE, 0.01::DOUBLE), (1, '1-2 pp', 0.01, 0.02), (2, '2-5 pp', 0.02, 0.05),
+    (3, '5-10 pp', 0.05, 0.1), (4, '>10 pp', 0.1, 9)) b(pos, distance_bin, lo, hi)
+  LEFT JOIN sdist s ON s.dist > b.lo AND s.dist <= b.hi GROUP BY 1, 2""")
+SQL["stability_summary"] = query("""SELECT count(*) AS months, count(jaccard) AS nonempty_months, round(avg(jaccard), 6) AS mean_jaccard,
+  round(quantile_cont(jaccard, 0.5), 6) AS median_jaccard, round(quantile_cont(jaccard, 0.1), 6) AS p10_jaccard,
+  round(quantile_cont(jaccard, 0.9), 6) AS p90_jaccard, count(*) FILTER (WHERE exact_match AND jaccard IS NOT NULL) AS exact_months,
+  round(avg(rank_spearman), 6) AS mean_spearman, round(quantile_cont(rank_spearman, 0.5), 6) AS median_spearman,
+  round(avg(left_n), 6) AS mean_left_n, round(avg(right_n), 6) AS mean_right_n FROM smon""")
+SQL["stability_rolling"] = query(f"""SELECT d0, round(jaccard, 6) AS jaccard, round({roll('avg', 'jaccard', 12, 3, '', 'd0')}, 6) AS rolling FROM smon""")
+
+# ---- trials and statistics ----------------------------------------------------------
+CTES["gridd"] = """SELECT DISTINCT arm, fold, variant, d0 FROM cands, (VALUES ('base'), ('gate25'), ('gate35'), ('gate60'), ('top40')) v(variant)"""
+ledger_ctes("lg", "gridb", "gridd", "spx", "scal", ("arm", "fold", "variant"), KEYS, stop=0.95, cost=25.0)
+CTES["tn"] = """SELECT *, CASE WHEN dense_rank() OVER (ORDER BY fold) <= floor((SELECT count(DISTINCT fold) FROM cands) / 2.0)
+  THEN 'tune' ELSE 'hold' END AS half FROM lg_led"""
+TK = ("arm", "variant", "half")
+CTES["trialt"] = summary_sql(rebased("tn", "arm, variant, half"), TK, FULL)
+SQL["trials"] = query("SELECT * FROM trialt")
+SQL["promotion_gate"] = query("""SELECT arm, variant, sharpe, max_dd, cagr, sharpe > 0 AND max_dd > -0.35 AS passed
+  FROM trialt WHERE half = 'tune'""")
+SQL["best_trial"] = query("""SELECT arm, half, variant, sharpe FROM (SELECT *, row_number() OVER (PARTITION BY arm, half
+  ORDER BY sharpe DESC, variant) AS rn FROM trialt) WHERE rn = 1""")
+CTES["vcand"] = "SELECT a.d0, a.net FROM lr_led a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy'"
+CTES["vctrl"] = "SELECT b.d0, b.net FROM lr_led a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy'"
+
+
+def gate_side(source: str, p: str) -> str:
+    return f"""SELECT count(*) AS {p}_months, pow(product(1 + net), 12.0::DOUBLE / count(*)) - 1 AS {p}_cagr,
+      avg(net) / (stddev_samp(net) + 1e-12) * sqrt(12) AS {p}_sharpe, min(least(drawdown, 0)) AS {p}_max_dd FROM {rebased(source, '')}"""
+
+
+SQL["validation_gate"] = query(f"""SELECT cand_months, round(cand_cagr, 6) AS cand_cagr, round(cand_sharpe, 6) AS cand_sharpe,
+  round(cand_max_dd, 6) AS cand_max_dd, ctrl_months, round(ctrl_cagr, 6) AS ctrl_cagr, round(ctrl_sharpe, 6) AS ctrl_sharpe,
+  round(ctrl_max_dd, 6) AS ctrl_max_dd, cand_cagr > ctrl_cagr AND cand_sharpe > ctrl_sharpe AND cand_max_dd >= ctrl_max_dd - 0.02::DOUBLE AS passed
+  FROM ({gate_side('vcand', 'cand')}), ({gate_side('vctrl', 'ctrl')})""")
+CTES["moments"] = """SELECT arm, variant, half, count(*) AS months, coalesce(avg(net) / nullif(stddev_samp(net), 0), 0) AS sharpe_m,
+    avg(pow(net - mu, 3)) / pow(avg(pow(net - mu, 2)), 1.5) AS skew, avg(pow(net - mu, 4)) / pow(avg(pow(net - mu, 2)), 2) AS kurtosis
+  FROM (SELECT *, avg(net) OVER (PARTITION BY arm, variant, half) AS mu FROM tn) GROUP BY 1, 2, 3"""
+SQL["return_moments"] = query("""SELECT arm, variant, half, months, round(sharpe_m, 6) AS sharpe_m, round(skew, 6) AS skew,
+  round(kurtosis, 6) AS kurtosis FROM moments""")
+
+
+def expected_max(n: int) -> str:
+    """Factor on the deviation of trial Sharpes; normal quantiles as fixed numbers."""
+    import math
+    from statistics import NormalDist
+    q, g = NormalDist().inv_cdf, 0.5772156649015329
+    return repr((1 - g) * q(1 - 1 / n) + g * q(1 - 1 / (n * math.e)))
+
+
+def normal_cdf(z: str) -> str:
+    """Simpson's rule on 2000 intervals."""
+    return f"""(SELECT 0.5::DOUBLE + ({z}) / 6000.0::DOUBLE / sqrt(2 * pi()) * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+      * exp(-pow(({z}) * k / 2000.0::DOUBLE, 2) / 2)) FROM range(2001) r(k))"""
+
+
+CTES["dm"] = "SELECT * FROM moments WHERE arm = 'legacy' AND half = 'tune'"
+CTES["dbest"] = "SELECT variant AS best, sharpe_m AS sharpe, months, skew, kurtosis FROM dm ORDER BY sharpe_m DESC, variant LIMIT 1"
+CTES["dsc"] = f"""SELECT scenario, trials, variance, variance_f * 1.0 AS star_f, b.* FROM dbest b, (
+    SELECT 'formal' AS scenario, 5::BIGINT AS trials, var_samp(sharpe_m) AS variance, {expected_max(5)}::DOUBLE AS variance_f FROM dm UNION ALL
+    SELECT 'formal, variance without base', 5, var_samp(sharpe_m) FILTER (WHERE variant <> 'base'), {expected_max(5)}::DOUBLE FROM dm UNION ALL
+    SELECT 'broad', 38, var_samp(sharpe_m) FILTER (WHERE variant <> 'base'), {expected_max(38)}::DOUBLE FROM dm)"""
+CTES["dz"] = """SELECT *, sqrt(variance) * star_f AS sharpe_star,
+    sharpe * sqrt(months - 1) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)) AS z0,
+    (sharpe - sqrt(variance) * star_f) * sqrt(months - 1) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)) AS z1 FROM dsc"""
+SQL["deflated_sharpe"] = query(f"""SELECT scenario, trials, round(variance, 6) AS variance, best, round(sharpe, 6) AS sharpe, months,
+  round(skew, 6) AS skew, round(kurtosis, 6) AS kurtosis, round(sharpe_star, 6) AS sharpe_star, round({normal_cdf('dz.z0')}, 6) AS psr0,
+  round({normal_cdf('dz.z1')}, 6) AS dsr FROM dz""")
+CTES["bs"] = "SELECT row_number() OVER (ORDER BY d0) - 1 AS idx, net AS v, count(*) OVER () AS n FROM mo_led"
+CTES["bd"] = """SELECT draw, v FROM (SELECT draw, (s + j) % n AS idx FROM (
+      SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '0', draw, b)), 1, 7))::BIGINT % n AS s
+      FROM (SELECT DISTINCT n FROM bs), range(500) d(draw), range(200) k(b) WHERE b * 6 < n), range(6) q(j) WHERE b * 6 + j < n)
+  JOIN bs USING (idx)"""
+CTES["bstat"] = """SELECT draw, avg(v) AS mean, pow(product(1 + v), 12.0::DOUBLE / count(*)) - 1 AS cagr,
+    avg(v) / nullif(stddev_samp(v), 0) * sqrt(12) AS sharpe FROM bd GROUP BY 1"""
+_ci = ", ".join(f"round(quantile_cont({s}, {q}), 6) AS {s}_{t}" for s in ("mean", "cagr", "sharpe") for q, t in ((0.025, "lo"), (0.975, "hi")))
+SQL["bootstrap_ci"] = query(f"""SELECT 'momentum' AS series, p.*, b.* FROM (SELECT round(avg(v), 6) AS mean,
+    round(pow(product(1 + v), 12.0::DOUBLE / count(*)) - 1, 6) AS cagr, round(avg(v) / nullif(stddev_samp(v), 0) * sqrt(12), 6) AS sharpe FROM bs) p,
+  (SELECT {_ci}, count(*) AS draws FROM bstat) b""")
+CTES["fbase"] = """SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY month) - 1 AS ret FROM (
+    SELECT ticker, cast(date_trunc('month', "Date") AS DATE) AS month, max_by("Close", "Date") AS close, sum("Volume") AS smb,
+      avg(("High" - "Low") / "Close") AS hml, avg("Close" / "Open") AS rmw, max("High") AS cma FROM wbars GROUP BY 1, 2)"""
+_FN = ("smb", "hml", "rmw", "cma", "mom")
+CTES["fknown"] = "SELECT * FROM (SELECT ticker, month, ret, " + ", ".join(
+    f"lag({'ret' if c == 'mom' else c}) OVER (PARTITION BY ticker ORDER BY month) AS {c}" for c in _FN) + ") ".replace(") ", " FROM fbase) ") + \
+    "WHERE ret IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in _FN)
+CTES["fspread"] = "SELECT month, " + ", ".join(
+    f"avg(ret) FILTER (WHERE {c}) - avg(ret) FILTER (WHERE NOT {c}) AS {c}" for c in _FN) + " FROM (SELECT month, ret, " + ", ".join(
+    f"row_number() OVER (PARTITION BY month ORDER BY {c}, ticker) * 2 > count(*) OVER (PARTITION BY month) AS {c}" for c in _FN) + \
+    " FROM fknown) GROUP BY month"
+CTES["fmkt"] = """SELECT * FROM (SELECT month, close / lag(close) OVER (ORDER BY month) - 1 AS mkt_rf FROM (
+    SELECT cast(date_trunc('month', "Date") AS DATE) AS month, max_by("Close", "Date") AS close FROM wmkt GROUP BY 1)) WHERE mkt_rf IS NOT NULL"""
+CTES["ftab"] = "SELECT cast(last_day(month) AS DATE) AS month, round(mkt_rf * 100, 6) / 100 AS mkt_rf, " + ", ".join(
+    f"round(coalesce({c}, 0) * 100, 6) / 100 AS {c}" for c in _FN[:4]) + """, 0.0::DOUBLE AS rf,
+    CASE WHEN month(month) <> 2 THEN round(coalesce(mom, 0) * 100, 6) / 100 END AS mom FROM fmkt JOIN fspread USING (month)"""
+SQL["factor_table"] = query("SELECT month, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mkt_rf", "smb", "hml", "rmw", "cma", "rf", "mom")) + " FROM ftab")
+CTES["mret"] = """SELECT cast(last_day(date_trunc('month', d0) + INTERVAL 1 MONTH) AS DATE) AS month, product(1 + net) - 1 AS ret FROM mo_led GROUP BY 1"""
+SQL["capm"] = query("""SELECT 'momentum' AS series, count(*) AS months, round(regr_intercept(ret, mkt_rf), 6) AS alpha,
+  round(regr_slope(ret, mkt_rf), 6) AS beta, round(regr_r2(ret, mkt_rf), 6) AS r2 FROM mret JOIN ftab USING (month)""")
+
+# ---- value --------------------------------------------------------------------------
+CTES["fsum"] = """SELECT concat('T', lpad(cast(c_nationkey AS VARCHAR), 2, '0')) AS ticker, cast(date_trunc('quarter', o_orderdate) AS DATE) AS q,
+    sum(cast(o_totalprice AS DECIMAL(18,2))) AS d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
+CTES["fund"] = """SELECT s.ticker, cast(q + INTERVAL 3 MONTH AS DATE) - 1 + 45 AS filed_date, cast(q + INTERVAL 3 MONTH AS DATE) - 1 AS period_end,
+    cast(d AS DOUBLE) / (SELECT cast(sum(d) AS DOUBLE) / count(*) FROM fsum) * 40.0::DOUBLE AS qeps,
+    cast(sum(d) OVER (PARTITION BY s.ticker ORDER BY q ROWS 3 PRECEDING) AS DOUBLE) / (SELECT cast(sum(d) AS DOUBLE) / count(*) FROM fsum) * 40.0::DOUBLE AS eps_ttm, b.bvps
+  FROM fsum s JOIN (SELECT concat('T', lpad(cast(c_nationkey AS VARCHAR), 2, '0')) AS ticker,
+      cast(sum(cast(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS bvps FROM customer GROUP BY 1) b ON s.ticker = b.ticker"""
+CTES["ppy"] = """SELECT ticker, CASE WHEN median(gap) >= 200 THEN 1 ELSE 4 END AS ppy FROM (
+    SELECT ticker, filed_date - lag(filed_date) OVER (PARTITION BY ticker ORDER BY filed_date) AS gap FROM fund) GROUP BY 1"""
+
+
+def growth_sql(length: int, need: int, ppy: int) -> str:
+    w = f"OVER (PARTITION BY ticker ORDER BY filed_date ROWS BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
+    return (f"CASE WHEN count(qeps) {w} >= {need} AND min(qeps) {w} > 0 THEN greatest(-0.5::DOUBLE, least(0.5::DOUBLE, "
+            f"regr_slope(CASE WHEN qeps > 0 THEN ln(qeps) END, rn) {w} * {ppy})) ELSE 0 END")
+
+
+CTES["ivp"] = f"""SELECT ticker, filed_date, period_end, eps_ttm, bvps, g,
+    CASE WHEN eps_ttm > 0 AND 8.5 + 200 * g > 0 THEN eps_ttm * (8.5 + 200 * g) * 4.4::DOUBLE / 4.4::DOUBLE END AS iv,
+    CASE WHEN eps_ttm > 0 AND bvps > 0 THEN sqrt(22.5 * eps_ttm * bvps) END AS graham_num FROM (
+      SELECT *, CASE WHEN ppy = 4 THEN {growth_sql(30, 12, 4)} ELSE {growth_sql(10, 5, 1)} END AS g FROM (
+        SELECT f.*, p.ppy, cast(row_number() OVER (PARTITION BY f.ticker ORDER BY filed_date) AS DOUBLE) AS rn
+        FROM fund f JOIN ppy p ON f.ticker = p.ticker))"""
+SQL["iv_panel"] = query("""SELECT ticker, filed_date, period_end, round(eps_ttm, 6) AS eps_ttm, round(bvps, 6) AS bvps, round(g, 6) AS g,
+  round(iv, 6) AS iv, round(graham_num, 6) AS graham_num FROM ivp""")
+CTES["vspine"] = """SELECT s.ticker, cast(last_day(m.month) AS DATE) AS d, m.i FROM (
+    SELECT ticker, date_trunc('month', min("Date")) AS a FROM wbars GROUP BY 1) s JOIN (
+    SELECT month, row_number() OVER (ORDER BY month) AS i FROM (SELECT DISTINCT date_trunc('month', "Date") AS month FROM wbars)) m ON m.month >= s.a"""
+CTES["asofv"] = """SELECT s.ticker, s.d, s.i, v.iv, p."Close" AS price FROM vspine s
+  ASOF LEFT JOIN (SELECT * FROM ivp WHERE iv IS NOT NULL) v ON s.ticker = v.ticker AND s.d >= v.filed_date
+  ASOF LEFT JOIN wbars p ON s.ticker = p.ticker AND s.d >= p."Date" """
+SQL["asof_value"] = query("SELECT ticker, d, i, round(iv, 6) AS iv, round(price, 6) AS price FROM asofv")
+SQL["value_qualifiers"] = query("""SELECT ticker, d, i, round(iv, 6) AS iv, round(price, 6) AS price FROM asofv
+  WHERE iv > 0 AND price <= 0.5::DOUBLE * iv""")
+CTES["vstep"] = "SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY i) AS j FROM asofv WHERE price IS NOT NULL"
+EPISODES = """vpath AS (
+  SELECT ticker, disc, 0::BIGINT AS j, false AS held, NULL::BIGINT AS ei, NULL::DATE AS ed, NULL::DOUBLE AS ep, NULL::DOUBLE AS ev,
+    false AS sold, NULL::BIGINT AS si, NULL::DATE AS sd, NULL::DOUBLE AS sp, NULL::DOUBLE AS sv, NULL::BIGINT AS xi, NULL::DATE AS xd, NULL::DOUBLE AS xp
+  FROM (SELECT DISTINCT ticker FROM vstep), (VALUES (0.5::DOUBLE), (0.3::DOUBLE), (0.7::DOUBLE)) v(disc)
+  UNION ALL
+  SELECT ticker, disc, j, buy OR (held AND NOT sell), CASE WHEN buy THEN i WHEN sell THEN NULL ELSE ei END,
+    CASE WHEN buy THEN d WHEN sell THEN NULL ELSE ed END, CASE WHEN buy THEN price WHEN sell THEN NULL ELSE ep END,
+    CASE WHEN buy THEN iv WHEN sell THEN NULL ELSE ev END, sell, ei, ed, ep, ev, i, d, price FROM (
+    SELECT *, (sell OR NOT held) AND coalesce(iv > 0 AND price <= (1 - disc) * iv, false) AS buy FROM (
+      SELECT p.ticker, p.disc, x.j, p.held, p.ei, p.ed, p.ep, p.ev, x.i, x.d, x.price, x.iv,
+        p.held AND (x.price >= p.ev OR x.d - p.ed > 1095) AS sell
+      FROM vpath p JOIN vstep x ON p.ticker = x.ticker AND x.j = p.j + 1)))"""
+EP_ROWS = """SELECT ticker, disc AS discount, si AS entry_i, sd AS entry_date, sp AS entry_price, sv AS entry_iv, xi AS exit_i, xd AS exit_date, xp AS exit_price
+    FROM vpath WHERE sold
+  UNION ALL SELECT p.ticker, disc, ei, ed, ep, ev, NULL, NULL, NULL FROM vpath p
+    JOIN (SELECT ticker, max(j) AS j FROM vstep GROUP BY 1) l ON p.ticker = l.ticker AND p.j = l.j WHERE held"""
+SQL["value_episodes"] = query(f"""SELECT ticker, discount, entry_i, entry_date, round(entry_price, 6) AS entry_price, round(entry_iv, 6) AS entry_iv,
+  exit_i, exit_date, round(exit_price, 6) AS exit_price FROM ({EP_ROWS})""", EPISODES)
+VIDX = f"""{EPISODES}, veps AS ({EP_ROWS}), vidx AS (
+  SELECT s.discount, s.i, s.d AS d0, coalesce(e.net, 0) AS net, coalesce(e.n, 0) AS n FROM (
+    SELECT DISTINCT discount, i, d FROM veps, (SELECT DISTINCT i, d FROM asofv)) s LEFT JOIN (
+    SELECT discount, r.i, avg(ret - CASE WHEN r.i = entry_i + 1 THEN 0.0005::DOUBLE ELSE 0 END - CASE WHEN r.i = exit_i THEN 0.0005::DOUBLE ELSE 0 END) AS net,
+      count(*) AS n FROM veps v JOIN (SELECT ticker, i, price / lag(price) OVER (PARTITION BY ticker ORDER BY i) - 1 AS ret FROM asofv) r
+      ON v.ticker = r.ticker AND r.i > v.entry_i AND r.i <= coalesce(v.exit_i, (SELECT max(i) FROM asofv))
+    WHERE ret IS NOT NULL GROUP BY 1, 2) e ON s.discount = e.discount AND s.i = e.i)"""
+SQL["value_index"] = query("SELECT discount, i, d0, round(net, 8) AS net, n FROM vidx", VIDX)
+CTES["fbench"] = """SELECT a.i, a.d, sum(coalesce(a.price, 0) / m.p0) / (SELECT count(*) FROM asofv WHERE iv IS NOT NULL AND price > 0
+      AND i = (SELECT min(i) FROM asofv WHERE iv IS NOT NULL AND price > 0)) AS bench
+  FROM asofv a JOIN (SELECT ticker, price AS p0, i AS i0 FROM asofv WHERE iv IS NOT NULL AND price > 0
+      AND i = (SELECT min(i) FROM asofv WHERE iv IS NOT NULL AND price > 0)) m ON a.ticker = m.ticker AND a.i >= m.i0 GROUP BY 1, 2"""
+SQL["fair_benchmark"] = query("SELECT i, d, round(bench, 6) AS bench FROM fbench")
+SQL["value_report"] = query("""SELECT discount, half, count(*) AS months, round(min(least(drawdown, 0)), 6) AS max_dd,
+    round(avg(net) / (stddev_samp(net) + 1e-12) * sqrt(12), 6) AS sharpe, round(avg(n), 6) AS avg_n,
+    round(pow(product(1 + net), 1 / greatest(1.0::DOUBLE, (max(d0) - min(d0)) / 365.25::DOUBLE)) - 1, 6) AS cagr,
+    round(pow(product(1 + coalesce(bench_net, 0)), 1 / greatest(1.0::DOUBLE, (max(d0) - min(d0)) / 365.25::DOUBLE)) - 1, 6) AS bench_cagr
+  FROM (SELECT *, equity / greatest(1.0::DOUBLE, max(equity) OVER (PARTITION BY discount, half ORDER BY i)) - 1 AS drawdown FROM (
+    SELECT x.*, b.bench_net, product(1 + net) OVER (PARTITION BY discount, half ORDER BY x.i) AS equity FROM (
+      SELECT *, CASE WHEN dense_rank() OVER (ORDER BY i) <= floor((SELECT count(DISTINCT i) FROM vidx) / 2.0) THEN 'tune' ELSE 'hold' END AS half FROM vidx) x
+    LEFT JOIN (SELECT i, bench / lag(bench) OVER (ORDER BY i) - 1 AS bench_net FROM fbench) b ON x.i = b.i)) GROUP BY 1, 2""", VIDX)
+SQL["statement_fundamentals"] = query("""SELECT * FROM (SELECT ticker, filed_date, period_end,
+    CASE WHEN round(qeps, 4) < 20 THEN NULL ELSE round(qeps, 4) END AS qeps, CASE WHEN round(qeps, 4) < 20 THEN NULL ELSE round(qeps, 4) END AS eps_ttm,
+    CASE WHEN month(period_end) = 3 THEN NULL ELSE round(round(bvps, 2) / CASE WHEN month(period_end) = 6 THEN 100 ELSE 50 END, 6) END AS bvps FROM fund)
+  WHERE eps_ttm IS NOT NULL AND bvps IS NOT NULL""")
+
+# ---- external engine ----------------------------------------------------------------
+SQL["payload_bars"] = query("""SELECT ticker, "Date", round("Open" * f, 6) AS "Open", round("High" * f, 6) AS "High", round("Low" * f, 6) AS "Low",
+    round("Close" * f, 6) AS "Close", CASE WHEN k % 5 <> 0 THEN round("Volume", 6) ELSE 0 END AS "Volume" FROM (
+    SELECT *, "Close" * 0.98::DOUBLE / "Close" AS f, "Date" - DATE '1970-01-01' AS k FROM bars) WHERE k % 7 <> 0""")
+CTES["extd"] = 'SELECT "Date", "Close" * 1.001::DOUBLE AS equity FROM mkt'
+SQL["daily_equity"] = query("""SELECT 'ext' AS source, "Date", round(equity, 6) AS equity FROM extd""")
+SQL["symbol_map"] = query("""SELECT 'ext' AS source, symbol, current FROM (
+    SELECT DISTINCT ticker AS symbol, ticker AS current FROM bars UNION ALL SELECT DISTINCT 'OLD' || ticker, ticker FROM bars
+    UNION ALL SELECT 'BSIG', 'AAMI' UNION ALL SELECT 'NYMT', 'ADAM')""")
+CTES["extp"] = """SELECT cast(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, ticker FROM (
+    SELECT o.*, row_number() OVER (PARTITION BY d0 ORDER BY mom DESC, ticker) AS rn, count(*) OVER (PARTITION BY d0) AS total
+    FROM wown o JOIN wdec USING (d0) WHERE mom IS NOT NULL) WHERE total >= 5 AND rn <= greatest(5, floor(total * 0.1::DOUBLE) + 1)"""
+SQL["picks_from_log"] = query("""SELECT 'ext' AS source, month, CASE WHEN cast(substr(ticker, 2, 2) AS INT) % 2 = 0 THEN 'OLD' || ticker ELSE ticker END AS symbol,
+  ticker FROM extp""")
+CTES["locp"] = """SELECT cast(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, ticker FROM wpicks"""
+CTES["recp"] = f"""SELECT month, list_sort(l.p) AS rp, list_sort(e.p) AS lp, len(e.p) AS ext_n, len(l.p) AS local_n FROM
+    (SELECT month, list(ticker) AS p FROM locp GROUP BY 1) l JOIN (SELECT month, list(ticker) AS p FROM extp GROUP BY 1) e USING (month)"""
+SQL["reconcile_picks"] = query(f"""SELECT month, array_to_string(lp, ',') AS ext_picks, array_to_string(rp, ',') AS local_picks,
+  cast(ext_n AS BIGINT) AS ext_n, cast(local_n AS BIGINT) AS local_n, cast(len(list_intersect(lp, rp)) AS BIGINT) AS intersection_n,
+  cast(len(list_distinct(lp || rp)) AS BIGINT) AS union_n, round({JAC}, 6) AS jaccard, lp = rp AS exact_match FROM recp""")
+CTES["recr"] = """SELECT month, l.net AS local_return, e.r AS ext_return, month <= DATE '2001-06-01' AS complete, e.r - l.net AS difference FROM (
+    SELECT cast(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, net FROM mo_led) l JOIN (
+    SELECT month, equity / lag(equity) OVER (ORDER BY month) - 1 AS r FROM (
+      SELECT cast(date_trunc('month', "Date") AS DATE) AS month, max_by(equity, "Date") AS equity FROM extd GROUP BY 1)) e USING (month) WHERE e.r IS NOT NULL"""
+SQL["reconcile_returns"] = query("""SELECT month, round(local_return, 6) AS local_return, round(ext_return, 6) AS ext_return, complete,
+  round(difference, 6) AS difference FROM recr""")
+
+
+def deepest(source: str, keys: str, value: str, on: str) -> str:
+    """Peak, trough and depth of the deepest drawdown; earliest dates on ties."""
+    k = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys} " if keys else ""
+    same = f"x.{keys} = y.{keys} AND " if keys else ""
+    return f"""SELECT {'y.' + keys + ', ' if keys else ''}min(x.{on}) AS peak_date, any_value(y.t) AS trough_date, any_value(y.dd) AS max_dd
+      FROM (SELECT {k}min_by({on}, (dd, {on})) AS t, min(dd) AS dd, min_by(top, (dd, {on})) AS top FROM (
+        SELECT *, {value} / top - 1 AS dd FROM (SELECT *, max({value}) OVER ({part}ORDER BY {on}) AS top FROM {source})) GROUP BY {keys or '()'}) y
+      JOIN {source} x ON {same}x.{value} = y.top AND x.{on} <= y.t GROUP BY {'y.' + keys if keys else '()'}"""
+
+
+CTES["mo_curve"] = 'SELECT d0 AS "Date", equity FROM mo_eq'
+CTES["recs"] = "SELECT * FROM recr WHERE complete"
+
+
+def metrics(col: str, p: str) -> str:
+    return f"""SELECT pow(product(1 + {col}), 12.0::DOUBLE / count(*)) - 1 AS {p}_cagr, avg({col}) / stddev_samp({col}) * sqrt(12) AS {p}_sharpe,
+      min(least(dd, 0)) AS {p}_max_dd FROM (SELECT *, e / greatest(1.0::DOUBLE, max(e) OVER (ORDER BY month)) - 1 AS dd FROM (
+        SELECT *, product(1 + {col}) OVER (ORDER BY month) AS e FROM recs))"""
+
+
+_mets = ", ".join(f"round({p}_{c}, 6) AS {p}_{c}" for p in ("local", "ext") for c in ("cagr", "sharpe", "max_dd"))
+SQL["reconcile_summary"] = query(f"""SELECT a.*, {_mets}, l.peak_date AS local_peak_date, l.trough_date AS local_trough_date, round(l.max_dd, 6) AS local_curve_dd,
+    x.peak_date AS ext_peak_date, x.trough_date AS ext_trough_date, round(x.max_dd, 6) AS ext_curve_dd, d.daily_sharpe FROM (
+    SELECT count(*) AS months, round(corr(local_return, ext_return), 6) AS correlation, round(pow(corr(local_return, ext_return), 2), 6) AS r_squared,
+      round(avg(difference), 6) AS mean_diff, round(avg(abs(difference)), 6) AS mae, round(sqrt(avg(difference * difference)), 6) AS rmse FROM recs) a,
+  ({metrics('local_return', 'local')}), ({metrics('ext_return', 'ext')}), ({deepest('mo_curve', '', 'equity', '"Date"')}) l, ({deepest('extd', '', 'equity', '"Date"')}) x,
+  (SELECT round(avg(r) / stddev_samp(r) * sqrt(252), 6) AS daily_sharpe FROM (SELECT equity / lag(equity) OVER (ORDER BY "Date") - 1 AS r FROM extd)) d""")
+SQL["attribute_differences"] = query(f"""SELECT count(*) AS months, round(avg(abs(difference)) FILTER (WHERE lp = rp), 6) AS mae_exact,
+  round(avg(abs(difference)) FILTER (WHERE lp <> rp), 6) AS mae_inexact, round(corr(abs(difference), 1 - {JAC}), 6) AS mismatch_corr
+  FROM recs JOIN recp USING (month)""")
+SQL["drawdown_dates"] = query(f"""SELECT ticker, peak_date, trough_date, round(max_dd, 6) AS max_dd FROM ({deepest('allbars', 'ticker', '"Close"', '"Date"')})""")
+SQL["buy_hold"] = query("""SELECT ticker, first_date, last_date, round(growth, 6) AS growth,
+  round(pow(growth, 1 / nullif((last_date - first_date) / 365.25::DOUBLE, 0)) - 1, 6) AS cagr FROM (
+    SELECT ticker, min("Date") AS first_date, max("Date") AS last_date, max_by("Close", "Date") / min_by("Close", "Date") AS growth
+    FROM allbars WHERE "Date" BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' GROUP BY 1)""")
+SQL["month_returns"] = query("""SELECT ticker, month, round(c, 6) AS "Close", round(c / lag(c) OVER (PARTITION BY ticker ORDER BY month) - 1, 6) AS change FROM (
+    SELECT ticker, cast(date_trunc('month', "Date") AS DATE) AS month, max_by("Close", "Date") AS c FROM allbars GROUP BY 1, 2)""")
+SQL["month_end_guard"] = query("""SELECT asof, date_trunc('month', asof) < date_trunc('month', asof + 2) OR date_trunc('month', asof)
+    <> date_trunc('month', asof + CASE isodow(asof) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS complete FROM (SELECT DISTINCT "Date" AS asof FROM bars)""")
+
+# ---- pick log -----------------------------------------------------------------------
+CTES["plog"] = """SELECT concat_ws('-', 'run', arm, d0) AS run_id, d0 AS decision_date, ticker, arm AS model, round(proba, 6) AS signal_value FROM pt"""
+CTES["rown"] = """SELECT ticker, "Date", "Open", "Close", row_number() OVER (PARTITION BY ticker ORDER BY "Date") AS rn FROM allbars"""
+CTES["gmkt"] = """SELECT d.d0 AS decision_date, max_by(r."Close", r.rn) AS mc, min_by(r."Open", r.rn) AS mo, min_by(r."Close", r.rn) AS m1
+  FROM (SELECT DISTINCT d0 FROM pt) d ASOF LEFT JOIN (SELECT * FROM rown WHERE ticker = 'MKT') s ON d.d0 >= s."Date"
+  JOIN rown r ON r.ticker = 'MKT' AND r.rn > coalesce(s.rn, 0) AND r.rn <= coalesce(s.rn, 0) + 20 GROUP BY 1 HAVING count(*) = 20"""
+CTES["gown"] = """SELECT l.run_id, l.decision_date, l.ticker, l.model, r."Date", r."Open", r."Close", r.rn, s."Close" AS ref,
+    first_value(r."Open") OVER (PARTITION BY l.run_id, l.ticker ORDER BY r.rn) AS entry, count(*) OVER (PARTITION BY l.run_id, l.ticker) AS k
+  FROM plog l ASOF LEFT JOIN rown s ON l.ticker = s.ticker AND l.decision_date >= s."Date"
+  JOIN rown r ON r.ticker = l.ticker AND r.rn > coalesce(s.rn, 0) AND r.rn <= coalesce(s.rn, 0) + 20"""
+CTES["graded"] = """SELECT *, exit / entry - 1 - 0.001::DOUBLE AS ret, mc / mo - 1 AS market_ret FROM (
+    SELECT run_id, decision_date, ticker, model, min("Date") AS entry_date, any_value(entry) AS entry,
+      coalesce(min("Date") FILTER (WHERE "Close" <= entry * 0.95::DOUBLE), max("Date")) AS exit_date,
+      coalesce(min_by("Close", rn) FILTER (WHERE "Close" <= entry * 0.95::DOUBLE), max_by("Close", rn)) AS exit
+    FROM gown WHERE k = 20 GROUP BY 1, 2, 3, 4) JOIN gmkt USING (decision_date)"""
+_graded = """SELECT run_id, decision_date, ticker, model, entry_date, exit_date, round(entry, 6) AS entry, round(exit, 6) AS exit, round(ret, 6) AS ret,
+  round(market_ret, 6) AS market_ret, round(ret - market_ret, 6) AS excess FROM graded"""
+SQL["grade_picks"] = query(_graded)
+SQL["stream_grade"] = query(_graded)
+SQL["grade_summary"] = query("""SELECT model, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate,
+  round(avg(ret), 6) AS mean_ret, round(avg(ret - market_ret), 6) AS mean_excess FROM graded GROUP BY 1""")
+SQL["grade_legacy"] = query("""SELECT decision_date, ticker, model, round(exit / ref - 1 - 0.001::DOUBLE, 6) AS ret, round(mc / m1 - 1, 6) AS market_ret,
+    round(exit / ref - 1 - 0.001::DOUBLE - (mc / m1 - 1), 6) AS excess FROM (
+    SELECT decision_date, ticker, model, any_value(ref) AS ref,
+      coalesce(min_by("Close", rn) FILTER (WHERE "Close" <= ref * 0.95::DOUBLE), max_by("Close", rn)) AS exit
+    FROM gown WHERE k = 20 GROUP BY 1, 2, 3) JOIN gmkt USING (decision_date)""")
+SQL["pending_picks"] = query("""SELECT run_id, ticker, model, decision_date FROM plog WHERE model = 'corrected'
+  OR (run_id, ticker) NOT IN (SELECT (run_id, ticker) FROM graded)""")
+SQL["verify_signals"] = query("""SELECT run_id, ticker, model, cast(substr(ticker, 2, 2) AS INT) % 10 NOT IN (3, 5) AS ok FROM plog""".replace(
+    "cast(substr(ticker, 2, 2) AS INT)", "coalesce(try_cast(substr(ticker, 2, 2) AS INT), 0)"))
+SQL["repeated_runs"] = query("""SELECT DISTINCT decision_date, 'nations' AS universe, 'MKT' AS market FROM plog WHERE model = 'corrected'
+  AND decision_date IN (SELECT decision_date FROM plog WHERE model = 'legacy' AND signal_value > 0.9)""")
+
+# ---- provenance ---------------------------------------------------------------------
+SQL["record_hash"] = query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS sha256
+  FROM customer""")
+SQL["manifest_diff"] = query("""SELECT 'doc/' || doc_id AS path, CASE lang WHEN 'de' THEN 'missing' ELSE 'changed' END AS status FROM documents WHERE lang IN ('de', 'fr')
+  UNION ALL SELECT 'page/' || page_id, 'new' FROM pages""")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import hash_unit
+from panelspark.functions.columns import hash_unit, is_month_end, realized_month
+from panelspark.functions.joins import set_overlap
 from panelspark.functions.windows import decision_dates
-from panelspark.operators import brake, evaluate, features, folds, labels, ledger, select
+from panelspark.operators import (brake, evaluate, features, folds, labels, ledger, model, paper, provenance, reconcile,
+                                  select, stability, stats, value)
 from panelspark.plans.shape import tidy
-from panelspark.session import materialize
+from panelspark.session import materialize, shared
 from panelspark.sources import bars as bar_sources
-from panelspark.sources import filings, fixtures
+from panelspark.sources import external, factors, filings, fixtures, fundamentals, tables
+from panelspark.streaming import grader
 from panelspark.sources.bars import bars_from_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -464,3 +468,375 @@ def null_books(spark, sf):
 @register
 def benchmark_legs(spark, sf):
     return tidy(ledger.benchmark_legs(cands(spark, sf), fixtures.market(spark, sf), 21), 8)
+
+
+# ---- evaluation and stability ---------------------------------------------------------
+def aligned(spark, sf) -> DataFrame:
+    rows = fixtures.scores(spark, sf)
+    return evaluate.align_caches(rows.where(F.col("arm") == "legacy"), rows.where(F.col("arm") == "corrected"))
+
+
+@register
+def auc_by_fold(spark, sf):
+    return tidy(evaluate.auc(fixtures.scores(spark, sf), KEYS))
+
+
+@register
+def score_compare(spark, sf):
+    common = materialize(aligned(spark, sf))
+    gap = evaluate.close_gap(common).select("close_gap").withColumn("_k", F.lit(0))
+    return tidy(evaluate.compare_scores(common).withColumn("_k", F.lit(0)).join(gap, "_k").drop("_k"))
+
+
+@register
+def spearman_by_date(spark, sf):
+    return tidy(evaluate.spearman(aligned(spark, sf), ["Date"], "proba_left", "proba_right"))
+
+
+@register
+def jaccard(spark, sf):
+    chosen = stability.selections(aligned(spark, sf).withColumnRenamed("Date", "d0"), 0.25, 5)
+    overlap = set_overlap(F.col("left_picks"), F.col("right_picks"), empty=1.0)
+    return tidy(chosen.select("d0", F.size("left_picks").alias("left_n"), F.size("right_picks").alias("right_n"),
+                              *[c.alias(k) for k, c in overlap.items()]))
+
+
+@register
+def stability_monthly(spark, sf):
+    return tidy(stability.stability(aligned(spark, sf), 0.25, 5)[0])
+
+
+@register
+def stability_distance(spark, sf):
+    return tidy(stability.stability(aligned(spark, sf), 0.25, 5)[1])
+
+
+@register
+def stability_summary(spark, sf):
+    return tidy(stability.stability_summary(stability.stability(aligned(spark, sf), 0.25, 5)[0]))
+
+
+@register
+def stability_rolling(spark, sf):
+    return tidy(stability.rolling_overlap(stability.stability(aligned(spark, sf), 0.25, 5)[0]))
+
+
+# ---- trials and statistics ------------------------------------------------------------
+def trial_nets(spark, sf) -> DataFrame:
+    """Net series of every variant with its half, one plan for all variants."""
+    names = F.explode(F.array(*[F.lit(p["variant"]) for p in GRID])).alias("variant")
+    dates = cands(spark, sf).select(*KEYS, "d0").distinct().select(*KEYS, "d0", names)
+    run = ledger.run_book(materialize(grid_books(spark, sf)), dates, fixtures.scores(spark, sf), [*KEYS, "variant"],
+                          KEYS, cost_bps=25.0, stop=STOP)
+    return folds.split_halves(run, "fold")
+
+
+def trial_table(spark, sf) -> DataFrame:
+    return evaluate.summarize(trial_nets(spark, sf), ["arm", "variant", "half"])
+
+
+@register
+def trials(spark, sf):
+    return tidy(trial_table(spark, sf))
+
+
+@register
+def promotion_gate(spark, sf):
+    tune = trial_table(spark, sf).where("half = 'tune'").select("arm", "variant", "sharpe", "max_dd", "cagr")
+    return tidy(evaluate.promotion_gate(tune, min_sharpe=0.0))
+
+
+@register
+def best_trial(spark, sf):
+    return tidy(evaluate.best_trial(trial_table(spark, sf), ["arm", "half"]))
+
+
+@register
+def validation_gate(spark, sf):
+    legacy = F.col("arm") == "legacy"
+    return tidy(evaluate.validation_gate(risk_ledger(spark, sf).where(legacy), control_ledger(spark, sf).where(legacy)))
+
+
+@register
+def return_moments(spark, sf):
+    return tidy(evaluate.return_moments(trial_nets(spark, sf), ["arm", "variant", "half"]))
+
+
+@register
+def deflated_sharpe(spark, sf):
+    nets = trial_nets(spark, sf).where("arm = 'legacy' AND half = 'tune'")
+    return tidy(stats.deflated_sharpe(nets, SCENARIOS))
+
+
+SCENARIOS = [("formal", 5, []), ("formal, variance without base", 5, ["base"]), ("broad", 38, ["base"])]
+
+
+def momentum_series(spark, sf) -> DataFrame:
+    return momentum_rows(spark, sf).select(F.lit("momentum").alias("series"), "d0", "net")
+
+
+@register
+def bootstrap_ci(spark, sf):
+    return tidy(stats.bootstrap_ci(materialize(momentum_series(spark, sf)), draws=500))
+
+
+def monthly_returns(spark, sf) -> DataFrame:
+    """Momentum returns under the end of the month in which they realise."""
+    rows = momentum_series(spark, sf).select("series", realized_month("d0").alias("month"), F.col("net").alias("ret"))
+    return evaluate.collapse_months(rows, ["series"], "ret")
+
+
+def factor_rows(spark, sf) -> DataFrame:
+    five, mom = fixtures.factor_lines(spark, sf)
+    return factors.factor_table(factors.factors_from_text(five, factors.FIVE), factors.factors_from_text(mom, ["mom"]))
+
+
+@register
+def factor_table(spark, sf):
+    return tidy(factor_rows(spark, sf))
+
+
+@register
+def capm(spark, sf):
+    return tidy(stats.capm(monthly_returns(spark, sf), factor_rows(spark, sf)))
+
+
+@register
+def factor_regression(spark, sf):
+    rows = factor_rows(spark, sf).fillna(0.0, ["mom"])
+    return tidy(stats.factor_regression(monthly_returns(spark, sf), rows, ["mkt_rf", "smb", "hml", "rmw", "cma", "mom"]))
+
+
+# ---- value ----------------------------------------------------------------------------
+@register
+def iv_panel(spark, sf):
+    return tidy(value.iv_panel(fixtures.fundamentals(spark, sf)))
+
+
+def asof_rows(spark, sf) -> DataFrame:
+    return shared(spark, f"asof value {sf}", lambda: value.asof_value(
+        fixtures.bars(spark, sf, "week"), value.iv_panel(fixtures.fundamentals(spark, sf))))
+
+
+@register
+def asof_value(spark, sf):
+    return tidy(value.asof_value(fixtures.bars(spark, sf, "week"), value.iv_panel(fixtures.fundamentals(spark, sf))))
+
+
+@register
+def value_qualifiers(spark, sf):
+    return tidy(value.value_qualifiers(asof_rows(spark, sf)))
+
+
+@register
+def value_episodes(spark, sf):
+    return tidy(value.value_episodes(asof_rows(spark, sf)))
+
+
+@register
+def value_index(spark, sf):
+    rows = asof_rows(spark, sf)
+    return tidy(value.value_index(materialize(value.value_episodes(rows)), rows), 8)
+
+
+@register
+def fair_benchmark(spark, sf):
+    return tidy(value.fair_benchmark(asof_rows(spark, sf)))
+
+
+@register
+def value_report(spark, sf):
+    rows = asof_rows(spark, sf)
+    index = materialize(value.value_index(materialize(value.value_episodes(rows)), rows))
+    return tidy(value.value_report(index, value.fair_benchmark(rows)))
+
+
+@register
+def statement_fundamentals(spark, sf):
+    return tidy(fundamentals.fundamentals_from_statements(*fixtures.statements(spark, sf)))
+
+
+# ---- external engine ------------------------------------------------------------------
+@register
+def payload_bars(spark, sf):
+    return tidy(bar_sources.bars_from_payload(fixtures.quote_payloads(spark, sf)))
+
+
+@register
+def daily_equity(spark, sf):
+    return tidy(external.daily_equity(fixtures.external_result(spark, sf)))
+
+
+@register
+def symbol_map(spark, sf):
+    return tidy(external.symbol_map(fixtures.external_result(spark, sf)))
+
+
+def external_picks(spark, sf) -> DataFrame:
+    lines = fixtures.external_log(pick_momentum_topk_book(spark, sf))
+    return external.current_symbols(external.picks_from_log(lines), external.symbol_map(fixtures.external_result(spark, sf)))
+
+
+def pick_momentum_topk_book(spark, sf) -> DataFrame:
+    bars = fixtures.bars(spark, sf, "week")
+    own = features.own_momentum(bars, LOOKBACK, SKIP).withColumnRenamed("Date", "d0")
+    return select.pick_momentum_topk(own.join(F.broadcast(decision_dates(bars).select("d0")), "d0"), MIN_NAMES)
+
+
+@register
+def picks_from_log(spark, sf):
+    return tidy(external_picks(spark, sf))
+
+
+def equity_days(spark, sf) -> DataFrame:
+    return materialize(external.daily_equity(fixtures.external_result(spark, sf)))
+
+
+@register
+def reconcile_returns(spark, sf):
+    return tidy(reconcile.align_returns(momentum_rows(spark, sf), equity_days(spark, sf), "2001-06-01"))
+
+
+@register
+def reconcile_picks(spark, sf):
+    local = reconcile.local_pick_sets(momentum_book(fixtures.bars(spark, sf, "week")))
+    both = reconcile.reconcile_picks(local, external.pick_sets(external_picks(spark, sf)))
+    return tidy(both.withColumn("ext_picks", F.array_join("ext_picks", ",")).withColumn(
+        "local_picks", F.array_join("local_picks", ",")))
+
+
+@register
+def reconcile_summary(spark, sf):
+    return tidy(reconcile.reconcile(materialize(momentum_rows(spark, sf)), equity_days(spark, sf), "2001-06-01"))
+
+
+@register
+def attribute_differences(spark, sf):
+    local = reconcile.local_pick_sets(momentum_book(fixtures.bars(spark, sf, "week")))
+    both = reconcile.reconcile_picks(local, external.pick_sets(external_picks(spark, sf)))
+    rows = reconcile.align_returns(momentum_rows(spark, sf), equity_days(spark, sf), "2001-06-01")
+    return tidy(reconcile.attribute_differences(rows, both))
+
+
+@register
+def drawdown_dates(spark, sf):
+    bars = fixtures.all_bars(spark, sf)
+    return tidy(evaluate.drawdown_dates(bars.withColumnRenamed("Close", "equity"), ["ticker"]))
+
+
+@register
+def buy_hold(spark, sf):
+    return tidy(evaluate.buy_hold(fixtures.all_bars(spark, sf), "1996-01-01", "2000-12-31"))
+
+
+@register
+def month_returns(spark, sf):
+    last = evaluate.month_last(fixtures.all_bars(spark, sf), "Close", ["ticker"])
+    return tidy(ledger.period_change(last, "Close", ["ticker"]))
+
+
+@register
+def month_end_guard(spark, sf):
+    days = fixtures.bars(spark, sf).select(F.col("Date").alias("asof")).distinct()
+    return tidy(days.select("asof", is_month_end("asof", F.date_add("asof", 2)).alias("complete")))
+
+
+# ---- pick log -------------------------------------------------------------------------
+def log_rows(spark, sf) -> DataFrame:
+    return fixtures.pick_log(spark, select.pick_threshold(cands(spark, sf)))
+
+
+GRADED = ["run_id", "decision_date", "ticker", "model", "entry_date", "exit_date", "entry", "exit", "ret", "market_ret", "excess"]
+
+
+def graded(spark, sf) -> DataFrame:
+    return paper.grade(log_rows(spark, sf), fixtures.all_bars(spark, sf))
+
+
+@register
+def grade_picks(spark, sf):
+    return tidy(graded(spark, sf).select(*GRADED))
+
+
+@register
+def grade_summary(spark, sf):
+    return tidy(evaluate.grade_summary(graded(spark, sf)))
+
+
+@register
+def grade_legacy(spark, sf):
+    closes = fixtures.all_bars(spark, sf).select("ticker", F.col("Date").alias("decision_date"), F.col("Close").alias("ref_close"))
+    picks = log_rows(spark, sf).join(closes, ["ticker", "decision_date"]).withColumn("stop", F.col("ref_close") * 0.95)
+    return tidy(paper.grade_legacy(picks, fixtures.all_bars(spark, sf)))
+
+
+@register
+def pending_picks(spark, sf):
+    log = log_rows(spark, sf)
+    done = paper.grade(log.where(F.col("model") == "legacy"), fixtures.all_bars(spark, sf))
+    return tidy(paper.pending(log, done).select("run_id", "ticker", "model", "decision_date"))
+
+
+@register
+def verify_signals(spark, sf):
+    log = log_rows(spark, sf)
+    names = ["decision_date", "model", "ticker", "signal_value", "signal_close", "stop_frac", "run_id"]
+    snaps = log.select(*names).withColumn("record_sha256", provenance.record_hash(names))
+    n = F.coalesce(F.substring("ticker", 2, 2).try_cast("int"), F.lit(0))
+    drift = snaps.withColumn("signal_value", F.when(n % 10 == 3, F.col("signal_value") + 0.1).otherwise(F.col("signal_value")))
+    twice = drift.unionByName(drift.where(n % 10 == 5))
+    return tidy(paper.verify_signals(log, twice).select("run_id", "ticker", "model", "ok"))
+
+
+@register
+def repeated_runs(spark, sf):
+    log = log_rows(spark, sf)
+    return tidy(paper.repeated_runs(log.where(F.col("model") == "corrected"), log.where(
+        (F.col("model") == "legacy") & (F.col("signal_value") > 0.9))))
+
+
+@register
+def stream_grade(spark, sf):
+    from panelspark.session import work_folder
+    root = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    tables.append_table(log_rows(spark, sf), f"{root}/log", tables.LOG_SCHEMA)
+    fixtures.all_bars(spark, sf).write.parquet(f"{root}/incoming")
+    query = grader.stream_grade(grader.bars_stream(spark, f"{root}/incoming"), f"{root}/log", f"{root}/grades",
+                                f"{root}/bars", f"{root}/checkpoint")
+    query.awaitTermination()
+    return tidy(tables.read_table(spark, f"{root}/grades", tables.GRADE_SCHEMA).select(*GRADED))
+
+
+# ---- provenance and model -------------------------------------------------------------
+@register
+def record_hash(spark, sf):
+    rows = fixtures.table(spark, sf, "customer")
+    return rows.select("c_custkey", provenance.record_hash(["c_name", "c_custkey", "c_mktsegment"]).alias("sha256"))
+
+
+@register
+def manifest_diff(spark, sf):
+    docs = fixtures.table(spark, sf, "documents")
+    pages = fixtures.table(spark, sf, "pages")
+    path = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    old = docs.select(path.alias("path"), F.sha2("text", 256).alias("sha256"))
+    new = docs.where(F.col("lang") != "de").select(path.alias("path"), F.sha2(
+        F.when(F.col("lang") == "fr", F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("sha256"))
+    extra = pages.select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"),
+                         F.sha2("html", 256).alias("sha256"))
+    return provenance.diff_manifest(old, new.unionByName(extra))
+
+
+def gbt_rows(spark, sf) -> DataFrame:
+    purged = folds.gate_folds(folds.purge(folds.assign_folds(fixtures.panel(spark, sf))))
+    return model.score_folds(purged, rounds=4, depth=3)
+
+
+@register
+def gbt_scores(spark, sf):
+    return tidy(gbt_rows(spark, sf).select("arm", "fold", "seed", "ticker", "Date", "label", "proba"))
+
+
+@register
+def gbt_evaluation(spark, sf):
+    return tidy(model.evaluate_folds(gbt_rows(spark, sf), thresh=0.2, n=5, trials=20))
