@@ -731,15 +731,17 @@ SQL["statement_fundamentals"] = query("""SELECT * FROM (SELECT ticker, filed_dat
 # ---- external engine ----------------------------------------------------------------
 SQL["payload_bars"] = query("""SELECT ticker, "Date", round("Open" * f, 6) AS "Open", round("High" * f, 6) AS "High", round("Low" * f, 6) AS "Low",
     round("Close" * f, 6) AS "Close", CASE WHEN k % 5 <> 0 THEN round("Volume", 6) ELSE 0 END AS "Volume" FROM (
-    SELECT *, "Close" * 0.98::DOUBLE / "Close" AS f, "Date" - DATE '1970-01-01' AS k FROM bars) WHERE k % 7 <> 0""")
+    SELECT *, "Close" * 0.98765432::DOUBLE / "Close" AS f, "Date" - DATE '1970-01-01' AS k FROM bars) WHERE k % 7 <> 0""")
 CTES["extd"] = 'SELECT "Date", "Close" * 1.001::DOUBLE AS equity FROM mkt'
 SQL["daily_equity"] = query("""SELECT 'ext' AS source, "Date", round(equity, 6) AS equity FROM extd""")
 SQL["symbol_map"] = query("""SELECT 'ext' AS source, symbol, current FROM (
     SELECT DISTINCT ticker AS symbol, ticker AS current FROM bars UNION ALL SELECT DISTINCT 'OLD' || ticker, ticker FROM bars
     UNION ALL SELECT 'BSIG', 'AAMI' UNION ALL SELECT 'NYMT', 'ADAM')""")
+CTES["extm"] = "SELECT d0, ticker, mom FROM wown JOIN wdec USING (d0) WHERE mom IS NOT NULL"
 CTES["extp"] = """SELECT cast(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, ticker FROM (
-    SELECT o.*, row_number() OVER (PARTITION BY d0 ORDER BY mom DESC, ticker) AS rn, count(*) OVER (PARTITION BY d0) AS total
-    FROM wown o JOIN wdec USING (d0) WHERE mom IS NOT NULL) WHERE total >= 5 AND rn <= greatest(5, floor(total * 0.1::DOUBLE) + 1)"""
+    SELECT x.*, c.total, row_number() OVER (PARTITION BY x.d0 ORDER BY mom DESC, ticker) AS rn FROM extm x JOIN (
+      SELECT d0, count(*) AS total, quantile_cont(mom, 0.9) AS cut FROM extm GROUP BY d0 HAVING count(*) >= 5) c ON x.d0 = c.d0 WHERE x.mom >= c.cut)
+  WHERE rn <= greatest(5, floor(total * 0.1::DOUBLE) + 1)"""
 SQL["picks_from_log"] = query("""SELECT 'ext' AS source, month, CASE WHEN cast(substr(ticker, 2, 2) AS INT) % 2 = 0 THEN 'OLD' || ticker ELSE ticker END AS symbol,
   ticker FROM extp""")
 CTES["locp"] = """SELECT cast(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, ticker FROM wpicks"""
@@ -794,8 +796,8 @@ SQL["buy_hold"] = query("""SELECT ticker, first_date, last_date, round(growth, 6
     FROM allbars WHERE "Date" BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' GROUP BY 1)""")
 SQL["month_returns"] = query("""SELECT ticker, month, round(c, 6) AS "Close", round(c / lag(c) OVER (PARTITION BY ticker ORDER BY month) - 1, 6) AS change FROM (
     SELECT ticker, cast(date_trunc('month', "Date") AS DATE) AS month, max_by("Close", "Date") AS c FROM allbars GROUP BY 1, 2)""")
-SQL["month_end_guard"] = query("""SELECT asof, date_trunc('month', asof) < date_trunc('month', asof + 2) OR date_trunc('month', asof)
-    <> date_trunc('month', asof + CASE isodow(asof) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS complete FROM (SELECT DISTINCT "Date" AS asof FROM bars)""")
+SQL["month_end_guard"] = query("""SELECT day, date_trunc('month', day) < date_trunc('month', day + 2) OR date_trunc('month', day)
+    <> date_trunc('month', day + CASE isodow(day) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) AS complete FROM (SELECT DISTINCT "Date" AS day FROM bars)""")
 
 # ---- pick log -----------------------------------------------------------------------
 CTES["plog"] = """SELECT concat_ws('-', 'run', arm, d0) AS run_id, d0 AS decision_date, ticker, arm AS model, round(proba, 6) AS signal_value FROM pt"""

@@ -673,14 +673,16 @@ def symbol_map(spark, sf):
 
 
 def external_picks(spark, sf) -> DataFrame:
-    lines = fixtures.external_log(pick_momentum_topk_book(spark, sf))
+    lines = fixtures.external_log(external_book(spark, sf))
     return external.current_symbols(external.picks_from_log(lines), external.symbol_map(fixtures.external_result(spark, sf)))
 
 
-def pick_momentum_topk_book(spark, sf) -> DataFrame:
+def external_book(spark, sf) -> DataFrame:
+    """The other engine ranks on the row clock, so it differs where bars are missing."""
     bars = fixtures.bars(spark, sf, "week")
-    own = features.own_momentum(bars, LOOKBACK, SKIP).withColumnRenamed("Date", "d0")
-    return select.pick_momentum_topk(own.join(F.broadcast(decision_dates(bars).select("d0")), "d0"), MIN_NAMES)
+    own = features.own_momentum(bars, LOOKBACK, SKIP).withColumnRenamed("Date", "d0").where("mom IS NOT NULL")
+    rows = own.join(F.broadcast(decision_dates(bars).select("d0")), "d0").select("d0", "ticker", "mom")
+    return select.pick_momentum(rows, 0.10, "score", MIN_NAMES)
 
 
 @register
@@ -737,8 +739,8 @@ def month_returns(spark, sf):
 
 @register
 def month_end_guard(spark, sf):
-    days = fixtures.bars(spark, sf).select(F.col("Date").alias("asof")).distinct()
-    return tidy(days.select("asof", is_month_end("asof", F.date_add("asof", 2)).alias("complete")))
+    days = fixtures.bars(spark, sf).select(F.col("Date").alias("day")).distinct()
+    return tidy(days.select("day", is_month_end("day", F.date_add("day", 2)).alias("complete")))
 
 
 # ---- pick log -------------------------------------------------------------------------

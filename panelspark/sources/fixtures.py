@@ -114,13 +114,13 @@ def statements(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def quote_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One quote document per ticker: every seventh day lacks a close, every fifth a
-    volume; adjusted closes are 98 % of the close."""
+    volume; adjusted closes are a fixed share of the close."""
     day = F.datediff("Date", F.lit("1970-01-01").cast("date")).cast("bigint")
     rows = bars(spark, sf_dir).select(
         "ticker", F.struct(
             (day * 86400 + 50400).alias("t"), F.col("Open").alias("o"), F.col("High").alias("h"), F.col("Low").alias("l"),
             F.when(day % 7 != 0, F.col("Close")).alias("c"), F.when(day % 5 != 0, F.col("Volume")).alias("v"),
-            (F.col("Close") * 0.98).alias("a")).alias("x"))
+            (F.col("Close") * 0.98765432).alias("a")).alias("x"))
     docs = rows.groupBy("ticker").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     quote = F.struct(*[F.col(f"xs.{k}").alias(n) for k, n in (
         ("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))])
