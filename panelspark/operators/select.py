@@ -103,9 +103,11 @@ def pick_long_short(cands: DataFrame, thresh: float = 0.30, longs: int = 10, sho
 
 
 def _position(rows: DataFrame, by: Sequence[str], order) -> DataFrame:
-    """Place of each row in its group under ``order``, for groups of any size."""
+    """Place of each row in its group under ``order`` and the group's ``size``, for
+    groups of any size."""
     keyed = rows.withColumn("_o", order)
-    places = ordered_counts(keyed, by, "_o").select(*by, "_o", (F.col("below") + 1).alias("place"))
+    places = ordered_counts(keyed, by, "_o").select(
+        *by, "_o", (F.col("below") + 1).alias("place"), F.col("total").alias("size"))
     return keyed.join(places, [*by, "_o"]).drop("_o")
 
 
@@ -118,12 +120,13 @@ def pick_momentum(mom: DataFrame, decile: float = 0.10, cap_order: str | None =
     """
     cut = group_quantile(mom, ["d0"], "mom", 1 - decile, "cut").where(F.col("total") >= min_names)
     picks = mom.join(F.broadcast(cut), "d0").where(F.col("mom") >= F.col("cut"))
-    if cap_order is not None:
-        cap = F.greatest(F.lit(5), F.floor(F.col("total") * F.lit(decile)) + 1)
-        order = (F.struct("ticker") if cap_order == "ticker" else
-                 F.struct((-F.col("mom")).alias("s"), F.col("ticker")))
-        picks = _position(picks.withColumn("_cap", cap), ["d0"], order).where(F.col("place") <= F.col("_cap"))
-    return equal_weight(picks, []).join(mom, ["d0", "ticker"])
+    if cap_order is None:
+        sizes = picks.groupBy("d0").agg(F.count(F.lit(1)).alias("size"))
+        return picks.join(F.broadcast(sizes), "d0").select("d0", "ticker", "mom", (F.lit(1.0) / F.col("size")).alias("weight"))
+    cap = F.greatest(F.lit(5), F.floor(F.col("total") * F.lit(decile)) + 1)
+    order = F.struct("ticker") if cap_order == "ticker" else F.struct((-F.col("mom")).alias("s"), F.col("ticker"))
+    kept = _position(picks.withColumn("_cap", cap), ["d0"], order).where(F.col("place") <= F.col("_cap"))
+    return kept.select("d0", "ticker", "mom", (F.lit(1.0) / F.least("size", "_cap")).alias("weight"))
 
 
 def pick_momentum_live(mom: DataFrame, decile: float = 0.10, min_picks: int = 5) -> DataFrame:
@@ -141,9 +144,9 @@ def pick_momentum_topk(own: DataFrame, min_names: int = 10, share: float = 0.10)
     ready = own.where(F.col("mom").isNotNull())
     sizes = (ready.groupBy("d0").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_names)
              .select("d0", F.greatest(F.lit(5), F.floor(F.col("_n") * F.lit(share)) + 1).alias("_cap")))
-    picks = _position(ready.join(F.broadcast(sizes), "d0"), ["d0"],
-                      F.struct((-F.col("mom")).alias("s"), F.col("ticker"))).where(F.col("place") <= F.col("_cap"))
-    return equal_weight(picks, []).join(ready.select("d0", "ticker", "mom"), ["d0", "ticker"])
+    kept = _position(ready.join(F.broadcast(sizes), "d0"), ["d0"],
+                     F.struct((-F.col("mom")).alias("s"), F.col("ticker"))).where(F.col("place") <= F.col("_cap"))
+    return kept.select("d0", "ticker", "mom", (F.lit(1.0) / F.least("size", "_cap")).alias("weight"))
 
 
 def liquid_universe(bars: DataFrame, n: int = 200, min_price: float = 5.0, min_dv: float = 500_000.0) -> DataFrame:

@@ -195,7 +195,7 @@ STOP = 0.95  # see FIXTURES 3: the derived prices rarely fall 15 %
 
 
 def cands(spark, sf) -> DataFrame:
-    return select.candidates(fixtures.scores(spark, sf))
+    return shared(spark, f"candidates {sf}", lambda: select.candidates(fixtures.scores(spark, sf)))
 
 
 def fold_vol(spark, sf) -> DataFrame:
@@ -304,7 +304,7 @@ def pick_momentum_topk(spark, sf):
     own = features.own_momentum(bars, LOOKBACK, SKIP).withColumnRenamed("Date", "d0")
     rows = own.join(F.broadcast(decision_dates(bars).select("d0")), "d0").join(
         liquid.select("d0", "ticker"), ["d0", "ticker"], "left_semi")
-    return tidy(select.pick_momentum_topk(rows, MIN_NAMES))
+    return tidy(select.pick_momentum_topk(materialize(rows), MIN_NAMES))
 
 
 @register
@@ -490,7 +490,7 @@ def score_compare(spark, sf):
 
 @register
 def spearman_by_date(spark, sf):
-    return tidy(evaluate.spearman(aligned(spark, sf), ["Date"], "proba_left", "proba_right"))
+    return tidy(evaluate.spearman(materialize(aligned(spark, sf)), ["Date"], "proba_left", "proba_right"))
 
 
 @register
@@ -682,7 +682,7 @@ def external_book(spark, sf) -> DataFrame:
     bars = fixtures.bars(spark, sf, "week")
     own = features.own_momentum(bars, LOOKBACK, SKIP).withColumnRenamed("Date", "d0").where("mom IS NOT NULL")
     rows = own.join(F.broadcast(decision_dates(bars).select("d0")), "d0").select("d0", "ticker", "mom")
-    return select.pick_momentum(rows, 0.10, "score", MIN_NAMES)
+    return select.pick_momentum(materialize(rows), 0.10, "score", MIN_NAMES)
 
 
 @register
