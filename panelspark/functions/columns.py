@@ -77,3 +77,9 @@ def hash_unit(*parts) -> Column:
     """Reproducible value in [0, 1) from the md5 of the joined parts."""
     text = F.concat_ws("|", *[_col(p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
+
+
+def correlation(a, b) -> Column:
+    """Pearson correlation of the pairs without nulls; null where either side is constant."""
+    x, y = F.when(_col(b).isNotNull(), _col(a)), F.when(_col(a).isNotNull(), _col(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

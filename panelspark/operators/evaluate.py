@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import correlation
 from panelspark.functions.ranks import average_rank
 
 EPS = 1e-12
@@ -71,8 +72,8 @@ def compare_scores(common: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.avg(F.when(F.col("label_left") == F.col("label_right"), 1.0).otherwise(0.0)).alias("label_match"),
         F.max(rel).alias("close_max_diff"),
-        F.corr("proba_left", "proba_right").alias("pearson"),
-        F.corr("_a", "_b").alias("spearman"),
+        correlation("proba_left", "proba_right").alias("pearson"),
+        correlation("_a", "_b").alias("spearman"),
         F.avg(F.abs(F.col("proba_left") - F.col("proba_right"))).alias("mean_abs_diff"))
 
 
@@ -87,7 +88,7 @@ def spearman(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation per group. Only rows with both values are ranked."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = average_rank(average_rank(both, by, a, "_a"), by, b, "_b")
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.corr("_a", "_b").alias("spearman"))
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), correlation("_a", "_b").alias("spearman"))
 
 
 def null_summary(equities: DataFrame, keys: Sequence[str] = (), value: str = "equity_end") -> DataFrame:
@@ -138,7 +139,7 @@ def reconcile_returns(aligned: DataFrame, a: str = "local_return", b: str = "ext
     """Correlation, R², mean, absolute and squared difference of two return series."""
     d = F.col(b) - F.col(a)
     return aligned.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("months"), F.corr(a, b).alias("correlation"), F.pow(F.corr(a, b), 2).alias("r_squared"),
+        F.count(F.lit(1)).alias("months"), correlation(a, b).alias("correlation"), F.pow(correlation(a, b), 2).alias("r_squared"),
         F.avg(d).alias("mean_diff"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"))
 
 

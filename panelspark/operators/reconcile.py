@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import month_key, realized_month
+from panelspark.functions.columns import correlation, month_key, realized_month
 from panelspark.functions.joins import set_overlap
 from panelspark.operators.evaluate import (daily_sharpe, drawdown_dates, month_last, reconcile_returns,
                                            series_metrics)
@@ -49,7 +49,7 @@ def attribute_differences(aligned: DataFrame, picks: DataFrame) -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("months"), F.avg(F.when(F.col("exact_match"), gap)).alias("mae_exact"),
         F.avg(F.when(~F.col("exact_match"), gap)).alias("mae_inexact"),
-        F.corr(gap, 1 - F.col("jaccard")).alias("mismatch_corr"))
+        correlation(gap, 1 - F.col("jaccard")).alias("mismatch_corr"))
 
 
 def pick_summary(picks: DataFrame) -> DataFrame:

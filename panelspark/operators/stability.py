@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import DISTANCE_LABELS, distance_bin
+from panelspark.functions.columns import DISTANCE_LABELS, correlation, distance_bin
 from panelspark.functions.joins import set_overlap
 from panelspark.functions.ranks import average_rank
 from panelspark.functions.windows import decision_dates, gated
@@ -37,7 +37,7 @@ def monthly_stability(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """Sizes, overlap, rank correlation and mean probability change per decision."""
     ranked = average_rank(average_rank(rows, ["d0"], "proba_left", "_a"), ["d0"], "proba_right", "_b")
     stats = ranked.groupBy("d0").agg(
-        F.corr("_a", "_b").alias("rank_spearman"),
+        correlation("_a", "_b").alias("rank_spearman"),
         F.avg(F.abs(F.col("proba_left") - F.col("proba_right"))).alias("mean_abs_change"))
     overlap = set_overlap(F.col("left_picks"), F.col("right_picks"))
     return chosen.join(stats, "d0").select(

@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from panelspark.functions.columns import is_csuite, month_key, number_from_text
 from panelspark.functions.joins import asof_join
@@ -23,7 +24,7 @@ CELL_PATTERN = r"(?s)<td[^>]*>(.*?)</td>"
 SYMBOL_PATTERN = r"\">([A-Z][A-Z\.\-]{0,7})</a>"
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _unescape(cells: pd.Series) -> pd.Series:
     return cells.map(lambda row: [html.unescape(c).strip() for c in row])
 
