@@ -57,6 +57,16 @@ def set_overlap(left: Column, right: Column, empty: float | None = None) -> dict
     }
 
 
+def beside(one: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables side by side, as scalar subqueries rather than a cross join."""
+    out, names = one, list(one.columns)
+    for i, other in enumerate(others):
+        row = other.select(F.struct(*other.columns)).scalar()
+        out = out.select(*names, row.alias("_row")).select(*names, *[F.col("_row")[c].alias(c) for c in other.columns])
+        names += other.columns
+    return out
+
+
 def align_series(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows both series have."""
     return a.join(b, list(on), "inner")

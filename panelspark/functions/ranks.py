@@ -8,7 +8,7 @@ picks the smallest hashes of the distinct values, so it is the same on every
 recomputation and lost executors cannot make two branches disagree. Results are
 exact: the sample only decides where a group is cut.
 
-The collapsed counts are written once (see ``session.materialize``), because three
+The slotted counts are written once (see ``session.materialize``), because two
 branches read them.
 
 ``value`` must be a deterministic expression of the input; materialize first when it
@@ -32,15 +32,15 @@ def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows hold it, ``below`` rows hold
     a smaller one, ``total`` rows are in the group."""
     by = list(by)
-    counts = materialize(df.where(F.col(value).isNotNull())
-                         .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+    counts = (df.where(F.col(value).isNotNull())
+              .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
     lowest = Window.partitionBy(*by).orderBy(F.xxhash64(value), value)
     cuts = (counts.select(*by, value, F.row_number().over(lowest).alias("_r"))
             .where(F.col("_r") <= SAMPLE)
             .groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_cuts")))
-    slotted = counts.join(cuts if by != [_ALL] else F.broadcast(cuts), by).select(
+    slotted = materialize(counts.join(cuts if by != [_ALL] else F.broadcast(cuts), by).select(
         *by, value, "n",
-        F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_slot"))
+        F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_slot")))
     inside = Window.partitionBy(*by, "_slot").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = Window.partitionBy(*by).orderBy("_slot")

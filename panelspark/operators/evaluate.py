@@ -206,10 +206,13 @@ def best_trial(trials: DataFrame, by: Sequence[str] = (), trial: str = "variant"
 def validation_gate(candidate: DataFrame, control: DataFrame, tolerance: float = 0.02) -> DataFrame:
     """Candidate against control on their common dates: both growth and Sharpe must be
     higher, drawdown within tolerance."""
-    dates = candidate.select("d0").join(control.select("d0"), "d0").distinct()
-    both = [summarize(d.select("d0", "net").join(dates, "d0", "left_semi").withColumn("_k", F.lit(0)), ["_k"]).select(
-        "_k", *[F.col(c).alias(f"{p}_{c}") for c in ("months", "cagr", "sharpe", "max_dd")])
-        for d, p in ((candidate, "cand"), (control, "ctrl"))]
-    return both[0].join(both[1], "_k").drop("_k").withColumn(
+    both = candidate.select("d0", F.col("net").alias("cand")).join(control.select("d0", F.col("net").alias("ctrl")), "d0")
+    sides = both.select("d0", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("side"), F.col(p).alias("net")) for p in ("cand", "ctrl")])).alias("_x")).select(
+        "d0", "_x.side", "_x.net")
+    stats = summarize(sides, ["side"]).agg(*[
+        F.max(F.when(F.col("side") == p, F.col(c))).alias(f"{p}_{c}")
+        for p in ("cand", "ctrl") for c in ("months", "cagr", "sharpe", "max_dd")])
+    return stats.withColumn(
         "passed", (F.col("cand_cagr") > F.col("ctrl_cagr")) & (F.col("cand_sharpe") > F.col("ctrl_sharpe"))
         & (F.col("cand_max_dd") >= F.col("ctrl_max_dd") - tolerance))

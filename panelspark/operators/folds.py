@@ -27,11 +27,11 @@ def assign_folds(panel: DataFrame, train: int = TRAIN_DAYS, val: int = VAL_DAYS,
     """Every panel row once per (fold, role) whose range holds its date.
 
     Folds lie on a regular grid, so the memberships follow from the day offset; no
-    range join is needed. The only side input is the one-row date span.
+    range join is needed. The only side input is the date span, a scalar subquery.
     """
-    span = panel.agg(F.min("Date").alias("_a"), F.max("Date").alias("_b"))
-    day = F.datediff("Date", "_a")
-    last = F.floor((F.datediff("_b", "_a") - train - val - test) / test).cast("int")
+    span = panel.agg(F.struct(F.min("Date").alias("a"), F.max("Date").alias("b"))).scalar()
+    day = F.datediff("Date", "_s.a")
+    last = F.floor((F.datediff("_s.b", "_s.a") - train - val - test) / test).cast("int")
 
     def members(role: str, start: int, length: int):
         # fold k covers [start + k*test, start + length + k*test) in day offsets
@@ -42,9 +42,9 @@ def assign_folds(panel: DataFrame, train: int = TRAIN_DAYS, val: int = VAL_DAYS,
 
     roles = F.concat(*[F.coalesce(m, F.array().cast("array<struct<fold:int,role:string>>")) for m in (
         members("train", 0, train), members("val", train, val), members("test", train + val, test))])
-    placed = panel.join(F.broadcast(span)).select(
-        *panel.columns, "_a", F.explode(roles).alias("_m"))
-    val_start = F.date_add("_a", F.lit(train) + F.col("_m.fold") * test)
+    placed = panel.withColumn("_s", span).select(
+        *panel.columns, "_s", F.explode(roles).alias("_m"))
+    val_start = F.date_add("_s.a", F.lit(train) + F.col("_m.fold") * test)
     return placed.select(*panel.columns, "_m.fold", "_m.role", val_start.alias("val_start"),
                          F.date_add(val_start, val).alias("test_start"))
 
@@ -87,12 +87,12 @@ def trailing_split(panel: DataFrame, val: int = VAL_DAYS, train: int = TRAIN_DAY
                    embargo: int = EMBARGO_DAYS) -> DataFrame:
     """Live split: the newest ``val`` days validate, the ``train`` days before them
     train after purging."""
-    newest = panel.agg(F.max("Date").alias("_b"))
     start = F.date_sub("_b", val)
     role = (F.when(F.col("Date") >= start, "val")
             .when((F.col("Date") >= F.date_sub(start, train)) & (F.col("label_end") < F.date_sub(start, embargo)),
                   "train"))
-    return panel.join(F.broadcast(newest)).withColumn("role", role).where("role IS NOT NULL").drop("_b")
+    newest = panel.agg(F.max("Date")).scalar()
+    return panel.withColumn("_b", newest).withColumn("role", role).where("role IS NOT NULL").drop("_b")
 
 
 def write_folds(scored: DataFrame, path: str) -> None:

@@ -122,7 +122,11 @@ def grade_pending(spark: SparkSession, bars: DataFrame, log_path: str, grade_pat
         bad = verify_signals(todo, read_snapshots(spark, snapshot_path)).where(~F.col("ok")).take(1)
         if bad:
             raise ValueError(f"log row does not match its snapshot: {bad[0].run_id} {bad[0].ticker}")
-    graded = grade(todo, bars).join(todo.select(*PICK_KEY, "series", "manifest_sha256"), PICK_KEY)
+    # Grading only looks ahead of a decision, so earlier bars and other names are not read.
+    todo_from = todo.agg(F.min("decision_date")).scalar()
+    names = todo.select("ticker").union(todo.select("market")).distinct()
+    recent = bars.where(F.col("Date") > todo_from).join(names, "ticker", "left_semi")
+    graded = grade(todo, recent).join(todo.select(*PICK_KEY, "series", "manifest_sha256"), PICK_KEY)
     rounded = graded.select(*[
         F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in graded.dtypes]).withColumn(
         "graded_at_utc", F.lit(now) if now else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))

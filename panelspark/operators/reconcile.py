@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import correlation, month_key, realized_month
-from panelspark.functions.joins import set_overlap
+from panelspark.functions.joins import beside, set_overlap
 from panelspark.operators.evaluate import (daily_sharpe, drawdown_dates, month_last, reconcile_returns,
                                            series_metrics)
 from panelspark.operators.ledger import equity_curve, period_change
@@ -61,15 +61,11 @@ def pick_summary(picks: DataFrame) -> DataFrame:
 
 def reconcile(ledger: DataFrame, daily: DataFrame, complete_through: str | None = None) -> DataFrame:
     """One-row report: matched months, both engines' metrics and drawdown dates."""
-    aligned = align_returns(ledger, daily, complete_through).where("complete").withColumn("_k", F.lit(0))
-    ours = series_metrics(aligned, "local_return", ["_k"])
-    theirs = series_metrics(aligned, "ext_return", ["_k"])
-    rename = lambda d, p: d.select("_k", *[F.col(c).alias(f"{p}_{c}") for c in ("cagr", "sharpe", "max_dd")])
+    aligned = align_returns(ledger, daily, complete_through).where("complete")
+    metrics = [series_metrics(aligned, f"{p}_return").select(*[
+        F.col(c).alias(f"{p}_{c}") for c in ("cagr", "sharpe", "max_dd")]) for p in ("local", "ext")]
     local_curve = equity_curve(ledger.select("d0", "net")).select(F.col("d0").alias("Date"), "equity")
-    deep = [drawdown_dates(c).select(F.lit(0).alias("_k"), *[F.col(x).alias(f"{p}_{x}") for x in (
-        "peak_date", "trough_date")], F.col("max_dd").alias(f"{p}_curve_dd"))
-        for c, p in ((local_curve, "local"), (daily.select("Date", "equity"), "ext"))]
-    out = reconcile_returns(aligned, keys=["_k"]).join(rename(ours, "local"), "_k").join(rename(theirs, "ext"), "_k")
-    for d in deep:
-        out = out.join(d, "_k")
-    return out.join(daily_sharpe(daily).withColumn("_k", F.lit(0)), "_k").drop("_k")
+    deep = [drawdown_dates(c).select(*[F.col(x).alias(f"{p}_{x}") for x in ("peak_date", "trough_date")],
+                                     F.col("max_dd").alias(f"{p}_curve_dd"))
+            for c, p in ((local_curve, "local"), (daily.select("Date", "equity"), "ext"))]
+    return beside(reconcile_returns(aligned), *metrics, *deep, daily_sharpe(daily))

@@ -30,7 +30,7 @@ def growth_rate(fund: DataFrame) -> DataFrame:
     Quarterly: last 30 values, at least 12; annual: last 10, at least 5. Any
     non-positive value, or too few, gives 0; the result is clipped to +-0.5.
     """
-    rows = fund.join(F.broadcast(periods_per_year(fund)), "ticker")
+    rows = fund.join(periods_per_year(fund), "ticker")
     known = F.col("qeps").isNotNull()
     w = Window.partitionBy("ticker", known).orderBy("filed_date")
     numbered = rows.withColumn("_i", F.row_number().over(w).cast("double"))
@@ -151,7 +151,7 @@ def fair_benchmark(asof: DataFrame) -> DataFrame:
     first = able.agg(F.min("i")).scalar()
     members = able.where(F.col("i") == first).select("ticker", F.col("price").alias("p0"))
     size = members.agg(F.count(F.lit(1))).scalar()
-    held = asof.where(F.col("i") >= first).join(F.broadcast(members), "ticker")
+    held = asof.where(F.col("i") >= first).join(members, "ticker")
     return held.groupBy("i", "d").agg(
         (F.sum(F.coalesce("price", F.lit(0.0)) / F.col("p0")) / size).alias("bench"))
 

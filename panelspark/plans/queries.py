@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import hash_unit, is_month_end, realized_month
-from panelspark.functions.joins import set_overlap
+from panelspark.functions.joins import beside, set_overlap
 from panelspark.functions.windows import decision_dates
 from panelspark.operators import (brake, evaluate, features, folds, labels, ledger, model, paper, provenance, reconcile,
                                   select, stability, stats, value)
@@ -450,7 +450,7 @@ def brake_ledger(spark, sf):
 @register
 def cost_sweep(spark, sf):
     swept = ledger.cost_sweep(base_ledger(spark, sf), [0, 5, 10, 25, 50], KEYS)
-    return tidy(evaluate.sweep_summary(swept, ["arm", "cost_bps"]))
+    return tidy(evaluate.sweep_summary(materialize(swept), ["arm", "cost_bps"]))
 
 
 TRIALS = 50
@@ -484,8 +484,7 @@ def auc_by_fold(spark, sf):
 @register
 def score_compare(spark, sf):
     common = materialize(aligned(spark, sf))
-    gap = evaluate.close_gap(common).select("close_gap").withColumn("_k", F.lit(0))
-    return tidy(evaluate.compare_scores(common).withColumn("_k", F.lit(0)).join(gap, "_k").drop("_k"))
+    return tidy(beside(evaluate.compare_scores(common), evaluate.close_gap(common).select("close_gap")))
 
 
 @register
@@ -571,13 +570,18 @@ def deflated_sharpe(spark, sf):
 SCENARIOS = [("formal", 5, []), ("formal, variance without base", 5, ["base"]), ("broad", 38, ["base"])]
 
 
+def momentum_shared(spark, sf) -> DataFrame:
+    """The momentum ledger as a table, for the queries that study it."""
+    return shared(spark, f"momentum ledger {sf}", lambda: momentum_rows(spark, sf))
+
+
 def momentum_series(spark, sf) -> DataFrame:
-    return momentum_rows(spark, sf).select(F.lit("momentum").alias("series"), "d0", "net")
+    return momentum_shared(spark, sf).select(F.lit("momentum").alias("series"), "d0", "net")
 
 
 @register
 def bootstrap_ci(spark, sf):
-    return tidy(stats.bootstrap_ci(materialize(momentum_series(spark, sf)), draws=500))
+    return tidy(stats.bootstrap_ci(momentum_series(spark, sf), draws=500))
 
 
 def monthly_returns(spark, sf) -> DataFrame:
@@ -696,27 +700,29 @@ def equity_days(spark, sf) -> DataFrame:
 
 @register
 def reconcile_returns(spark, sf):
-    return tidy(reconcile.align_returns(momentum_rows(spark, sf), equity_days(spark, sf), "2001-06-01"))
+    return tidy(reconcile.align_returns(momentum_shared(spark, sf), equity_days(spark, sf), "2001-06-01"))
+
+
+def pick_overlap(spark, sf) -> DataFrame:
+    local = reconcile.local_pick_sets(momentum_book(fixtures.bars(spark, sf, "week")))
+    return reconcile.reconcile_picks(local, external.pick_sets(external_picks(spark, sf)))
 
 
 @register
 def reconcile_picks(spark, sf):
-    local = reconcile.local_pick_sets(momentum_book(fixtures.bars(spark, sf, "week")))
-    both = reconcile.reconcile_picks(local, external.pick_sets(external_picks(spark, sf)))
-    return tidy(both.withColumn("ext_picks", F.array_join("ext_picks", ",")).withColumn(
+    return tidy(pick_overlap(spark, sf).withColumn("ext_picks", F.array_join("ext_picks", ",")).withColumn(
         "local_picks", F.array_join("local_picks", ",")))
 
 
 @register
 def reconcile_summary(spark, sf):
-    return tidy(reconcile.reconcile(materialize(momentum_rows(spark, sf)), equity_days(spark, sf), "2001-06-01"))
+    return tidy(reconcile.reconcile(momentum_shared(spark, sf), equity_days(spark, sf), "2001-06-01"))
 
 
 @register
 def attribute_differences(spark, sf):
-    local = reconcile.local_pick_sets(momentum_book(fixtures.bars(spark, sf, "week")))
-    both = reconcile.reconcile_picks(local, external.pick_sets(external_picks(spark, sf)))
-    rows = reconcile.align_returns(momentum_rows(spark, sf), equity_days(spark, sf), "2001-06-01")
+    both = materialize(pick_overlap(spark, sf))
+    rows = reconcile.align_returns(momentum_shared(spark, sf), equity_days(spark, sf), "2001-06-01")
     return tidy(reconcile.attribute_differences(rows, both))
 
 

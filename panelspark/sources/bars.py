@@ -62,43 +62,46 @@ def bars_from_payload(payloads: DataFrame) -> DataFrame:
         F.coalesce("volume", F.lit(0.0)).alias("Volume"))
 
 
+def _hundredths(c: str):
+    """Value in whole hundredths as BIGINT; long sums are exact in any order and cheap."""
+    return F.round(F.col(c).cast("decimal(18,2)").cast("double") * 100).cast("bigint")
+
+
 def bars_from_lines(lines: DataFrame, supplier: DataFrame, part: DataFrame, period: str = "day",
                     market: str | None = None) -> DataFrame:
     """Bars from order lines: the ticker is the supplier nation, prices are part
     prices weighted by quantity.
 
-    Sums go through DECIMAL and are therefore the same in any order. ``market``
-    names one index ticker over all lines instead. The aggregation combines
-    map-side, so a nation with most of the lines costs no more than another.
+    Prices and quantities are summed as whole hundredths and are therefore the same in
+    any order. ``market`` names one index ticker over all lines instead. The aggregation
+    combines map-side, so a nation with most of the lines costs no more than another.
     """
-    day = F.col("l_shipdate").cast("date")
-    when = day if period == "day" else F.date_trunc(period, F.col("l_shipdate")).cast("date")
-    price = F.col("p_retailprice").cast("decimal(18,2)")
-    quantity = F.col("l_quantity").cast("decimal(9,2)")
+    when = F.col("l_shipdate").cast("date") if period == "day" else F.date_trunc(period, "l_shipdate").cast("date")
+    base = lines.select("l_partkey", "l_suppkey", when.alias("Date"), _hundredths("l_quantity").alias("_q"))
     if market:
-        base, ticker = lines, F.lit(market)
+        base, ticker = base.drop("l_suppkey"), F.lit(market)
     else:
-        base = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        ticker = F.concat(F.lit("T"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0"))
-    joined = base.join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(ticker.alias("ticker"), when.alias("Date")).agg(
-        (F.sum(price).cast("double") / F.count(F.lit(1))).alias("Open"),
+        names = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.concat(
+            F.lit("T"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("ticker"))
+        base, ticker = base.join(names, "l_suppkey"), F.col("ticker")
+    prices = part.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", _hundredths("p_retailprice").alias("_p"))
+    quantity = F.sum("_q")
+    return base.join(prices, "l_partkey").groupBy(ticker.alias("ticker"), "Date").agg(
+        (F.sum("_p") / F.lit(100.0) / F.count(F.lit(1))).alias("Open"),
         F.max("p_retailprice").alias("High"),
         F.min("p_retailprice").alias("Low"),
-        (F.sum(price * quantity).cast("double") / F.sum(quantity).cast("double")).alias("Close"),
-        F.sum(quantity).cast("double").alias("Volume"))
+        ((F.sum(F.col("_p") * F.col("_q")) / F.lit(10000.0)) / (quantity / F.lit(100.0))).alias("Close"),
+        (quantity / F.lit(100.0)).alias("Volume"))
 
 
 def vintage(bars: DataFrame, max_gap: int = 7, oldest: int = 5) -> DataFrame:
     """Last date per ticker with the span guard; the ``oldest`` stalest tickers."""
     ends = bars.groupBy("ticker").agg(F.max("Date").alias("last_date"))
-    span = ends.agg(F.min("last_date").alias("_a"), F.max("last_date").alias("_b"),
-                    F.count(F.lit(1)).alias("symbols"))
-    return (ends.orderBy("last_date", "ticker").limit(oldest)
-            .join(F.broadcast(span)).select(
-                "ticker", "last_date", "symbols",
-                F.datediff("_b", "_a").cast("bigint").alias("span_days"),
-                (F.datediff("_b", "_a") <= max_gap).alias("ok")))
+    span = ends.agg(F.struct(F.count(F.lit(1)).alias("symbols"),
+                             F.datediff(F.max("last_date"), F.min("last_date")).cast("bigint").alias("days"))).scalar()
+    return ends.orderBy("last_date", "ticker").limit(oldest).select("ticker", "last_date", span.alias("_s")).select(
+        "ticker", "last_date", F.col("_s.symbols").alias("symbols"), F.col("_s.days").alias("span_days"),
+        (F.col("_s.days") <= max_gap).alias("ok"))
 
 
 def assert_vintage(bars: DataFrame, max_gap: int = 7) -> None:
