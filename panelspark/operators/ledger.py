@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.joins import asof_join
 from panelspark.functions.windows import calendar
+from panelspark.session import materialize
 
 HORIZON = 20
 
@@ -53,32 +55,36 @@ def leg_returns(picks: DataFrame, px: DataFrame, keys: Sequence[str] = (), horiz
     The exit is the close ``horizon`` sessions ahead on the group's own calendar, or
     on its last session; no later session returns 0. A missing entry or exit drops
     the leg. With a stop, the first close at or beyond it is realised at that close.
-    Sessions are met by equality on (ticker, ord), never by a range join.
+    The sessions of each leg (entry and exit, or all of them with a stop) are listed
+    from the calendar and met by equality on (ticker, Date), never by a range join. The
+    list is written out first: positions are few next to prices, and with their size
+    known the planner broadcasts them, so prices are scanned once and not shuffled.
     """
     check_stop(stop)
     keys = list(keys)
-    days = F.broadcast(calendar(px, keys))
-    placed = px.select(*keys, "ticker", "Date", "Close").join(days, [*keys, "Date"])
-    legs = picks.select(*keys, "ticker", F.col("d0").alias("Date")).distinct()
-    entry = legs.join(placed.where(F.col("Close").isNotNull()), [*keys, "ticker", "Date"]).select(
-        *keys, "ticker", F.col("Date").alias("d0"), F.col("Close").alias("p0"), F.col("ord").alias("o"),
-        F.least(F.col("ord") + horizon, F.col("last_ord")).alias("x"))
-    future = placed.select(*keys, "ticker", "ord", F.col("Close").alias("p"))
-    first = F.col("o") + 1 if stop is not None else F.col("x")
-    steps = F.when(F.col("x") > F.col("o"), F.sequence(F.least(first, F.col("x")), F.col("x")))
-    walk = entry.select("*", F.explode_outer(steps).alias("ord")).join(future, [*keys, "ticker", "ord"], "left")
-    end = F.max(F.when(F.col("ord") == F.col("x"), F.col("p")))
-    if stop is None:
-        exit_price = end
-    else:
-        ratio = F.col("p") / F.col("p0")
-        hit = ratio >= 1 / stop if short else ratio <= stop
-        stopped = F.min(F.when(hit, F.struct("ord", "p")))
-        exit_price = F.coalesce(stopped["p"], end)
-    out = walk.groupBy(*keys, "ticker", "d0", "p0", "o", "x").agg(exit_price.alias("exit"))
-    ret = F.col("p0") / F.col("exit") - 1 if short else F.col("exit") / F.col("p0") - 1
-    return out.select(*keys, "ticker", "d0", F.when(F.col("x") == F.col("o"), 0.0).otherwise(ret).alias("ret")).where(
-        F.col("ret").isNotNull())
+    leg = [*keys, "ticker", "d0"]
+    days = calendar(px, keys)
+    held = picks.select(*leg).distinct().join(
+        F.broadcast(days.withColumnRenamed("Date", "d0")), [*keys, "d0"]).select(
+        *leg, F.col("ord").alias("o"), F.least(F.col("ord") + horizon, F.col("last_ord")).alias("x"))
+    spots = F.array_distinct(F.array("o", "x")) if stop is None else F.sequence("o", "x")
+    walk = materialize(held.select(*leg, "o", "x", F.explode(spots).alias("ord")).join(
+        F.broadcast(days.select(*keys, "ord", "Date")), [*keys, "ord"]))
+    seen = px.select(*keys, "ticker", "Date", "Close").where(F.col("Close").isNotNull()).join(
+        walk, [*keys, "ticker", "Date"])
+    path = [] if stop is None else [F.array_sort(F.collect_list(F.struct("ord", F.col("Close").alias("p")))).alias("path")]
+    priced = seen.groupBy(*leg, "o", "x").agg(
+        F.max(F.when(F.col("ord") == F.col("o"), F.col("Close"))).alias("p0"),
+        F.max(F.when(F.col("ord") == F.col("x"), F.col("Close"))).alias("end"), *path)
+    exit_price = F.col("end")
+    if stop is not None:
+        def beyond(s):
+            ratio = s["p"] / F.col("p0")
+            return (s["ord"] > F.col("o")) & (ratio >= 1 / stop if short else ratio <= stop)
+        exit_price = F.coalesce(F.get(F.filter("path", beyond), F.lit(0))["p"], exit_price)
+    ret = F.col("p0") / exit_price - 1 if short else exit_price / F.col("p0") - 1
+    return priced.where(F.col("p0").isNotNull()).select(
+        *leg, F.when(F.col("x") == F.col("o"), 0.0).otherwise(ret).alias("ret")).where(F.col("ret").isNotNull())
 
 
 def gross_returns(books: DataFrame, px: DataFrame, keys: Sequence[str] = (), grid: Sequence[str] = (),
@@ -110,6 +116,7 @@ def run_book(books: DataFrame, decisions: DataFrame, px: DataFrame, keys: Sequen
              missing: str = "cash", shorts: bool = False) -> DataFrame:
     """Month ledger: gross, cost (turnover and borrow), net and running equity."""
     keys = list(keys)
+    books = materialize(books)
     trades = turnover(books, decisions, keys)
     gains = gross_returns(books, px, keys, grid, horizon, stop, stop_short, missing, shorts)
     rows = trades.join(gains, [*keys, "d0"], "left").select(
@@ -157,7 +164,6 @@ def benchmark_legs(decisions: DataFrame, market: DataFrame, horizon: int = 21) -
     placed = market.join(days, "Date").select("Date", "ord", "Close")
     dates = decisions.select("d0").distinct()
     lookup = placed.select(F.col("Date").alias("day"), "ord", F.col("Close").alias("p0"))
-    from panelspark.functions.joins import asof_join
     start = asof_join(dates.withColumn("_k", F.lit(0)), lookup.withColumn("_k", F.lit(0)), ["_k"], "d0", "day",
                       unique_left=True)
     return (start.join(placed.select((F.col("ord") - horizon).alias("ord"), F.col("Close").alias("p1")), "ord")

@@ -370,13 +370,13 @@ def ledger_summary(spark, sf):
 @register
 def ledger_ls(spark, sf):
     rows = cands(spark, sf)
-    book = materialize(select.pick_long_short(rows, longs=5, shorts=5))
+    book = select.pick_long_short(rows, longs=5, shorts=5)
     return tidy(ledger.run_book(book, rows, fixtures.scores(spark, sf), KEYS, KEYS, borrow_apr=0.05, stop=STOP,
                                 stop_short=STOP, shorts=True).select(*KEYS, *LEDGER), 8)
 
 
 def risk_ledger(spark, sf) -> DataFrame:
-    book = materialize(risk_book(spark, sf))
+    book = risk_book(spark, sf)
     return ledger.run_book(book, cands(spark, sf), fixtures.scores(spark, sf), KEYS, KEYS, cost_bps=25.0, stop=STOP)
 
 
@@ -402,7 +402,7 @@ def ledger_sticky(spark, sf):
 @register
 def ledger_trend(spark, sf):
     book, dates = trend_book(spark, sf)
-    return tidy(ledger.run_book(materialize(book), dates, fixtures.bars(spark, sf), cost_bps=10.0, horizon=21,
+    return tidy(ledger.run_book(book, dates, fixtures.bars(spark, sf), cost_bps=10.0, horizon=21,
                                 missing="survivors").select(*LEDGER), 8)
 
 
@@ -411,7 +411,7 @@ def control_ledger(spark, sf, ml_weight: float = 0.0, inverse_vol: bool = False)
     book = select.pick_blend(blended(spark, sf, ml_weight, None), 5)
     if inverse_vol:
         book = select.weight_inverse_vol(book, features.trailing_vol(fixtures.all_bars(spark, sf)))
-    return ledger.run_book(materialize(book), cands(spark, sf), fixtures.all_bars(spark, sf), KEYS, (),
+    return ledger.run_book(book, cands(spark, sf), fixtures.all_bars(spark, sf), KEYS, (),
                            cost_bps=25.0, stop=STOP)
 
 
@@ -459,7 +459,7 @@ TRIALS = 50
 @register
 def null_books(spark, sf):
     rows = materialize(cands(spark, sf).where(F.col("arm") == "legacy"))
-    book = materialize(ledger.null_books(rows, TRIALS, 5))
+    book = ledger.null_books(rows, TRIALS, 5)
     dates = rows.select(*KEYS, "d0").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
     run = ledger.run_book(book, dates, fixtures.scores(spark, sf), [*KEYS, "trial"], KEYS)
     return tidy(evaluate.null_summary(evaluate.summarize(run, [*KEYS, "trial"]), KEYS))
@@ -525,7 +525,7 @@ def trial_nets(spark, sf) -> DataFrame:
     """Net series of every variant with its half, one plan for all variants."""
     names = F.explode(F.array(*[F.lit(p["variant"]) for p in GRID])).alias("variant")
     dates = cands(spark, sf).select(*KEYS, "d0").distinct().select(*KEYS, "d0", names)
-    run = ledger.run_book(materialize(grid_books(spark, sf)), dates, fixtures.scores(spark, sf), [*KEYS, "variant"],
+    run = ledger.run_book(grid_books(spark, sf), dates, fixtures.scores(spark, sf), [*KEYS, "variant"],
                           KEYS, cost_bps=25.0, stop=STOP)
     return folds.split_halves(run, "fold")
 
