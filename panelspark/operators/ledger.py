@@ -142,12 +142,13 @@ def equity_curve(ledger: DataFrame, keys: Sequence[str] = (), net: str = "net",
     return peaked.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 
-def cost_sweep(ledger: DataFrame, costs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+def cost_sweep(ledger: DataFrame, costs: Sequence[float], keys: Sequence[str] = (),
+               borrow_apr: float = 0.0) -> DataFrame:
     """The ledger at every cost level. Books, legs and turnover do not depend on the
     cost, so only month rows multiply."""
     base = ledger.drop("cost", "net", "equity", "peak", "drawdown")
     swept = base.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
-    return with_costs(swept, "cost_bps", 0.0, [*keys, "cost_bps"])
+    return with_costs(swept, "cost_bps", borrow_apr, [*keys, "cost_bps"])
 
 
 def ensemble(a: DataFrame, b: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

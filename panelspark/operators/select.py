@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.joins import asof_join
 from panelspark.functions.ranks import average_rank, group_quantile, ordered_counts
 from panelspark.functions.windows import calendar, decision_dates
+from panelspark.session import materialize
 
 KEYS = ("arm", "fold")
 
@@ -246,6 +247,17 @@ def pick_trend(signal: DataFrame, bars: DataFrame, stride: int = 1) -> DataFrame
     return equal_weight(held.join(F.broadcast(plan), "src").select("d0", "ticker"), [])
 
 
+def pick_quality(bars: DataFrame, fund: DataFrame, share: float = 0.5) -> DataFrame:
+    """Upper share of names by return on equity as filed, among those with a price on the
+    decision date, equal weight."""
+    dates = decision_dates(bars).select(F.col("d0").alias("Date"))
+    rows = bars.join(F.broadcast(dates), "Date").select("ticker", F.col("Date").alias("d0"))
+    filed = fund.where(F.col("bvps") > 0).select("ticker", "filed_date", (F.col("eps_ttm") / F.col("bvps")).alias("roe"))
+    known = materialize(asof_join(rows, filed, ["ticker"], "d0", "filed_date", unique_left=True).where("roe IS NOT NULL"))
+    ranked = average_rank(known, ["d0"], "roe", "pct", pct=True).where(F.col("pct") >= share)
+    return equal_weight(ranked, [])
+
+
 def boundary(cands: DataFrame, thresh: float, n: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Picks and the effective boundary: the gate, or the n-th score of a full book."""
     picks = top_n(cands.where(F.col("proba") >= thresh), n, keys)

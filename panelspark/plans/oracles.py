@@ -451,25 +451,38 @@ CTES["calm"] = """SELECT l.arm, l.fold, l.d0, v.uvol, CASE WHEN v.uvol > 0.25::D
   FROM lr_led l ASOF LEFT JOIN avol v ON l.d0 >= v."Date" """
 SQL["calm_only"] = query(f"""SELECT arm, fold, d0, round(uvol, 8) AS uvol, round(net, 8) AS net, round(equity, 8) AS equity
   FROM {rebased('calm', 'arm, fold')}""")
-CTES["brk"] = """SELECT n.arm, n.fold, n.d0, n.m AS i, coalesce(g.gross, 0) AS gross0, p.pairs FROM lr_num n
-  LEFT JOIN lr_gross g USING (arm, fold, d0) LEFT JOIN (
+
+
+def brake_rows(prefix: str) -> str:
+    """Decisions with unbraked gross and the (previous, current) weight pairs."""
+    return f"""SELECT n.arm, n.fold, n.d0, n.m AS i, coalesce(g.gross, 0) AS gross0, p.pairs FROM {prefix}_num n
+  LEFT JOIN {prefix}_gross g USING (arm, fold, d0) LEFT JOIN (
     SELECT coalesce(a.arm, b.arm) AS arm, coalesce(a.fold, b.fold) AS fold, coalesce(a.m, b.m) AS m,
-      list({'a': coalesce(b.weight, 0), 'b': coalesce(a.weight, 0)} ORDER BY coalesce(a.ticker, b.ticker)) AS pairs
-    FROM (SELECT arm, fold, m, ticker, weight FROM lr_bk) a FULL JOIN (SELECT arm, fold, m + 1 AS m, ticker, weight FROM lr_bk) b
+      list({{'a': coalesce(b.weight, 0), 'b': coalesce(a.weight, 0)}} ORDER BY coalesce(a.ticker, b.ticker)) AS pairs
+    FROM (SELECT arm, fold, m, ticker, weight FROM {prefix}_bk) a FULL JOIN (SELECT arm, fold, m + 1 AS m, ticker, weight FROM {prefix}_bk) b
       ON a.arm = b.arm AND a.fold = b.fold AND a.m = b.m AND a.ticker = b.ticker GROUP BY 1, 2, 3) p
     ON n.arm = p.arm AND n.fold = p.fold AND n.m = p.m"""
-SQL["brake_ledger"] = query("""SELECT arm, fold, cost_bps, d0, f AS exposure, round(gross, 8) AS gross, round(turnover, 8) AS turnover,
-    round(net, 8) AS net, round(equity, 8) AS equity, round(equity / peak - 1, 8) AS drawdown FROM path WHERE i > 0""", recursive="""path AS (
+
+
+def brake_path(name: str, rows: str) -> str:
+    """The braked ledger as a recursion over the decisions of each key."""
+    return f"""{name} AS (
   SELECT arm, fold, cost_bps, 0::BIGINT AS i, NULL::DATE AS d0, 0.0::DOUBLE AS f, 0.0::DOUBLE AS gross, 0.0::DOUBLE AS turnover,
     0.0::DOUBLE AS net, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak
-  FROM (SELECT DISTINCT arm, fold FROM brk), (VALUES (5.0::DOUBLE), (25.0::DOUBLE)) c(cost_bps)
+  FROM (SELECT DISTINCT arm, fold FROM {rows}), (VALUES (5.0::DOUBLE), (25.0::DOUBLE)) c(cost_bps)
   UNION ALL
   SELECT arm, fold, cost_bps, i, d0, f, gross, turnover, net, e0 * (1 + net) AS equity, greatest(p0, e0 * (1 + net)) AS peak FROM (
     SELECT *, gross - turnover * cost_bps / 10000 AS net FROM (
       SELECT *, gross0 * f AS gross, 0.5::DOUBLE * coalesce(list_sum(list_transform(pairs, lambda x: abs(f * x.b - f0 * x.a))), 0) AS turnover FROM (
         SELECT b.*, p.cost_bps, p.equity AS e0, p.peak AS p0, p.f AS f0,
           CASE WHEN p.equity / p.peak - 1 < -0.02::DOUBLE THEN 0.5::DOUBLE ELSE 1 END AS f
-        FROM path p JOIN brk b ON p.arm = b.arm AND p.fold = b.fold AND b.i = p.i + 1))))""")
+        FROM {name} p JOIN {rows} b ON p.arm = b.arm AND p.fold = b.fold AND b.i = p.i + 1))))"""
+
+
+CTES["brk"] = brake_rows("lr")
+SQL["brake_ledger"] = query("""SELECT arm, fold, cost_bps, d0, f AS exposure, round(gross, 8) AS gross, round(turnover, 8) AS turnover,
+    round(net, 8) AS net, round(equity, 8) AS equity, round(equity / peak - 1, 8) AS drawdown FROM path WHERE i > 0""",
+                            recursive=brake_path("path", "brk"))
 CTES["sweep"] = """SELECT l.* REPLACE (gross - turnover * c / 10000 AS net), c AS cost_bps FROM lb_led l,
   (VALUES (0.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (25.0::DOUBLE), (50.0::DOUBLE)) v(c)"""
 CTES["sweep_all"] = summary_sql(rebased("sweep", "arm, cost_bps"), ("arm", "cost_bps"))
@@ -837,3 +850,30 @@ SQL["record_hash"] = query("""SELECT c_custkey, sha256('{"c_custkey":' || c_cust
   FROM customer""")
 SQL["manifest_diff"] = query("""SELECT 'doc/' || doc_id AS path, CASE lang WHEN 'de' THEN 'missing' ELSE 'changed' END AS status FROM documents WHERE lang IN ('de', 'fr')
   UNION ALL SELECT 'page/' || page_id, 'new' FROM pages""")
+
+
+# ---- configurations, outside data, quality sleeve -------------------------------------
+CTES["wexp"] = CTES["rexp"].replace("HAVING count(*) >= 5", "HAVING count(*) >= 1")
+CTES["wbook"] = CTES["rbook"].replace("JOIN rexp", "JOIN wexp")
+ledger_ctes("lw", "wbook", stop=0.95, cost=25.0, **FOLD)
+CTES["brkw"] = brake_rows("lw")
+CTES["cfg_base"] = """SELECT l.arm, l.fold, l.d0, l.turnover, l.gross - l.turnover * c / 10000 AS net, c AS cost_bps FROM lb_led l,
+  (VALUES (5.0::DOUBLE), (25.0::DOUBLE)) v(c)"""
+CTES["cfg_ls"] = """SELECT l.arm, l.fold, l.d0, l.turnover, l.gross - (l.cost - l.turnover * 5.0::DOUBLE / 10000) - l.turnover * c / 10000 AS net, c AS cost_bps
+  FROM lls_led l, (VALUES (5.0::DOUBLE), (25.0::DOUBLE)) v(c)"""
+SQL["config_sweep"] = query(summary_sql(rebased("cfg", "arm, config, cost_bps, fold"), ("arm", "config", "cost_bps", "fold"),
+                                        "round(avg(turnover), 6) AS avg_turnover,"),
+                            brake_path("path", "brk") + ",\n" + brake_path("wpath", "brkw") + """,
+cfg AS (SELECT arm, fold, d0, turnover, net, cost_bps, 'v2' AS config FROM path WHERE i > 0
+  UNION ALL SELECT arm, fold, d0, turnover, net, cost_bps, 'wide' FROM wpath WHERE i > 0
+  UNION ALL SELECT arm, fold, d0, turnover, net, cost_bps, 'base' FROM cfg_base
+  UNION ALL SELECT arm, fold, d0, turnover, net, cost_bps, 'ls' FROM cfg_ls)""")
+SQL["alpha_panel"] = query("""SELECT p.ticker, p."Date", round(p.ret_1, 6) AS ret_1, round(a.alpha_1, 6) AS alpha_1 FROM panel p LEFT JOIN (
+  SELECT cast(o_orderdate AS DATE) AS "Date", cast(sum(cast(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS alpha_1 FROM orders GROUP BY 1) a USING ("Date")""")
+CTES["qrows"] = f"""SELECT d0, ticker, {pct_rank_sql('roe', 'd0')} AS pct FROM (
+    SELECT b."Date" AS d0, b.ticker, f.roe FROM wbars b JOIN wdec d ON b."Date" = d.d0
+    ASOF LEFT JOIN (SELECT ticker, filed_date, eps_ttm / bvps AS roe FROM fund WHERE bvps > 0) f ON b.ticker = f.ticker AND b."Date" >= f.filed_date)
+  WHERE roe IS NOT NULL"""
+CTES["qbook"] = "SELECT d0, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY d0) AS weight FROM qrows WHERE pct >= 0.5::DOUBLE"
+ledger_ctes("lq", "qbook", "qbook", "wpx", "wcal", horizon=4, cost=25.0, missing="survivors")
+SQL["quality_sleeve"] = query(f"SELECT d0, m, n, {COLS8} FROM lq_eq")

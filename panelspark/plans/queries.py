@@ -13,6 +13,7 @@ from panelspark.functions.joins import beside, set_overlap
 from panelspark.functions.windows import decision_dates
 from panelspark.operators import (brake, evaluate, features, folds, labels, ledger, model, paper, provenance, reconcile,
                                   select, stability, stats, value)
+from panelspark.plans import configs
 from panelspark.plans.shape import tidy
 from panelspark.session import materialize, shared
 from panelspark.sources import bars as bar_sources
@@ -848,3 +849,33 @@ def gbt_scores(spark, sf):
 @register
 def gbt_evaluation(spark, sf):
     return tidy(model.evaluate_folds(gbt_rows(spark, sf), thresh=0.2, n=5, trials=20))
+
+
+# ---- configurations, outside data, quality sleeve ---------------------------------------
+# The stock configurations with stops and brake set where the derived prices reach them.
+TUNED = {
+    "base": configs.CONFIGS["base"],
+    "wide": {**configs.CONFIGS["wide"], "thresh": 0.25, "stop": STOP, "brake": 0.02},
+    "v2": {**configs.CONFIGS["v2"], "thresh": 0.25, "min_names": 5, "stop": STOP, "brake": 0.02},
+    "ls": {**configs.CONFIGS["ls"], "n": 5, "stop": STOP},
+}
+
+
+@register
+def config_sweep(spark, sf):
+    rows = configs.config_sweep(fixtures.scores(spark, sf), TUNED, [5.0, 25.0])
+    return tidy(evaluate.summarize(materialize(rows), ["arm", "config", "cost_bps", "fold"]))
+
+
+@register
+def alpha_panel(spark, sf):
+    alpha = fixtures.table(spark, sf, "orders").groupBy(F.col("o_orderdate").cast("date").alias("Date")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("alpha_1"))
+    return tidy(features.add_alpha(fixtures.panel(spark, sf).select("ticker", "Date", "ret_1"), alpha))
+
+
+@register
+def quality_sleeve(spark, sf):
+    bars = fixtures.bars(spark, sf, "week")
+    book = select.pick_quality(bars, fixtures.fundamentals(spark, sf))
+    return tidy(ledger.run_book(book, book, bars, cost_bps=25.0, horizon=HOLD, missing="survivors").select(*LEDGER), 8)
