@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from panelspark.session import materialize
 
 SAMPLE = 64
-_ALL = "_all"
 
 
 def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -38,7 +37,8 @@ def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     cuts = (counts.select(*by, value, F.row_number().over(lowest).alias("_r"))
             .where(F.col("_r") <= SAMPLE)
             .groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_cuts")))
-    slotted = materialize(counts.join(cuts if by != [_ALL] else F.broadcast(cuts), by).select(
+    cut = counts.join(cuts, by) if by else counts.withColumn("_cuts", cuts.scalar())
+    slotted = materialize(cut.select(
         *by, value, "n",
         F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_slot")))
     inside = Window.partitionBy(*by, "_slot").orderBy(value)
@@ -55,20 +55,14 @@ def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
                     (F.col("_before") + F.col("_run") - F.col("n")).alias("below"), "total"))
 
 
-def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    by = list(by)
-    return (df, by) if by else (df.withColumn(_ALL, F.lit(0)), [_ALL])
-
-
 def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, pct: bool = False) -> DataFrame:
     """Attach the average rank of ``value`` within ``by`` (null values rank null);
     ``pct`` divides by the non-null count of the group."""
-    source, keys = _grouped(df, by)
-    counts = ordered_counts(source, keys, value)
+    keys = list(by)
+    counts = ordered_counts(df, keys, value)
     rank = F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)
     lookup = counts.select(*keys, value, (rank / F.col("total") if pct else rank).alias(out))
-    joined = source.join(lookup, [*keys, value], "left")
-    return joined.select(*df.columns, out)
+    return df.join(lookup, [*keys, value], "left").select(*df.columns, out)
 
 
 def bounded_rank(by: Sequence[str], value: str) -> Column:
@@ -83,12 +77,12 @@ def bounded_rank(by: Sequence[str], value: str) -> Column:
 
 def group_quantile(df: DataFrame, by: Sequence[str], value: str, q: float, out: str = "q") -> DataFrame:
     """Exact linear-interpolation quantile per group, with the group's ``total``."""
-    source, keys = _grouped(df, by)
-    counts = ordered_counts(source, keys, value)
+    keys = list(by)
+    counts = ordered_counts(df, keys, value)
     spot = F.lit(float(q)) * (F.col("total") - 1)
     upto = F.col("below") + F.col("n")
     result = counts.groupBy(*keys, "total").agg(
         F.min(F.when(upto > F.floor(spot), F.col(value))).alias("_lo"),
         F.min(F.when(upto > F.ceil(spot), F.col(value))).alias("_hi"))
     value_at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (spot - F.floor(spot))
-    return result.select(*(k for k in keys if k != _ALL), "total", value_at.alias(out))
+    return result.select(*keys, "total", value_at.alias(out))

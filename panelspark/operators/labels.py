@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.functions.ranks import average_rank
 from panelspark.functions.windows import own_rows
 from panelspark.operators.features import FEATURES, add_features
+from panelspark.session import materialize
 
 HORIZON = 20
 TOP_SHARE = 0.20
@@ -29,7 +30,8 @@ def add_labels(panel: DataFrame, market: DataFrame, horizon: int = HORIZON) -> D
         F.lead("Date", horizon).over(w).alias("label_end"))
     joined = forward.join(F.broadcast(mkt), "Date", "left").withColumn(
         "excess", F.col("fwd_ret") - F.col("mkt_fwd"))
-    ranked = average_rank(joined, ["Date"], "excess", "_pct", pct=True)
+    # Ranking reads the rows twice, so the feature windows are not run again.
+    ranked = average_rank(materialize(joined), ["Date"], "excess", "_pct", pct=True)
     return ranked.withColumn(
         "label", F.when(F.col("_pct") >= 1 - TOP_SHARE, 1.0).otherwise(0.0)).drop("_pct")
 

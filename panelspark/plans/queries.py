@@ -573,11 +573,11 @@ SCENARIOS = [("formal", 5, []), ("formal, variance without base", 5, ["base"]),
 
 def momentum_shared(spark, sf) -> DataFrame:
     """The momentum ledger as a table, for the queries that study it."""
-    return shared(spark, f"momentum ledger {sf}", lambda: momentum_rows(spark, sf))
+    return shared(spark, f"momentum ledger {sf}", lambda: momentum_rows(spark, sf).withColumn("series", F.lit("momentum")))
 
 
 def momentum_series(spark, sf) -> DataFrame:
-    return momentum_shared(spark, sf).select(F.lit("momentum").alias("series"), "d0", "net")
+    return momentum_shared(spark, sf).select("series", "d0", "net")
 
 
 @register
