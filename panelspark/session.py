@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -41,7 +43,9 @@ def work_folder(spark: SparkSession) -> str:
     if named:
         root = named
     else:
-        _own_folder = _own_folder or tempfile.mkdtemp(prefix="spark-panelspark-")
+        if _own_folder is None:
+            _own_folder = tempfile.mkdtemp(prefix="spark-panelspark-")
+            atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
         root = _own_folder
     return f"{root.rstrip('/')}/panelspark-{spark.sparkContext.applicationId}"
 
