@@ -98,7 +98,7 @@ def trailing_split(panel: DataFrame, val: int = VAL_DAYS, train: int = TRAIN_DAY
 def write_folds(scored: DataFrame, path: str) -> None:
     """Scored test rows, partitioned by arm and fold; an existing path is refused."""
     assert_unique(scored, ["arm", "Date", "ticker"])
-    (scored.select("ticker", "Date", "Close", "label", "proba", "arm", "fold")
+    (scored.select("ticker", "Date", "Close", "label", "proba", "arm", "fold").hint("rebalance", "arm", "fold")
      .write.mode("errorifexists").partitionBy("arm", "fold").parquet(path))
 
 

@@ -60,7 +60,7 @@ def score_folds(purged: DataFrame, seeds: Sequence[int] = (0,), arm: str = "corr
                 **params) -> DataFrame:
     """Scored test rows of every fold and seed. Each fit is a distributed job; a few run
     at once. Scores are written out as they depend on the fitted trees."""
-    rows = materialize(purged)
+    rows = materialize(purged, partition_by=["fold"])
     folds = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
 
     def one(job: tuple[int, int]) -> DataFrame:

@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -50,16 +50,20 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/panelspark-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table in the work folder and read it back.
 
     Used where a result feeds several branches: the branches then scan a small
     columnar table whose size the planner knows, instead of repeating the whole plan,
-    and a lost executor costs no recomputation beyond its own tasks.
+    and a lost executor costs no recomputation beyond its own tasks. ``partition_by``
+    lays the table out for pruning; rebalancing keeps files even when one value is hot.
     """
     path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if partition_by:
+        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def shared(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> DataFrame:
