@@ -1,4 +1,4 @@
-"""Reference SQL for the registered queries, assembled from shared CTEs.
+"""SQL for the registered queries, assembled from shared CTEs.
 
 ``CTES`` lists building blocks in dependency order; ``query`` prepends the ones a
 statement names.
@@ -133,8 +133,8 @@ FULL = "round(avg(turnover), 6) AS avg_turnover, round(avg(CASE WHEN n > 0 THEN
 
 ledger_ctes("mo", "wpicks", "wpicks", "wpx", "wcal", horizon=4, cost=25.0, missing="survivors")
 
-SQL["bars_daily"] = query("""SELECT ticker, "Date", round("Open", 6) AS "Open", round("High", 6) AS "High",
-  round("Low", 6) AS "Low", round("Close", 6) AS "Close", round("Volume", 6) AS "Volume" FROM bars""")
+SQL["bars_daily"] = query("""SELECT ticker, "Date", round("Open", 9) AS "Open", round("High", 9) AS "High",
+  round("Low", 9) AS "Low", round("Close", 9) AS "Close", round("Volume", 9) AS "Volume" FROM bars""")
 SQL["formation_momentum"] = query("SELECT d0, ticker, round(mom, 6) AS mom FROM wmom")
 SQL["pick_momentum"] = query("SELECT d0, ticker, round(mom, 6) AS mom, round(weight, 6) AS weight FROM wpicks")
 SQL["momentum_ledger"] = query("""SELECT d0, m, n, round(gross, 8) AS gross, round(turnover, 8) AS turnover,

@@ -31,7 +31,8 @@ def register(fn):
 
 @register
 def bars_daily(spark, sf):
-    return tidy(bars_from_lines(*[fixtures.table(spark, sf, t) for t in ("lineitem", "supplier", "part")]))
+    # Prices are quotients of short decimals; nine digits keep clear of rounding ties.
+    return tidy(bars_from_lines(*[fixtures.table(spark, sf, t) for t in ("lineitem", "supplier", "part")]), 9)
 
 
 # Weekly momentum: 52 / 4 sessions, 4-session holds (see SURVEY 7.4 on history depth).
