@@ -35,7 +35,6 @@ RATIOS = {
     "mark_rate": "n_marks / greatest(n_words, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
 }
 
 
@@ -54,29 +53,31 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def repeated_words(words: Column) -> Column:
-    """Words in windows of three that stand twice or more in the array."""
-    size = F.size(words)
-    at = F.sequence(F.lit(1), size - 2)
-    windows = F.transform(at, lambda i: F.struct(
-        F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"),
-        F.get(words, i - 1).alias("a"), F.get(words, i).alias("b"), F.get(words, i + 1).alias("c"), i.alias("i")))
+def window_hashes(words: Column) -> Column:
+    """A hash of every window of three words."""
+    at = F.sequence(F.lit(1), F.size(words) - 2)
+    return F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
+        at, lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1))))
 
+
+def repeated_words(words: Column, hashes: Column) -> Column:
+    """Words in windows of three that stand twice or more in the array; windows with equal hashes are compared."""
     def same(x: Column, y: Column) -> Column:
-        return (x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        a, b = x["i"], y["i"]
+        return (x["h"] == y["h"]) & (F.get(words, a) == F.get(words, b)) & (
+            F.get(words, a + 1) == F.get(words, b + 1)) & (F.get(words, a + 2) == F.get(words, b + 2))
 
     def starts(s: Column) -> Column:
-        twice = F.filter(s, lambda x, k: (
-            F.when(k > 0, same(x, F.get(s, k - 1))).otherwise(False)
-            | F.coalesce(same(x, F.get(s, k + 1)), F.lit(False))))
-        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+        twice = F.filter(s, lambda x, k: same(x, F.get(s, k + 1)) | same(x, F.get(s, k - 1)))
+        return F.array_sort(F.transform(twice, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))),
                            F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(size < 3, F.lit(0).cast("long")).otherwise(
-        bind(F.sort_array(windows), lambda s: bind(starts(s), covered)))
+    placed = F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i"))
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(
+        bind(F.array_sort(placed), lambda s: bind(starts(s), covered)))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
@@ -85,19 +86,19 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words = F.array_remove(F.split(text, f"[{WHITE}]+"), "")
     row = [F.struct(*docs.columns).alias("__row")] if with_row else []
     cut = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"), words.alias("__words"), *row)
+    cut = cut.withColumn("__hashes", window_hashes(F.col("__words")))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(f"[^{WHITE}]"))
     counts = cut.select(
         "doc_id", *["__row"] * with_row, F.size("__words").cast("long").alias("n_words"),
         F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         (F.char_length("__text") - F.char_length(F.regexp_replace("__text", "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         bind(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))).alias("__lines"),
-        repeated_words(F.col("__words")).alias("n_repeat_words"),
-        F.size(F.array_distinct("__words")).cast("long").alias("n_distinct"),
+        repeated_words(F.col("__words"), F.col("__hashes")).alias("n_repeat_words"),
         (F.char_length("__text") - F.char_length(F.regexp_replace("__text", r"\p{Lu}+", ""))).cast("long").alias("n_upper"),
         (F.char_length("__text") - F.char_length(F.regexp_replace("__text", "[!?]+", ""))).cast("long").alias("n_marks"))
     named = counts.select("*", (F.col("__lines.n") - F.col("__lines.d")).cast("long").alias("n_dup_lines"),
                           F.col("__lines.n").cast("long").alias("n_lines")).drop("__lines")
-    return named.select("doc_id", *["__row"] * with_row, *BASE, "n_lines", "n_distinct", "n_upper", "n_marks",
+    return named.select("doc_id", *["__row"] * with_row, *BASE, "n_lines", "n_upper", "n_marks",
                         *[F.expr(e).cast("double").alias(n) for n, e in RATIOS.items()])
 
 
