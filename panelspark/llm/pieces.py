@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -210,7 +211,7 @@ def decode(encoded: DataFrame, model_path: str | None = None, ids_col: str = "to
     model = model_bytes(model_path)
 
     @F.pandas_udf("string")
-    def text_of(batches: Iterator) -> Iterator:
+    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary = Pieces(model)
         for batch in batches:
             yield batch.map(lambda ids: "" if ids is None else vocabulary.decode(list(ids)))

@@ -107,7 +107,7 @@ def base_failed() -> Column:
 
 
 def label_rows(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Statistics of labelled documents that pass the base rule, with bad (1 to be rejected) and grow (part to grow on)."""
+    """``stats``, a written table: labelled documents that pass the base rule, with bad (1 to be rejected) and grow (part to grow on)."""
     one = labels.groupBy(F.col("doc_id").alias("l_id")).agg(
         F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
     return (stats.where(~base_failed()).join(one, F.col("doc_id") == F.col("l_id"))
@@ -220,7 +220,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs that the base rule and the learned list keep; columns stay as they are."""
-    rules = learn(label_rows(statistics(docs, id_col, text_col), labels), **options)
-    # The statistics of a row are computed beside it; nothing is joined.
-    return statistics(docs, id_col, text_col, with_row=True).where(
-        ~base_failed() & (verdict(rules) == 0)).select("__row.*")
+    # Written once: a filter on the statistics would otherwise move below them and repeat them.
+    rows = materialize(statistics(docs, id_col, text_col, with_row=True))
+    rules = learn(label_rows(rows.drop("__row"), labels), **options)
+    return rows.where(~base_failed() & (verdict(rules) == 0)).select("__row.*")
