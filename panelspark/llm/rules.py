@@ -120,6 +120,27 @@ def bin_of(name: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(name)))
 
 
+STEP = 200  # bins of log(1 + statistic) in a unit
+
+
+def thresholds(rows: DataFrame, bins: int) -> dict[str, list[float]]:
+    """Cuts at quantiles of either label, from counts on a fixed logarithmic grid: a few thousand numbers whatever
+    the input, and the same in every run."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.floor(F.log1p(n) * STEP).alias("at")) for n in RATIOS]))
+    counted = rows.select("bad", each.alias("x")).groupBy("x.name", "bad", "x.at").agg(F.count("*").alias("n")).collect()
+    cuts: dict[str, set[float]] = {n: set() for n in RATIOS}
+    for name in RATIOS:
+        for side in (0, 1):
+            own = sorted((r["at"], r["n"]) for r in counted if r["name"] == name and r["bad"] == side)
+            total, seen, mark = sum(n for _, n in own), 0, 1
+            for at, n in own:
+                seen += n
+                if seen * bins >= mark * total:
+                    cuts[name].update((math.expm1(at / STEP), math.expm1((at + 1) / STEP)))
+                    mark = seen * bins // total + 1
+    return {n: sorted(c) for n, c in cuts.items()}
+
+
 def gain(p: int, n: int, p0: int, n0: int) -> float:
     if not p:
         return -math.inf
@@ -133,13 +154,7 @@ def learn(rows: DataFrame, bins: int = 64, most_rules: int = 8, most_conditions:
     size = rows.agg(F.count("*").alias("n"), F.sum("bad").alias("p")).first()
     if not size["n"] or not size["p"] or size["p"] == size["n"]:
         return []
-    marks = [k / bins for k in range(1, bins)]
-    cuts = {}
-    for side in (0, 1):  # thresholds at quantiles of either label
-        found = rows.where(F.col("bad") == side).agg(
-            *[F.percentile_approx(n, marks, 1000).alias(n) for n in RATIOS]).first()
-        for n in RATIOS:
-            cuts[n] = sorted({*cuts.get(n, []), *(found[n] or [])})
+    cuts = thresholds(rows, bins)
     binned = materialize(rows.select("bad", "grow", *RATIOS, *[bin_of(n, cuts[n]).alias(f"bin_{n}") for n in RATIOS]))
 
     def counts(part: DataFrame) -> dict[str, dict[int, tuple[int, int]]]:
