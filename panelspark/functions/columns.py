@@ -73,6 +73,12 @@ def number_from_text(c) -> Column:
     return F.regexp_replace(_col(c).cast("string"), r"[$,%]", "").try_cast("double")
 
 
+def padded(c, width: int = 2) -> Column:
+    """Digits padded with zeros to ``width``; longer ones stay whole."""
+    text = _col(c).cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def hash_unit(*parts) -> Column:
     """Reproducible value in [0, 1) from the md5 of the joined parts."""
     text = F.concat_ws("|", *[_col(p).cast("string") for p in parts])

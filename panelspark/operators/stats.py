@@ -73,10 +73,12 @@ def factor_regression(series: DataFrame, factors: DataFrame, cols: Sequence[str]
                       ret: str = "ret", lags: int = 3, min_months: int = 24) -> DataFrame:
     """Least squares on several factors with Newey-West errors: one row per term.
 
-    One group is the months of one series; series run in parallel.
+    Months without a return or one of the factors are left out. One group is the months of one series; series
+    run in parallel.
     """
     keys, cols = list(keys), list(cols)
-    rows = series.join(factors, "month").withColumn("_y", F.col(ret) - F.col("rf")).select(*keys, "month", "_y", *cols)
+    rows = series.join(factors, "month").withColumn("_y", F.col(ret) - F.col("rf")).select(*keys, "month", "_y", *cols).dropna(
+        subset=["_y", *cols])
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + \
         ", term string, months bigint, coef double, se double, t double, r2 double"

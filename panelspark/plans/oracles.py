@@ -496,7 +496,7 @@ SQL["cost_sweep"] = query("""SELECT arm, cost_bps, months, equity_end, sharpe AS
 CTES["nb"] = """SELECT arm, fold, trial, d0, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY arm, fold, trial, d0) AS weight FROM (
     SELECT arm, fold, trial, d0, ticker, row_number() OVER (PARTITION BY arm, fold, trial, d0
       ORDER BY md5(concat_ws('|', '0', trial, strftime(d0, '%Y-%m-%d'), ticker)), ticker) AS rn
-    FROM cands, range(50) r(trial) WHERE arm = 'legacy') WHERE rn <= 5"""
+    FROM cands, range(200) r(trial)) WHERE rn <= 5"""
 ledger_ctes("ln", "nb", "nb", "spx", "scal", ("arm", "fold", "trial"), KEYS)
 SQL["null_books"] = query("""SELECT arm, fold, count(*) AS trials, round(avg(e), 6) AS null_mean, round(stddev_samp(e), 6) AS null_std,
   round(quantile_cont(e, 0.05), 6) AS null_p5, round(quantile_cont(e, 0.95), 6) AS null_p95
@@ -632,7 +632,7 @@ SQL["deflated_sharpe"] = query(f"""SELECT scenario, trials, round(variance, 6) A
 CTES["bs"] = "SELECT row_number() OVER (ORDER BY d0) - 1 AS idx, net AS v, count(*) OVER () AS n FROM mo_led"
 CTES["bd"] = """SELECT draw, v FROM (SELECT draw, (s + j) % n AS idx FROM (
       SELECT draw, b, n, ('0x' || substr(md5(concat_ws('|', '0', draw, b)), 1, 7))::BIGINT % n AS s
-      FROM (SELECT DISTINCT n FROM bs), range(500) d(draw), range(200) k(b) WHERE b * 6 < n), range(6) q(j) WHERE b * 6 + j < n)
+      FROM (SELECT DISTINCT n FROM bs), range(5000) d(draw), range(200) k(b) WHERE b * 6 < n), range(6) q(j) WHERE b * 6 + j < n)
   JOIN bs USING (idx)"""
 CTES["bstat"] = """SELECT draw, avg(v) AS mean, pow(product(1 + v), 12.0::DOUBLE / count(*)) - 1 AS cagr,
     avg(v) / nullif(stddev_samp(v), 0) * sqrt(12) AS sharpe FROM bd GROUP BY 1"""

@@ -226,7 +226,8 @@ GRID = [
 
 def grid_books(spark, sf) -> DataFrame:
     rows = select.variants(cands(spark, sf), GRID)
-    return select.pick_threshold(rows, "gate", "names", [*KEYS, "variant"], most=40)
+    return select.pick_threshold(rows, "gate", "names", [*KEYS, "variant"],
+                                 most=max(g["names"] for g in GRID))
 
 
 @register
@@ -455,12 +456,12 @@ def cost_sweep(spark, sf):
     return tidy(evaluate.sweep_summary(materialize(swept), ["arm", "cost_bps"]))
 
 
-TRIALS = 50
+TRIALS = 200
 
 
 @register
 def null_books(spark, sf):
-    rows = materialize(cands(spark, sf).where(F.col("arm") == "legacy"))
+    rows = cands(spark, sf)
     book = ledger.null_books(rows, TRIALS, 5)
     dates = rows.select(*KEYS, "d0").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
     run = ledger.run_book(book, dates, fixtures.scores(spark, sf), [*KEYS, "trial"], KEYS)
@@ -583,7 +584,7 @@ def momentum_series(spark, sf) -> DataFrame:
 
 @register
 def bootstrap_ci(spark, sf):
-    return tidy(stats.bootstrap_ci(momentum_series(spark, sf), draws=500))
+    return tidy(stats.bootstrap_ci(momentum_series(spark, sf)))
 
 
 def monthly_returns(spark, sf) -> DataFrame:
@@ -609,8 +610,7 @@ def capm(spark, sf):
 
 @register
 def factor_regression(spark, sf):
-    rows = factor_rows(spark, sf).fillna(0.0, ["mom"])
-    return tidy(stats.factor_regression(monthly_returns(spark, sf), rows, ["mkt_rf", "smb", "hml", "rmw", "cma", "mom"]))
+    return tidy(stats.factor_regression(monthly_returns(spark, sf), factor_rows(spark, sf), ["mkt_rf", "smb", "hml", "rmw", "cma", "mom"]))
 
 
 # ---- value ----------------------------------------------------------------------------
@@ -792,7 +792,7 @@ def verify_signals(spark, sf):
     log = log_rows(spark, sf)
     names = ["decision_date", "model", "ticker", "signal_value", "signal_close", "stop_frac", "run_id"]
     snaps = log.select(*names).withColumn("record_sha256", provenance.record_hash(names))
-    n = F.coalesce(F.substring("ticker", 2, 2).try_cast("int"), F.lit(0))
+    n = F.coalesce(F.expr("substring(ticker, 2)").try_cast("int"), F.lit(0))
     drift = snaps.withColumn("signal_value", F.when(n % 10 == 3, F.col("signal_value") + 0.1).otherwise(F.col("signal_value")))
     twice = drift.unionByName(drift.where(n % 10 == 5))
     return tidy(paper.verify_signals(log, twice).select("run_id", "ticker", "model", "ok"))
@@ -853,7 +853,7 @@ def gbt_evaluation(spark, sf):
 
 
 # ---- configurations, outside data, quality sleeve ---------------------------------------
-# The stock configurations with stops and brake set where the derived prices reach them.
+# The fixed configurations with stops and brake set where the derived prices reach them.
 TUNED = {
     "base": configs.CONFIGS["base"],
     "wide": {**configs.CONFIGS["wide"], "thresh": 0.25, "stop": STOP, "brake": 0.02},

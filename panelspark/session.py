@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -37,11 +38,13 @@ def build_session(app: str = "panelspark", master: str | None = None, **conf: st
 
 def work_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; a private one is made
-    only where the setting is absent, as in tests."""
+    only where the setting is absent and the master is local, as in tests."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         root = named
+    elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="spark-panelspark-")

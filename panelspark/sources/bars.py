@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelspark.functions.columns import padded
+
 BAR_SCHEMA = "Date DATE, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume DOUBLE"
 BAR_COLUMNS = ["ticker", "Date", "Open", "High", "Low", "Close", "Volume"]
 VALUES = ["Open", "High", "Low", "Close", "Volume"]
@@ -82,7 +84,7 @@ def bars_from_lines(lines: DataFrame, supplier: DataFrame, part: DataFrame, peri
         base, ticker = base.drop("l_suppkey"), F.lit(market)
     else:
         names = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.concat(
-            F.lit("T"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0")).alias("ticker"))
+            F.lit("T"), padded("s_nationkey")).alias("ticker"))
         base, ticker = base.join(names, "l_suppkey"), F.col("ticker")
     prices = part.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", _hundredths("p_retailprice").alias("_p"))
     quantity = F.sum("_q")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import hash_unit
+from panelspark.functions.columns import hash_unit, padded
 from panelspark.operators.folds import assign_folds
 from panelspark.operators.labels import build_panel
 from panelspark.session import shared
@@ -70,7 +70,7 @@ def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.date_format(day, "yyyy-MM-dd").alias("filing_dt"),
         F.date_format(F.date_sub(day, 2), "yyyy-MM-dd").alias("trade_dt"),
-        F.concat(F.lit("T"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("ticker"),
+        F.concat(F.lit("T"), padded("c_nationkey")).alias("ticker"),
         F.col("o_custkey").cast("string").alias("insider"), title.alias("title"), ttype.alias("ttype"),
         F.lit("$1.50").alias("price"), F.lit("-1,000").alias("qty"),
         F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("value"))
@@ -80,7 +80,7 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly filings per nation: order values relative to the mean quarter, trailing
     sums and book values."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    ticker = F.concat(F.lit("T"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
+    ticker = F.concat(F.lit("T"), padded("c_nationkey"))
     quarter = F.date_trunc("quarter", F.col("o_orderdate")).cast("date")
     sums = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .groupBy(ticker.alias("ticker"), quarter.alias("q"))
@@ -154,7 +154,7 @@ def external_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 def external_log(picks: DataFrame) -> DataFrame:
     """Log lines announcing picks (``d0``, ``ticker``) in the month they realise; names
     with an even number appear under their first symbol."""
-    old = F.when(F.substring("ticker", 2, 2).cast("int") % 2 == 0, F.concat(F.lit("OLD"), "ticker")).otherwise(F.col("ticker"))
+    old = F.when(F.expr("substring(ticker, 2)").cast("int") % 2 == 0, F.concat(F.lit("OLD"), "ticker")).otherwise(F.col("ticker"))
     sets = picks.groupBy("d0").agg(F.array_join(F.sort_array(F.collect_set(old)), ",").alias("names"))
     line = F.concat(F.date_format(F.add_months(F.trunc("d0", "month"), 1), "yyyy-MM"), F.lit("-03 10:30:00 : picks: "), "names")
     noise = F.concat(F.lit("Launching analysis for "), F.col("d0").cast("string"))
