@@ -61,7 +61,9 @@ def merge_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def merge_tree(rows: DataFrame, nodes_for: int, fan: int, node_rows: int) -> DataFrame:
-    """rows (doc_id, digest, mark, bytes, repeats) to one row per digest: keep_id, rows."""
+    """rows (doc_id, digest, mark, bytes, repeats) to one row per digest: keep_id, rows. ``fan`` is a power of two."""
+    if fan < 2 or fan & (fan - 1):
+        raise ValueError("fan must be a power of two")
     rounds = 1
     while fan ** rounds * node_rows < nodes_for:
         rounds += 1
@@ -72,9 +74,8 @@ def merge_tree(rows: DataFrame, nodes_for: int, fan: int, node_rows: int) -> Dat
         F.col("doc_id").alias("keep_id"), F.col("repeats").alias("rows"))
     level = level.sortWithinPartitions("node", *ORDER).mapInPandas(merge_runs, RUN)
     for r in range(rounds):
-        step = fan ** r
-        digit = F.pmod(F.floor(F.col("mark") / F.lit(step)), F.lit(fan))
-        own = F.pmod(F.floor(F.col("node") / F.lit(step)), F.lit(fan))
+        step, bits = fan ** r, r * (fan.bit_length() - 1)
+        digit, own = (F.shiftrightunsigned(c, bits).bitwiseAND(F.lit(fan - 1)) for c in ("mark", "node"))
         level = level.withColumn("node", (F.col("node") + (digit - own) * step).cast("long"))
         level = level.repartition(width, "node").sortWithinPartitions("node", *ORDER).mapInPandas(merge_runs, RUN)
     return level.select(*ORDER, "keep_id", "rows")
