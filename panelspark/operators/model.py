@@ -12,11 +12,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.operators.features import model_columns
 from panelspark.session import materialize
 
 
+#: Columns of scored rows besides the arm and the seed.
+SCORED = "ticker STRING, Date DATE, Close DOUBLE, label DOUBLE, proba DOUBLE"
+
+
 @dataclass
 class FoldModel:
     features: VectorAssembler
@@ -73,6 +78,8 @@ def score_folds(purged: DataFrame, seeds: Sequence[int] = (0,), arm: str = "corr
 
     with ThreadPoolExecutor(parallel) as pool:
         parts = list(pool.map(one, [(f, s) for f in folds for s in seeds]))
+    if not parts:  # the gate left no fold
+        return rows.sparkSession.createDataFrame([], StructType.fromDDL(f"arm STRING, fold INT, seed INT, {SCORED}"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import correlation, month_key, realized_month
@@ -22,7 +22,14 @@ def external_monthly(daily: DataFrame) -> DataFrame:
     return period_change(month_last(daily, "equity"), "equity", out="ext_return").select("month", "ext_return")
 
 
-def align_returns(ledger: DataFrame, daily: DataFrame, complete_through: str | None = None) -> DataFrame:
+def last_complete_month(daily: DataFrame) -> Column:
+    """The newest month whose last weekday the daily series has reached."""
+    last = F.max("Date")
+    step = F.when(F.weekday(last) == 4, 3).when(F.weekday(last) == 5, 2).otherwise(1)
+    return daily.agg(F.add_months(F.trunc(F.date_add(last, step), "month"), -1)).scalar()
+
+
+def align_returns(ledger: DataFrame, daily: DataFrame, complete_through: str | Column | None = None) -> DataFrame:
     """Common months with the difference; months after ``complete_through`` are flagged
     as partial."""
     both = local_monthly(ledger).join(external_monthly(daily), "month").where(F.col("ext_return").isNotNull())

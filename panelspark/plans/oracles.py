@@ -273,11 +273,12 @@ CTES["rawf"] = """SELECT cast(o_orderdate AS DATE) AS filing_dt, cast(o_orderdat
     concat('T', lpad(cast(c_nationkey AS VARCHAR), 2, '0')) AS ticker, cast(o_custkey AS VARCHAR) AS insider,
     CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CEO' WHEN '2' THEN 'CFO' WHEN '3' THEN 'Dir' WHEN '4' THEN 'VP' ELSE 'COO' END AS title,
     CASE o_orderstatus WHEN 'P' THEN 'P - Purchase' WHEN 'F' THEN 'S - Sale' END AS ttype,
+    (100 + o_orderkey % 9900) / 100.0::DOUBLE AS price, cast(1000 + o_orderkey % 7919 AS DOUBLE) AS qty,
     cast(cast(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('P', 'F')"""
-CTES["fil"] = """SELECT * EXCLUDE (rn) FROM (SELECT *, substr(ttype, 1, 1) AS side, 1.5::DOUBLE AS price, 1000.0::DOUBLE AS qty,
+CTES["fil"] = """SELECT * EXCLUDE (rn) FROM (SELECT *, substr(ttype, 1, 1) AS side,
     CASE WHEN ttype LIKE 'P%' THEN abs(value) ELSE -abs(value) END AS sval,
-    row_number() OVER (PARTITION BY filing_dt, trade_dt, ticker, insider, substr(ttype, 1, 1)
+    row_number() OVER (PARTITION BY filing_dt, trade_dt, ticker, insider, substr(ttype, 1, 1), qty, price
       ORDER BY title, ttype, value) AS rn FROM rawf) WHERE rn = 1"""
 SQL["clean_filings"] = query("""SELECT filing_dt, trade_dt, ticker, insider, side, qty, price, title, ttype, value, sval FROM fil""")
 CTES["mfil"] = """SELECT ticker, cast(date_trunc('month', filing_dt) AS DATE) AS month, count(*) FILTER (WHERE side = 'P') AS n_buy,
@@ -438,19 +439,12 @@ SQL["turnover"] = query("""SELECT n.arm, n.fold, n.d0, n.m, round(coalesce(t.tur
   FROM lb_num n LEFT JOIN lb_turn t USING (arm, fold, m)""")
 SQL["legs_stop"] = query("SELECT arm, fold, ticker, d0, round(ret, 8) AS ret FROM lst_legs")
 SQL["legs_short"] = query("SELECT arm, fold, ticker, d0, round(ret, 8) AS ret FROM lsh_legs")
-for _n, _c in (("ledger_base", "lb"), ("ledger_ls", "lls"), ("ledger_risk", "lr"), ("ledger_hold10", "lh"),
+for _n, _c in (("ledger_base", "lb"), ("ledger_ls", "lls"), ("ledger_hold10", "lh"),
                ("ledger_sticky", "lk"), ("ledger_rank", "lrk")):
     SQL[_n] = query(f"SELECT arm, fold, d0, m, n, {COLS8} FROM {_c}_eq")
 SQL["ledger_trend"] = query(f"SELECT d0, m, n, {COLS8} FROM lt_eq")
 SQL["ledger_summary"] = query(summary_sql("lb_eq", KEYS, FULL))
-CTES["ens"] = "SELECT a.arm, a.fold, a.d0, (a.net + b.net) / 2 AS net FROM lr_led a JOIN lc_led b USING (arm, fold, d0)"
-SQL["ensemble"] = query(f"""SELECT arm, fold, d0, round(net, 8) AS net, round(equity, 8) AS equity,
-  round(drawdown, 8) AS drawdown FROM {rebased('ens', 'arm, fold')}""")
 CTES["avol"] = vol_cte("apx", "", "log")
-CTES["calm"] = """SELECT l.arm, l.fold, l.d0, v.uvol, CASE WHEN v.uvol > 0.25::DOUBLE THEN 0 ELSE l.net END AS net
-  FROM lr_led l ASOF LEFT JOIN avol v ON l.d0 >= v."Date" """
-SQL["calm_only"] = query(f"""SELECT arm, fold, d0, round(uvol, 8) AS uvol, round(net, 8) AS net, round(equity, 8) AS equity
-  FROM {rebased('calm', 'arm, fold')}""")
 
 
 def brake_rows(prefix: str) -> str:
@@ -483,6 +477,23 @@ CTES["brk"] = brake_rows("lr")
 SQL["brake_ledger"] = query("""SELECT arm, fold, cost_bps, d0, f AS exposure, round(gross, 8) AS gross, round(turnover, 8) AS turnover,
     round(net, 8) AS net, round(equity, 8) AS equity, round(equity / peak - 1, 8) AS drawdown FROM path WHERE i > 0""",
                             recursive=brake_path("path", "brk"))
+
+
+def braked(*more: str) -> str:
+    """The braked risk ledger at its cost, and CTEs built on it."""
+    return ",\n".join([brake_path("path", "brk"), """risk AS (SELECT p.arm, p.fold, p.d0, i AS m, coalesce(g.n, 0) AS n, gross, turnover,
+  turnover * cost_bps / 10000 AS cost, net, equity, equity / peak - 1 AS drawdown
+  FROM path p LEFT JOIN (SELECT arm, fold, d0, n FROM lr_gross) g USING (arm, fold, d0) WHERE i > 0 AND cost_bps = 25)""", *more])
+
+
+SQL["ledger_risk"] = query(f"SELECT arm, fold, d0, m, n, {COLS8} FROM risk", braked())
+SQL["ensemble"] = query(f"""SELECT arm, fold, d0, round(net, 8) AS net, round(equity, 8) AS equity,
+  round(drawdown, 8) AS drawdown FROM {rebased('ens', 'arm, fold')}""", braked(
+    "ens AS (SELECT a.arm, a.fold, a.d0, (a.net + b.net) / 2 AS net FROM risk a JOIN lc_led b USING (arm, fold, d0))"))
+SQL["calm_only"] = query(f"""SELECT arm, fold, d0, round(uvol, 8) AS uvol, round(net, 8) AS net, round(equity, 8) AS equity
+  FROM {rebased('calm', 'arm, fold')}""", braked(
+    """calm AS (SELECT l.arm, l.fold, l.d0, v.uvol, CASE WHEN v.uvol > 0.25::DOUBLE THEN 0 ELSE l.net END AS net
+  FROM risk l ASOF LEFT JOIN avol v ON l.d0 >= v."Date")"""))
 CTES["sweep"] = """SELECT l.* REPLACE (gross - turnover * c / 10000 AS net), c AS cost_bps FROM lb_led l,
   (VALUES (0.0::DOUBLE), (5.0::DOUBLE), (10.0::DOUBLE), (25.0::DOUBLE), (50.0::DOUBLE)) v(c)"""
 CTES["sweep_all"] = summary_sql(rebased("sweep", "arm, cost_bps"), ("arm", "cost_bps"))
@@ -583,8 +594,6 @@ SQL["promotion_gate"] = query("""SELECT arm, variant, sharpe, max_dd, cagr, shar
   FROM trialt WHERE half = 'tune'""")
 SQL["best_trial"] = query("""SELECT arm, half, variant, sharpe FROM (SELECT *, row_number() OVER (PARTITION BY arm, half
   ORDER BY sharpe DESC, variant) AS rn FROM trialt) WHERE rn = 1""")
-CTES["vcand"] = "SELECT a.d0, a.net FROM lr_led a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy'"
-CTES["vctrl"] = "SELECT b.d0, b.net FROM lr_led a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy'"
 
 
 def gate_side(source: str, p: str) -> str:
@@ -595,7 +604,9 @@ def gate_side(source: str, p: str) -> str:
 SQL["validation_gate"] = query(f"""SELECT cand_months, round(cand_cagr, 6) AS cand_cagr, round(cand_sharpe, 6) AS cand_sharpe,
   round(cand_max_dd, 6) AS cand_max_dd, ctrl_months, round(ctrl_cagr, 6) AS ctrl_cagr, round(ctrl_sharpe, 6) AS ctrl_sharpe,
   round(ctrl_max_dd, 6) AS ctrl_max_dd, cand_cagr > ctrl_cagr AND cand_sharpe > ctrl_sharpe AND cand_max_dd >= ctrl_max_dd - 0.02::DOUBLE AS passed
-  FROM ({gate_side('vcand', 'cand')}), ({gate_side('vctrl', 'ctrl')})""")
+  FROM ({gate_side('vcand', 'cand')}), ({gate_side('vctrl', 'ctrl')})""", braked(
+    "vcand AS (SELECT a.d0, a.net FROM risk a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy')",
+    "vctrl AS (SELECT b.d0, b.net FROM risk a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy')"))
 CTES["moments"] = """SELECT arm, variant, half, count(*) AS months, coalesce(avg(net) / nullif(stddev_samp(net), 0), 0) AS sharpe_m,
     avg(pow(net - mu, 3)) / pow(avg(pow(net - mu, 2)), 1.5) AS skew, avg(pow(net - mu, 4)) / pow(avg(pow(net - mu, 2)), 2) AS kurtosis
   FROM (SELECT *, avg(net) OVER (PARTITION BY arm, variant, half) AS mu FROM tn) GROUP BY 1, 2, 3"""
@@ -763,7 +774,7 @@ CTES["recp"] = f"""SELECT month, list_sort(l.p) AS rp, list_sort(e.p) AS lp, len
 SQL["reconcile_picks"] = query(f"""SELECT month, array_to_string(lp, ',') AS ext_picks, array_to_string(rp, ',') AS local_picks,
   cast(ext_n AS BIGINT) AS ext_n, cast(local_n AS BIGINT) AS local_n, cast(len(list_intersect(lp, rp)) AS BIGINT) AS intersection_n,
   cast(len(list_distinct(lp || rp)) AS BIGINT) AS union_n, round({JAC}, 6) AS jaccard, lp = rp AS exact_match FROM recp""")
-CTES["recr"] = """SELECT month, l.net AS local_return, e.r AS ext_return, month <= DATE '2001-06-01' AS complete, e.r - l.net AS difference FROM (
+CTES["recr"] = """SELECT month, l.net AS local_return, e.r AS ext_return, month < (SELECT date_trunc('month', max("Date") + CASE isodow(max("Date")) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END) FROM extd) AS complete, e.r - l.net AS difference FROM (
     SELECT cast(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, net FROM mo_led) l JOIN (
     SELECT month, equity / lag(equity) OVER (ORDER BY month) - 1 AS r FROM (
       SELECT cast(date_trunc('month', "Date") AS DATE) AS month, max_by(equity, "Date") AS equity FROM extd GROUP BY 1)) e USING (month) WHERE e.r IS NOT NULL"""
@@ -877,3 +888,18 @@ CTES["qrows"] = f"""SELECT d0, ticker, {pct_rank_sql('roe', 'd0')} AS pct FROM (
 CTES["qbook"] = "SELECT d0, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY d0) AS weight FROM qrows WHERE pct >= 0.5::DOUBLE"
 ledger_ctes("lq", "qbook", "qbook", "wpx", "wcal", horizon=4, cost=25.0, missing="survivors")
 SQL["quality_sleeve"] = query(f"SELECT d0, m, n, {COLS8} FROM lq_eq")
+
+# ---- written and read back ----------------------------------------------------------
+SQL["fold_cache"] = SQL["scored_folds"]
+SQL["fundamentals_csv"] = query("""SELECT ticker, filed_date, period_end, round(qeps, 6) AS qeps, round(eps_ttm, 6) AS eps_ttm,
+  round(bvps, 6) AS bvps FROM fund""")
+SQL["bucket_rebuild"] = "SELECT DISTINCT o_custkey, cast(o_orderdate AS DATE) AS day, o_orderstatus FROM orders"
+SQL["universe_filter"] = query("""SELECT ticker, "Date", round("Close", 6) AS "Close" FROM bars
+  WHERE ticker BETWEEN 'T01' AND 'T12' AND length(ticker) = 3 AND ticker NOT IN ('T03', 'T07') AND ticker IN (SELECT ticker FROM fund)""")
+_size = "fold, " + ", ".join(f"count(*) FILTER (WHERE role = '{r}') AS {r}" for r in ("train", "val", "test"))
+SQL["arm_sizes"] = query(f"""SELECT 'corrected' AS arm, {_size} FROM purged GROUP BY fold
+  UNION ALL SELECT 'legacy', {_size} FROM purged_old GROUP BY fold""")
+SQL["repeated_orders"] = """SELECT o_custkey, cast(o_orderdate AS DATE) AS day, count(*) AS copies FROM orders
+  GROUP BY 1, 2 HAVING count(*) > 1"""
+SQL["stitched_ledger"] = query(f"""SELECT half, d0, round(net, 8) AS net, round(equity, 8) AS equity, round(drawdown, 8) AS drawdown
+  FROM {rebased('mo_half', '')}""")

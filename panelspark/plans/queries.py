@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import hash_unit, is_month_end, realized_month
@@ -15,9 +15,9 @@ from panelspark.operators import (brake, evaluate, features, folds, labels, ledg
                                   select, stability, stats, value)
 from panelspark.plans import configs
 from panelspark.plans.shape import tidy
-from panelspark.session import materialize, shared
+from panelspark.session import materialize, shared, work_folder
 from panelspark.sources import bars as bar_sources
-from panelspark.sources import external, factors, filings, fixtures, fundamentals, tables
+from panelspark.sources import external, factors, filings, fixtures, fundamentals, tables, universe
 from panelspark.streaming import grader
 from panelspark.sources.bars import bars_from_lines
 
@@ -378,9 +378,21 @@ def ledger_ls(spark, sf):
                                 stop_short=STOP, shorts=True).select(*KEYS, *LEDGER), 8)
 
 
+BRAKE = 0.02  # see FIXTURES 3, like STOP
+
+
+def braked_risk(spark, sf, costs) -> DataFrame:
+    """The risk book under the drawdown brake, one path for each cost level."""
+    book = materialize(risk_book(spark, sf))
+    gross = materialize(ledger.gross_returns(book, fixtures.scores(spark, sf), KEYS, KEYS, stop=STOP))
+    rows = brake.brake_ledger(book, gross, cands(spark, sf), costs, KEYS, brake=BRAKE)
+    place = F.row_number().over(Window.partitionBy(*KEYS, "cost_bps").orderBy("d0"))
+    return rows.withColumn("m", place).join(gross.select(*KEYS, "d0", "n"), [*KEYS, "d0"], "left").withColumn(
+        "n", F.coalesce("n", F.lit(0)))
+
+
 def risk_ledger(spark, sf) -> DataFrame:
-    book = risk_book(spark, sf)
-    return ledger.run_book(book, cands(spark, sf), fixtures.scores(spark, sf), KEYS, KEYS, cost_bps=25.0, stop=STOP)
+    return braked_risk(spark, sf, [25.0])
 
 
 @register
@@ -443,10 +455,7 @@ CALM = 0.25
 
 @register
 def brake_ledger(spark, sf):
-    book = materialize(risk_book(spark, sf))
-    rows = cands(spark, sf)
-    gross = ledger.gross_returns(book, fixtures.scores(spark, sf), KEYS, KEYS, stop=STOP)
-    return tidy(brake.brake_ledger(book, gross, rows, [5.0, 25.0], KEYS, brake=0.02).select(
+    return tidy(braked_risk(spark, sf, [5.0, 25.0]).select(
         *KEYS, "cost_bps", "d0", "exposure", "gross", "turnover", "net", "equity", "drawdown"), 8)
 
 
@@ -702,7 +711,8 @@ def equity_days(spark, sf) -> DataFrame:
 
 @register
 def reconcile_returns(spark, sf):
-    return tidy(reconcile.align_returns(momentum_shared(spark, sf), equity_days(spark, sf), "2001-06-01"))
+    days = equity_days(spark, sf)
+    return tidy(reconcile.align_returns(momentum_shared(spark, sf), days, reconcile.last_complete_month(days)))
 
 
 def pick_overlap(spark, sf) -> DataFrame:
@@ -718,13 +728,15 @@ def reconcile_picks(spark, sf):
 
 @register
 def reconcile_summary(spark, sf):
-    return tidy(reconcile.reconcile(momentum_shared(spark, sf), equity_days(spark, sf), "2001-06-01"))
+    days = equity_days(spark, sf)
+    return tidy(reconcile.reconcile(momentum_shared(spark, sf), days, reconcile.last_complete_month(days)))
 
 
 @register
 def attribute_differences(spark, sf):
     both = materialize(pick_overlap(spark, sf))
-    rows = reconcile.align_returns(momentum_shared(spark, sf), equity_days(spark, sf), "2001-06-01")
+    days = equity_days(spark, sf)
+    rows = reconcile.align_returns(momentum_shared(spark, sf), days, reconcile.last_complete_month(days))
     return tidy(reconcile.attribute_differences(rows, both))
 
 
@@ -807,7 +819,6 @@ def repeated_runs(spark, sf):
 
 @register
 def stream_grade(spark, sf):
-    from panelspark.session import work_folder
     root = f"{work_folder(spark)}/{uuid.uuid4().hex}"
     tables.append_table(log_rows(spark, sf), f"{root}/log", tables.LOG_SCHEMA)
     fixtures.all_bars(spark, sf).write.parquet(f"{root}/incoming")
@@ -880,3 +891,66 @@ def quality_sleeve(spark, sf):
     bars = fixtures.bars(spark, sf, "week")
     book = select.pick_quality(bars, fixtures.fundamentals(spark, sf))
     return tidy(ledger.run_book(book, book, bars, cost_bps=25.0, horizon=HOLD, missing="survivors").select(*LEDGER), 8)
+
+
+# ---- written and read back --------------------------------------------------------------
+def new_path(spark) -> str:
+    return f"{work_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@register
+def fold_cache(spark, sf):
+    path = new_path(spark)
+    folds.write_folds(fixtures.scores(spark, sf), path)
+    return tidy(folds.read_folds(spark, path))
+
+
+@register
+def fundamentals_csv(spark, sf):
+    path = new_path(spark)
+    tables.export(fixtures.fundamentals(spark, sf), path)
+    return tidy(fundamentals.read_fundamentals(spark, path))
+
+
+@register
+def bucket_rebuild(spark, sf):
+    """Two batches that share rows, merged into one version without copies."""
+    path = new_path(spark)
+    rows = fixtures.table(spark, sf, "orders").select(
+        "o_custkey", F.col("o_orderdate").cast("date").alias("day"), "o_orderstatus")
+    for other in ("P", "F"):
+        tables.upsert_distinct(rows.where(F.col("o_orderstatus") != other), path)
+    return tables.latest_version(spark, path).drop("version")
+
+
+@register
+def universe_filter(spark, sf):
+    """Bars of a named list less its exclusions, among tickers that ever filed."""
+    names = [f"T{i:02d}" for i in range(1, 13)]
+    filed = fixtures.fundamentals(spark, sf).select("ticker")
+    rows = universe.in_universe(universe.keep_universe(fixtures.bars(spark, sf), names, ["T03"]), filed)
+    return tidy(universe.drop_names(rows, ["T07"]).select("ticker", "Date", "Close"))
+
+
+@register
+def arm_sizes(spark, sf):
+    """Fold sizes of both purging arms, whose test rows must agree."""
+    assigned = materialize(folds.assign_folds(fixtures.panel(spark, sf)))
+    new, old = folds.purge(assigned), folds.purge_legacy(assigned)
+    folds.assert_same_test_rows(new, old)
+    return tidy(folds.fold_sizes(new).withColumn("arm", F.lit("corrected")).unionByName(
+        folds.fold_sizes(old).withColumn("arm", F.lit("legacy"))))
+
+
+@register
+def repeated_orders(spark, sf):
+    rows = fixtures.table(spark, sf, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return folds.duplicates(rows, ["o_custkey", "day"])
+
+
+@register
+def stitched_ledger(spark, sf):
+    """Both halves of the momentum series in one table with one equity curve."""
+    halves = materialize(folds.split_halves(momentum_series(spark, sf), "d0"))
+    whole = ledger.stitch(*[halves.where(F.col("half") == h) for h in ("tune", "hold")])
+    return tidy(ledger.equity_curve(whole).select("half", "d0", "net", "equity", "drawdown"), 8)

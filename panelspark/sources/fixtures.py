@@ -61,18 +61,21 @@ def build_scores(spark: SparkSession, sf_dir: str, arms: tuple[str, ...] = ("leg
 
 
 def raw_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uncleaned filings, all text, from orders and their customers."""
+    """Uncleaned filings, all text, from orders and their customers; price and quantity follow from the
+    order's number."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
     day = F.col("o_orderdate").cast("date")
     title = F.expr("""CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'CEO' WHEN '2' THEN 'CFO'
                       WHEN '3' THEN 'Dir' WHEN '4' THEN 'VP' ELSE 'COO' END""")
     ttype = F.expr("""CASE o_orderstatus WHEN 'P' THEN 'P - Purchase' WHEN 'F' THEN 'S - Sale' ELSE 'A - Grant' END""")
+    cents = F.lit(100) + F.col("o_orderkey") % 9900
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
         F.date_format(day, "yyyy-MM-dd").alias("filing_dt"),
         F.date_format(F.date_sub(day, 2), "yyyy-MM-dd").alias("trade_dt"),
         F.concat(F.lit("T"), padded("c_nationkey")).alias("ticker"),
         F.col("o_custkey").cast("string").alias("insider"), title.alias("title"), ttype.alias("ttype"),
-        F.lit("$1.50").alias("price"), F.lit("-1,000").alias("qty"),
+        F.concat(F.lit("$"), F.format_string("%d.%02d", F.floor(cents / 100), cents % 100)).alias("price"),
+        F.concat(F.lit("-"), F.format_number(F.lit(1000) + F.col("o_orderkey") % 7919, 0)).alias("qty"),
         F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("value"))
 
 

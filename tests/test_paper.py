@@ -13,30 +13,30 @@ PICK = "run_id STRING, decision_date DATE, ticker STRING, model STRING, market S
 def market_rows(n=21):
     ds = days(n, "2026-09-01")
     closes = [95.0, 80.0] + [90.0] * (n - 2)
-    stock = [("AAA", d, 100.0, 100.0, 70.0, c, 1.0) for d, c in zip(ds[1:], closes)]
+    asset = [("AAA", d, 100.0, 100.0, 70.0, c, 1.0) for d, c in zip(ds[1:], closes)]
     mkt = [("MKT", d, 50.0, 60.0, 40.0, 50.0 + 0.25 * i, 1.0) for i, d in enumerate(ds)]
-    return ds, stock, mkt
+    return ds, asset, mkt
 
 
 def test_grade_next_open_gap_stop_and_costs(spark):
-    ds, stock, mkt = market_rows()
+    ds, asset, mkt = market_rows()
     picks = spark.createDataFrame([("r", ds[0], "AAA", "m", "MKT", 0.85, 100.0, 85.0)], PICK)
-    row = paper.grade(picks, spark.createDataFrame(stock + mkt, BARS)).first()
+    row = paper.grade(picks, spark.createDataFrame(asset + mkt, BARS)).first()
     assert (row.entry, row.exit, row.entry_date, row.exit_date) == (100.0, 80.0, ds[1], ds[2])
     assert row.ret == pytest.approx(-0.20 - 2 * 5e-4)
     assert row.market_ret == pytest.approx(55.0 / 50.0 - 1) and row.excess == pytest.approx(row.ret - row.market_ret)
 
 
 def test_grade_waits_for_the_full_window(spark):
-    ds, stock, mkt = market_rows()
+    ds, asset, mkt = market_rows()
     picks = spark.createDataFrame([("r", ds[0], "AAA", "m", "MKT", 0.85, 100.0, 85.0)], PICK)
-    assert paper.grade(picks, spark.createDataFrame(stock[:-1] + mkt, BARS)).count() == 0
+    assert paper.grade(picks, spark.createDataFrame(asset[:-1] + mkt, BARS)).count() == 0
 
 
 def test_grade_legacy(spark):
-    ds, stock, mkt = market_rows()
+    ds, asset, mkt = market_rows()
     picks = spark.createDataFrame([("r", ds[0], "AAA", "m", "MKT", 0.85, 98.0, 70.0)], PICK)
-    row = paper.grade_legacy(picks, spark.createDataFrame(stock + mkt, BARS)).first()
+    row = paper.grade_legacy(picks, spark.createDataFrame(asset + mkt, BARS)).first()
     assert row.ret == pytest.approx(90.0 / 98.0 - 1 - 1e-3) and row.market_ret == pytest.approx(55.0 / 50.25 - 1)
 
 
@@ -71,11 +71,11 @@ def test_verification(spark, tmp_path):
 
 
 def test_stream_grades_once_as_bars_arrive(spark, tmp_path):
-    ds, stock, mkt = market_rows(35)
+    ds, asset, mkt = market_rows(35)
     root = str(tmp_path)
     tables.append_table(log_frame(spark, ds), f"{root}/log", tables.LOG_SCHEMA)
     tables.write_snapshot(log_frame(spark, ds), f"{root}/snap")
-    everything = spark.createDataFrame(stock + mkt, BARS)
+    everything = spark.createDataFrame(asset + mkt, BARS)
 
     def run():
         stream = grader.bars_stream(spark, f"{root}/in")
