@@ -2,14 +2,14 @@
 
 A cross section (all tickers on one date, all scored rows of one fold) has no
 size bound, so it is never sorted in a single window partition. ``ordered_counts``
-collapses ties first, cuts each group into slots at the values of a fixed-size
-hash sample, sorts inside the slots and adds the running slot totals. The sample
-picks the smallest hashes of the distinct values, so it is the same on every
-recomputation and lost executors cannot make two branches disagree. Results are
-exact: the sample only decides where a group is cut.
+collapses ties first, range-partitions the distinct values of all groups together and
+takes the partition as the slot: slots are of about equal size whatever the groups'
+sizes are, and there are as many as the data fill. Values are then sorted inside the
+slots and the running slot totals are added. Results do not depend on where a group
+is cut.
 
-The slotted counts are written once (see ``session.materialize``), because two
-branches read them.
+The slotted counts are written once (see ``session.materialize``), so the cuts are the
+same for both branches that read them, also after a lost executor.
 
 ``value`` must be a deterministic expression of the input; materialize first when it
 is not (for instance freshly fitted model scores).
@@ -24,23 +24,14 @@ from pyspark.sql import functions as F
 
 from panelspark.session import materialize
 
-SAMPLE = 64
-
-
 def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows hold it, ``below`` rows hold
     a smaller one, ``total`` rows are in the group."""
     by = list(by)
     counts = (df.where(F.col(value).isNotNull())
               .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
-    lowest = Window.partitionBy(*by).orderBy(F.xxhash64(value), value)
-    cuts = (counts.select(*by, value, F.row_number().over(lowest).alias("_r"))
-            .where(F.col("_r") <= SAMPLE)
-            .groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_cuts")))
-    cut = counts.join(cuts, by) if by else counts.withColumn("_cuts", cuts.scalar())
-    slotted = materialize(cut.select(
-        *by, value, "n",
-        F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_slot")))
+    slotted = materialize(counts.repartitionByRange(*by, value).select(
+        *by, value, "n", F.spark_partition_id().alias("_slot")))
     inside = Window.partitionBy(*by, "_slot").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = Window.partitionBy(*by).orderBy("_slot")

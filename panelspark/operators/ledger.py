@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.joins import asof_join
+from panelspark.functions.ranks import ordered_counts
 from panelspark.functions.windows import calendar
 from panelspark.session import materialize
 
@@ -192,16 +193,27 @@ def period_change(series: DataFrame, value: str, keys: Sequence[str] = (), order
 
 
 def null_books(cands: DataFrame, trials: int, k: int, seed: int = 0, keys: Sequence[str] = ("arm", "fold")) -> DataFrame:
-    """Random equal-weight books: ``k`` names per trial and decision in md5 order.
+    """Random equal-weight books: ``k`` distinct names per trial and decision, every set of
+    names equally likely.
 
-    The trials are a literal sequence on the decision rows only, and each map task
-    keeps at most k names per (trial, decision) before the shuffle.
+    The names of a decision are numbered once. A trial draws ``k`` different numbers from
+    md5 values: step i draws below n - k + i + 1 and takes n - k + i itself where the draw is
+    taken already. So trials times k rows are made, whatever the number of names.
     """
-    base = cands.select(*keys, "d0", "ticker").withColumn(
-        "trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"),
-                             F.date_format("d0", "yyyy-MM-dd"), F.col("ticker")))
-    w = Window.partitionBy(*keys, "trial", "d0").orderBy("_h", "ticker")
-    picks = base.withColumn("_h", draw).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, "trial", "d0"))
-    return picks.select(*keys, "trial", "d0", "ticker", (F.lit(1.0) / n).alias("weight"))
+    place = [*keys, "d0"]
+    names = materialize(ordered_counts(cands.select(*place, "ticker").distinct(), place, "ticker").select(
+        *place, "ticker", F.col("below").alias("ordinal"), "total"))
+    sizes = names.groupBy(*place).agg(F.max("total").alias("total"))
+    runs = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    size = F.least(F.col("total"), F.lit(k)).cast("int")
+
+    def step(taken, i):
+        last = F.col("total") - size + i
+        code = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"),
+                                 F.date_format("d0", "yyyy-MM-dd"), i.cast("string")))
+        drawn = F.conv(F.substring(code, 1, 12), 16, 10).cast("bigint") % (last + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, drawn), last).otherwise(drawn))
+
+    drawn = F.aggregate(F.sequence(F.lit(0), size - 1), F.array().cast("array<bigint>"), step)
+    picks = runs.select(*place, "trial", (F.lit(1.0) / size).alias("weight"), F.explode(drawn).alias("ordinal"))
+    return picks.join(names.drop("total"), [*place, "ordinal"]).select(*keys, "trial", "d0", "ticker", "weight")

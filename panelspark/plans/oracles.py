@@ -30,9 +30,12 @@ def query(sql: str, recursive: str = "") -> str:
     return head + sql
 
 
+NATION = "concat('T', lpad(cast(s_nationkey AS VARCHAR), 2, '0'))"
+
+
 def bars_cte(period: str, market: bool) -> str:
     day = "cast(l_shipdate AS DATE)" if period == "day" else f"cast(date_trunc('{period}', l_shipdate) AS DATE)"
-    ticker = "'MKT'" if market else "concat('T', lpad(cast(s_nationkey AS VARCHAR), 2, '0'))"
+    ticker = "'MKT'" if market else NATION
     join = "" if market else "JOIN supplier ON l_suppkey = s_suppkey"
     return f"""SELECT {ticker} AS ticker, {day} AS "Date",
   cast(sum(cast(p_retailprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS "Open",
@@ -504,10 +507,17 @@ CTES["sweep_net"] = "SELECT arm, cost_bps, avg(net) AS avg_net FROM sweep GROUP
 SQL["cost_sweep"] = query("""SELECT arm, cost_bps, months, equity_end, sharpe AS stitched_sharpe, max_dd, cagr,
   round(sharpe_mean, 6) AS sharpe_mean, round(fold_cagr_mean, 6) AS fold_cagr_mean, round(avg_net, 6) AS avg_net
   FROM sweep_all JOIN sweep_fold USING (arm, cost_bps) JOIN sweep_net USING (arm, cost_bps)""")
-CTES["nb"] = """SELECT arm, fold, trial, d0, ticker, 1.0::DOUBLE / count(*) OVER (PARTITION BY arm, fold, trial, d0) AS weight FROM (
-    SELECT arm, fold, trial, d0, ticker, row_number() OVER (PARTITION BY arm, fold, trial, d0
-      ORDER BY md5(concat_ws('|', '0', trial, strftime(d0, '%Y-%m-%d'), ticker)), ticker) AS rn
-    FROM cands, range(200) r(trial)) WHERE rn <= 5"""
+CTES["nb_names"] = """SELECT arm, fold, d0, ticker, row_number() OVER (PARTITION BY arm, fold, d0 ORDER BY ticker) - 1 AS ordinal,
+  count(*) OVER (PARTITION BY arm, fold, d0) AS total FROM (SELECT DISTINCT arm, fold, d0, ticker FROM cands)"""
+CTES["nb_0"] = """SELECT arm, fold, d0, total, trial, cast([] AS BIGINT[]) AS taken
+  FROM (SELECT DISTINCT arm, fold, d0, total FROM nb_names), range(200) r(trial)"""
+for _i in range(5):
+    CTES[f"nb_{_i + 1}"] = f"""SELECT * EXCLUDE (last, drawn) REPLACE (CASE WHEN last IS NULL THEN taken
+        WHEN list_contains(taken, drawn) THEN list_append(taken, last) ELSE list_append(taken, drawn) END AS taken) FROM (
+      SELECT *, cast('0x' || substr(md5(concat_ws('|', '0', trial, strftime(d0, '%Y-%m-%d'), '{_i}')), 1, 12) AS BIGINT) % (last + 1) AS drawn
+      FROM (SELECT *, CASE WHEN {_i} < total THEN total - least(total, 5) + {_i} END AS last FROM nb_{_i}))"""
+CTES["nb"] = """SELECT arm, fold, trial, d0, ticker, 1.0::DOUBLE / least(total, 5) AS weight
+  FROM (SELECT arm, fold, trial, d0, unnest(taken) AS ordinal FROM nb_5) JOIN nb_names USING (arm, fold, d0, ordinal)"""
 ledger_ctes("ln", "nb", "nb", "spx", "scal", ("arm", "fold", "trial"), KEYS)
 SQL["null_books"] = query("""SELECT arm, fold, count(*) AS trials, round(avg(e), 6) AS null_mean, round(stddev_samp(e), 6) AS null_std,
   round(quantile_cont(e, 0.05), 6) AS null_p5, round(quantile_cont(e, 0.95), 6) AS null_p95
@@ -903,3 +913,12 @@ SQL["repeated_orders"] = """SELECT o_custkey, cast(o_orderdate AS DATE) AS day,
   GROUP BY 1, 2 HAVING count(*) > 1"""
 SQL["stitched_ledger"] = query(f"""SELECT half, d0, round(net, 8) AS net, round(equity, 8) AS equity, round(drawdown, 8) AS drawdown
   FROM {rebased('mo_half', '')}""")
+
+
+# ---- supplier names -------------------------------------------------------------------
+# The same statements over bars whose ticker is the supplier.
+SUPPLIER = "concat('S', cast(s_suppkey AS VARCHAR))"
+for _name in ("features", "labels", "formation_momentum", "pick_momentum", "momentum_ledger", "pick_threshold",
+              "pick_long_short", "ledger_base", "null_books", "auc_by_fold", "score_compare", "spearman_by_date",
+              "stability_monthly"):
+    SQL[f"wide_{_name}"] = SQL[_name].replace(NATION, SUPPLIER)

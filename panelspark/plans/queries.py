@@ -51,8 +51,8 @@ def momentum_book(bars: DataFrame, cap_order: str | None = "ticker") -> DataFram
     return select.pick_momentum(weekly_momentum(bars), 0.10, cap_order, MIN_NAMES)
 
 
-def momentum_rows(spark, sf, cost: float = 25.0) -> DataFrame:
-    bars = fixtures.bars(spark, sf, "week")
+def momentum_rows(spark, sf, cost: float = 25.0, names: str = "nation") -> DataFrame:
+    bars = fixtures.bars(spark, sf, "week", names)
     book = materialize(momentum_book(bars))
     return ledger.run_book(book, book, bars, cost_bps=cost, horizon=HOLD, missing="survivors")
 
@@ -196,8 +196,8 @@ KEYS = list(select.KEYS)
 STOP = 0.95  # see FIXTURES 3: the derived prices rarely fall 15 %
 
 
-def cands(spark, sf) -> DataFrame:
-    return shared(spark, f"candidates {sf}", lambda: select.candidates(fixtures.scores(spark, sf)))
+def cands(spark, sf, names: str = "nation") -> DataFrame:
+    return shared(spark, f"candidates {names} {sf}", lambda: select.candidates(fixtures.scores(spark, sf, names)))
 
 
 def fold_vol(spark, sf) -> DataFrame:
@@ -355,9 +355,9 @@ def legs_short(spark, sf):
     return tidy(ledger.leg_returns(book, fixtures.scores(spark, sf), KEYS, stop=STOP, short=True), 8)
 
 
-def base_ledger(spark, sf) -> DataFrame:
-    rows = cands(spark, sf)
-    return ledger.run_book(select.pick_threshold(rows), rows, fixtures.scores(spark, sf), KEYS, KEYS)
+def base_ledger(spark, sf, names: str = "nation") -> DataFrame:
+    rows = cands(spark, sf, names)
+    return ledger.run_book(select.pick_threshold(rows), rows, fixtures.scores(spark, sf, names), KEYS, KEYS)
 
 
 @register
@@ -470,10 +470,14 @@ TRIALS = 200
 
 @register
 def null_books(spark, sf):
-    rows = cands(spark, sf)
+    return null_rows(spark, sf)
+
+
+def null_rows(spark, sf, names: str = "nation") -> DataFrame:
+    rows = cands(spark, sf, names)
     book = ledger.null_books(rows, TRIALS, 5)
     dates = rows.select(*KEYS, "d0").distinct().withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))))
-    run = ledger.run_book(book, dates, fixtures.scores(spark, sf), [*KEYS, "trial"], KEYS)
+    run = ledger.run_book(book, dates, fixtures.scores(spark, sf, names), [*KEYS, "trial"], KEYS)
     return tidy(evaluate.null_summary(evaluate.summarize(run, [*KEYS, "trial"]), KEYS))
 
 
@@ -483,8 +487,8 @@ def benchmark_legs(spark, sf):
 
 
 # ---- evaluation and stability ---------------------------------------------------------
-def aligned(spark, sf) -> DataFrame:
-    rows = fixtures.scores(spark, sf)
+def aligned(spark, sf, names: str = "nation") -> DataFrame:
+    rows = fixtures.scores(spark, sf, names)
     return evaluate.align_caches(rows.where(F.col("arm") == "legacy"), rows.where(F.col("arm") == "corrected"))
 
 
@@ -954,3 +958,77 @@ def stitched_ledger(spark, sf):
     halves = materialize(folds.split_halves(momentum_series(spark, sf), "d0"))
     whole = ledger.stitch(*[halves.where(F.col("half") == h) for h in ("tune", "hold")])
     return tidy(ledger.equity_curve(whole).select("half", "d0", "net", "equity", "drawdown"), 8)
+
+
+# ---- supplier names -------------------------------------------------------------------
+# With the supplier as ticker a date has as many names as there are suppliers, so cross sections,
+# books and random draws grow with the data. The nation queries above keep 25 names, each of them hot.
+WIDE = "supplier"
+
+
+@register
+def wide_features(spark, sf):
+    return tidy(features.add_features(fixtures.all_bars(spark, sf, names=WIDE)).select(
+        "ticker", "Date", "Close", *[c for c in features.FEATURES if c != "rsi_14"]))
+
+
+@register
+def wide_labels(spark, sf):
+    panel = labels.build_panel(fixtures.all_bars(spark, sf, names=WIDE))
+    return tidy(panel.select("ticker", "Date", "fwd_ret", "mkt_fwd", "excess", "label_end", "label"))
+
+
+@register
+def wide_formation_momentum(spark, sf):
+    return tidy(weekly_momentum(fixtures.bars(spark, sf, "week", WIDE)))
+
+
+@register
+def wide_pick_momentum(spark, sf):
+    return tidy(momentum_book(fixtures.bars(spark, sf, "week", WIDE)).select("d0", "ticker", "mom", "weight"))
+
+
+@register
+def wide_momentum_ledger(spark, sf):
+    return tidy(momentum_rows(spark, sf, names=WIDE).drop("short_weight", "peak"), 8)
+
+
+@register
+def wide_pick_threshold(spark, sf):
+    return tidy(select.pick_threshold(cands(spark, sf, WIDE)))
+
+
+@register
+def wide_pick_long_short(spark, sf):
+    return tidy(select.pick_long_short(cands(spark, sf, WIDE), longs=5, shorts=5))
+
+
+@register
+def wide_ledger_base(spark, sf):
+    return tidy(base_ledger(spark, sf, WIDE).select(*KEYS, *LEDGER), 8)
+
+
+@register
+def wide_null_books(spark, sf):
+    return null_rows(spark, sf, WIDE)
+
+
+@register
+def wide_auc_by_fold(spark, sf):
+    return tidy(evaluate.auc(fixtures.scores(spark, sf, WIDE), KEYS))
+
+
+@register
+def wide_score_compare(spark, sf):
+    common = materialize(aligned(spark, sf, WIDE))
+    return tidy(beside(evaluate.compare_scores(common), evaluate.close_gap(common).select("close_gap")))
+
+
+@register
+def wide_spearman_by_date(spark, sf):
+    return tidy(evaluate.spearman(materialize(aligned(spark, sf, WIDE)), ["Date"], "proba_left", "proba_right"))
+
+
+@register
+def wide_stability_monthly(spark, sf):
+    return tidy(stability.stability(aligned(spark, sf, WIDE), 0.25, 5)[0])

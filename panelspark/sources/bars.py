@@ -70,9 +70,9 @@ def _hundredths(c: str):
 
 
 def bars_from_lines(lines: DataFrame, supplier: DataFrame, part: DataFrame, period: str = "day",
-                    market: str | None = None) -> DataFrame:
-    """Bars from order lines: the ticker is the supplier nation, prices are part
-    prices weighted by quantity.
+                    market: str | None = None, names: str = "nation") -> DataFrame:
+    """Bars from order lines: the ticker is the line's supplier (``names="supplier"``, as many names
+    as suppliers) or its nation, prices are part prices weighted by quantity.
 
     Prices and quantities are summed as whole hundredths and are therefore the same in
     any order. ``market`` names one index ticker over all lines instead. The aggregation
@@ -83,9 +83,10 @@ def bars_from_lines(lines: DataFrame, supplier: DataFrame, part: DataFrame, peri
     if market:
         base, ticker = base.drop("l_suppkey"), F.lit(market)
     else:
-        names = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.concat(
-            F.lit("T"), padded("s_nationkey")).alias("ticker"))
-        base, ticker = base.join(names, "l_suppkey"), F.col("ticker")
+        name = {"nation": F.concat(F.lit("T"), padded("s_nationkey")),
+                "supplier": F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))}[names]
+        named = supplier.select(F.col("s_suppkey").alias("l_suppkey"), name.alias("ticker"))
+        base, ticker = base.join(named, "l_suppkey"), F.col("ticker")
     prices = part.select(F.col("p_partkey").alias("l_partkey"), "p_retailprice", _hundredths("p_retailprice").alias("_p"))
     quantity = F.sum("_q")
     return base.join(prices, "l_partkey").groupBy(ticker.alias("ticker"), "Date").agg(

@@ -26,8 +26,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("lineitem", "supplier", "part")]
 
 
-def bars(spark: SparkSession, sf_dir: str, period: str = "day") -> DataFrame:
-    return shared(spark, f"bars {period} {sf_dir}", lambda: bars_from_lines(*_lines(spark, sf_dir), period))
+def bars(spark: SparkSession, sf_dir: str, period: str = "day", names: str = "nation") -> DataFrame:
+    return shared(spark, f"bars {period} {names} {sf_dir}",
+                  lambda: bars_from_lines(*_lines(spark, sf_dir), period, names=names))
 
 
 def market(spark: SparkSession, sf_dir: str, period: str = "day") -> DataFrame:
@@ -35,23 +36,25 @@ def market(spark: SparkSession, sf_dir: str, period: str = "day") -> DataFrame:
                   lambda: bars_from_lines(*_lines(spark, sf_dir), period, MARKET))
 
 
-def all_bars(spark: SparkSession, sf_dir: str, period: str = "day") -> DataFrame:
+def all_bars(spark: SparkSession, sf_dir: str, period: str = "day", names: str = "nation") -> DataFrame:
     """Ticker bars plus the market's."""
-    return bars(spark, sf_dir, period).select(BAR_COLUMNS).unionByName(market(spark, sf_dir, period).select(BAR_COLUMNS))
+    return bars(spark, sf_dir, period, names).select(BAR_COLUMNS).unionByName(
+        market(spark, sf_dir, period).select(BAR_COLUMNS))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, f"panel {sf_dir}", lambda: build_panel(all_bars(spark, sf_dir), MARKET))
+def panel(spark: SparkSession, sf_dir: str, names: str = "nation") -> DataFrame:
+    return shared(spark, f"panel {names} {sf_dir}", lambda: build_panel(all_bars(spark, sf_dir, names=names), MARKET))
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, f"scores {sf_dir}", lambda: build_scores(spark, sf_dir))
+def scores(spark: SparkSession, sf_dir: str, names: str = "nation") -> DataFrame:
+    return shared(spark, f"scores {names} {sf_dir}", lambda: build_scores(spark, sf_dir, names=names))
 
 
-def build_scores(spark: SparkSession, sf_dir: str, arms: tuple[str, ...] = ("legacy", "corrected")) -> DataFrame:
+def build_scores(spark: SparkSession, sf_dir: str, arms: tuple[str, ...] = ("legacy", "corrected"),
+                 names: str = "nation") -> DataFrame:
     """Scored test rows of every fold for two arms, with reproducible md5 scores; the
     second arm perturbs the first."""
-    test = assign_folds(panel(spark, sf_dir)).where(F.col("role") == "test")
+    test = assign_folds(panel(spark, sf_dir, names)).where(F.col("role") == "test")
     day = F.date_format("Date", "yyyy-MM-dd")
     first, other = hash_unit(F.lit("legacy"), "ticker", day), hash_unit(F.lit("other"), "ticker", day)
     proba = {"legacy": first, "corrected": F.lit(0.8) * first + F.lit(0.2) * other}

@@ -117,3 +117,22 @@ def test_set_overlap_empty(spark):
 def test_same_rows(spark):
     a, b = [spark.createDataFrame([(v,) for v in vs], "v INT") for vs in ([1, 1, 2], [1, 2, 2])]
     assert joins.same_rows(a, a) and not joins.same_rows(a, b)
+
+
+def test_ordered_counts_of_one_large_group(spark):
+    n = 200_000
+    df = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    got = ranks.ordered_counts(df, ["g"], "v").agg(
+        F.count("*").alias("rows"), F.sum(F.abs(F.col("below") - F.col("v"))).alias("off"), F.max("total").alias("total")).first()
+    assert (got.rows, got.off, got.total) == (n, 0.0, n)
+
+
+def test_ordered_counts_of_many_groups_with_ties_and_nulls(spark):
+    rows = [(f"g{i % 3}", None if i % 11 == 0 else float(i % 17)) for i in range(500)] + [("lone", 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g STRING, v DOUBLE")
+    known = [(g, v) for g, v in rows if v is not None]
+    want = {(g, v): (sum(x == (g, v) for x in known), sum(h == g and w < v for h, w in known), sum(h == g for h, _ in known))
+            for g, v in known}
+    got = {(r.g, r.v): (r.n, r.below, r.total) for r in ranks.ordered_counts(df, ["g"], "v").collect()}
+    assert got == want
+    assert ranks.ordered_counts(df.where("g = 'none'"), [], "v").count() == 0

@@ -210,6 +210,20 @@ def test_null_books_repeat_and_differ_by_seed(spark):
     assert runs[0] == runs[1] != runs[2] and len(runs[0]) == 20
 
 
+def test_null_books_draw_names_evenly_and_all_of_a_short_list(spark):
+    d1, d2 = days(2)
+    rows = [(d1, f"T{i}") for i in range(12)] + [(d2, "A"), (d2, "B"), (d2, "B")]
+    book = ledger.null_books(spark.createDataFrame(rows, "d0 DATE, ticker STRING"), 2000, 5, 0, [])
+    drawn = {}
+    for r in book.where(F.col("d0") == F.lit(d1)).groupBy("ticker").count().collect():
+        drawn[r.ticker] = r["count"]
+    # each name is in 5 of 12 books on average, 833 of 2,000; six standard deviations are 132
+    assert len(drawn) == 12 and sum(drawn.values()) == 10_000 and all(abs(c - 833) < 132 for c in drawn.values())
+    short = book.where(F.col("d0") == F.lit(d2))
+    assert {(r.ticker, r.weight, r["count"]) for r in short.groupBy("ticker", "weight").count().collect()} == {
+        ("A", 0.5, 2000), ("B", 0.5, 2000)}
+
+
 def test_trend_stride_carries_the_book(spark):
     ds = [day(f"2020-{m:02d}-15") for m in range(1, 7)]
     px = bars(spark, [(t, d, 1.0) for t in "AB" for d in ds])

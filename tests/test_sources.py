@@ -206,3 +206,14 @@ def test_manifest_diff(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path STRING, sha256 STRING")
     new = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "path STRING, sha256 STRING")
     assert {r.path: r.status for r in provenance.diff_manifest(old, new).collect()} == {"b": "changed", "c": "missing", "d": "new"}
+
+
+def test_bars_by_supplier_and_by_nation(spark):
+    lines = spark.createDataFrame([(1, 10, 2.0, "2020-01-02"), (1, 11, 1.0, "2020-01-02"), (2, 11, 3.0, "2020-01-03")],
+                                  "l_partkey INT, l_suppkey INT, l_quantity DOUBLE, l_shipdate STRING")
+    supplier = spark.createDataFrame([(10, 3), (11, 3)], "s_suppkey INT, s_nationkey INT")
+    part = spark.createDataFrame([(1, 5.0), (2, 7.0)], "p_partkey INT, p_retailprice DOUBLE")
+    volumes = lambda names: {(r.ticker, str(r.Date), r.Volume) for r in bar_sources.bars_from_lines(
+        lines, supplier, part, names=names).collect()}
+    assert volumes("nation") == {("T03", "2020-01-02", 3.0), ("T03", "2020-01-03", 3.0)}
+    assert volumes("supplier") == {("S10", "2020-01-02", 2.0), ("S11", "2020-01-02", 1.0), ("S11", "2020-01-03", 3.0)}
