@@ -19,7 +19,8 @@ HEADLINE = [
     "pick_momentum", "momentum_ledger", "pick_threshold", "pick_variants", "pick_sticky", "ledger_base", "ledger_ls",
     "ledger_rank", "brake_ledger", "cost_sweep", "null_books", "trials", "auc_by_fold", "score_compare",
     "stability_monthly", "bootstrap_ci", "deflated_sharpe", "iv_panel", "value_report", "reconcile_picks",
-    "grade_picks", "stream_grade",
+    "grade_picks", "stream_grade", "wide_labels", "wide_momentum_ledger", "wide_ledger_base", "wide_null_books",
+    "wide_auc_by_fold", "wide_score_compare",
 ]
 
 

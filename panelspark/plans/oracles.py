@@ -682,6 +682,29 @@ CTES["mret"] = """SELECT cast(last_day(date_trunc('month', d0) + INTERVAL 1 MONT
 SQL["capm"] = query("""SELECT 'momentum' AS series, count(*) AS months, round(regr_intercept(ret, mkt_rf), 6) AS alpha,
   round(regr_slope(ret, mkt_rf), 6) AS beta, round(regr_r2(ret, mkt_rf), 6) AS r2 FROM mret JOIN ftab USING (month)""")
 
+# Least squares by successive orthogonalisation: for each term j the other terms come first, then j, then y
+# (places 0 to 7); after step s every later column is orthogonal to column s. At place 6 stands what is left of
+# j, r; at place 7, after the last step, the residual e. The coefficient is r.y / r.r and its error follows from r * e.
+_TERMS = ["alpha", "mkt_rf", "smb", "hml", "rmw", "cma", "mom"]
+CTES["frows"] = "SELECT row_number() OVER (ORDER BY month) AS t, count(*) OVER () AS n, ret - rf AS y, 1.0::DOUBLE AS alpha, " + \
+    ", ".join(_TERMS[1:]) + " FROM mret JOIN ftab USING (month) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ["ret", *_TERMS[1:]])
+CTES["fcol_0"] = " UNION ALL ".join(
+    f"SELECT '{j}' AS term, {at} AS place, t, {c} AS v FROM frows"
+    for j in _TERMS for at, c in enumerate([*[o for o in _TERMS if o != j], j, "y"]))
+for _s in range(7):
+    CTES[f"fstep_{_s}"] = f"""SELECT k.term, k.place, sum(k.v * s.v) / sum(s.v * s.v) AS b, sum(s.v * s.v) AS ss FROM fcol_{_s} k
+      JOIN fcol_{_s} s ON k.term = s.term AND k.t = s.t WHERE s.place = {_s} AND k.place > {_s} GROUP BY 1, 2"""
+    CTES[f"fcol_{_s + 1}"] = f"""SELECT k.term, k.place, k.t, k.v - b.b * s.v AS v FROM fcol_{_s} k
+      JOIN fcol_{_s} s ON k.term = s.term AND k.t = s.t AND s.place = {_s} JOIN fstep_{_s} b ON b.term = k.term AND b.place = k.place"""
+CTES["fz"] = """SELECT r.term, r.t, r.v * e.v AS z, e.v AS e FROM fcol_6 r JOIN fcol_7 e ON r.term = e.term AND r.t = e.t
+  WHERE r.place = 6"""
+CTES["fhac"] = """SELECT a.term, sum(CASE WHEN a.t = b.t THEN 1 ELSE 2 * (1 - (a.t - b.t) / 4.0::DOUBLE) END * a.z * b.z) AS meat
+  FROM fz a JOIN fz b ON a.term = b.term AND a.t - b.t BETWEEN 0 AND 3 GROUP BY 1"""
+CTES["fr2"] = """SELECT term, 1 - sum(e * e) / (SELECT sum((y - m) * (y - m)) FROM frows, (SELECT avg(y) AS m FROM frows)) AS r2,
+  count(*) AS months FROM fz GROUP BY 1"""
+SQL["factor_regression"] = query("""SELECT 'momentum' AS series, term, months, round(b, 6) AS coef, round(sqrt(meat) / ss, 6) AS se,
+  round(b / (sqrt(meat) / ss), 6) AS t, round(r2, 6) AS r2 FROM fstep_6 JOIN fhac USING (term) JOIN fr2 USING (term)""")
+
 # ---- value --------------------------------------------------------------------------
 CTES["fsum"] = """SELECT concat('T', lpad(cast(c_nationkey AS VARCHAR), 2, '0')) AS ticker, cast(date_trunc('quarter', o_orderdate) AS DATE) AS q,
     sum(cast(o_totalprice AS DECIMAL(18,2))) AS d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"""
