@@ -36,9 +36,9 @@ def _raw(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 
 
 def fit_fold(train: DataFrame, val: DataFrame, seed: int = 0, rounds: int = 20, depth: int = 5,
-             min_rows: int = 200) -> FoldModel:
-    """Fit trees on the training rows, stopping early on the validation rows, then
-    calibrate on validation."""
+             min_rows: int = 200, tol: float = 0.01) -> FoldModel:
+    """Fit trees on the training rows, stopping at the first round that lowers the error on the
+    validation rows by less than ``tol`` of it, then calibrate on validation."""
     cols = model_columns(train)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
     both = train.select(*cols, "label", F.lit(False).alias("is_val")).unionByName(
@@ -46,7 +46,7 @@ def fit_fold(train: DataFrame, val: DataFrame, seed: int = 0, rounds: int = 20,
     data = materialize(both)
     booster = GBTClassifier(
         featuresCol="features", labelCol="label", validationIndicatorCol="is_val", maxIter=rounds, maxDepth=depth,
-        minInstancesPerNode=min_rows, subsamplingRate=0.8, seed=seed)
+        minInstancesPerNode=min_rows, subsamplingRate=0.8, seed=seed, validationTol=tol)
     trees = booster.fit(assembler.transform(data))
     held = _raw(trees, assembler.transform(data.where("is_val")))
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held.select("raw", "label"))

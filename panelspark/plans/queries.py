@@ -854,7 +854,7 @@ def manifest_diff(spark, sf):
 
 def gbt_rows(spark, sf) -> DataFrame:
     purged = folds.gate_folds(folds.purge(folds.assign_folds(fixtures.panel(spark, sf))))
-    return model.score_folds(purged, rounds=4, depth=3)
+    return model.score_folds(purged, seeds=(0, 1, 2), rounds=300, depth=6, tol=0.0)
 
 
 @register
@@ -864,7 +864,7 @@ def gbt_scores(spark, sf):
 
 @register
 def gbt_evaluation(spark, sf):
-    return tidy(model.evaluate_folds(gbt_rows(spark, sf), thresh=0.2, n=5, trials=20))
+    return tidy(model.evaluate_folds(gbt_rows(spark, sf), thresh=0.2, n=5, trials=200))
 
 
 # ---- configurations, outside data, quality sleeve ---------------------------------------
