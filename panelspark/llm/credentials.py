@@ -34,8 +34,10 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK = {
     "user": re.compile(r"""(?<![A-Za-z0-9])(user(?:name)?|login|client_?id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@-]{3,})""", re.A | re.I),
     "host": re.compile(r"""https?://[^\s"'<>]{4,}|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])""", re.A),
-    "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[^\s]{0,40}[0-9])(?=[^\s]{0,40}[a-z])(?=[^\s]{0,40}[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A),
+    "mixed": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", re.A),
 }
+#: What a whole token of the kind must hold.
+HOLDS = {"mixed": [re.compile(c) for c in ("[0-9]", "[a-z]", "[A-Z]")]}
 KINDS = ["assign", "access", "hex", *WEAK]
 ROLE = {"assign": "secret", "hex": "secret", "mixed": "secret", "access": "identifier", "user": "identifier", "host": "host"}
 NEEDS = {"secret": ["identifier"], "identifier": ["secret"], "host": ["identifier", "secret"]}
@@ -57,8 +59,10 @@ def weak_spans(text: str, strong: list[tuple[int, int, int]]) -> list[tuple[int,
     ends = running_max(taken)
     starts = [a for a, _ in taken]
     out = []
-    for number, pattern in enumerate(WEAK.values(), 3):
+    for number, (kind, pattern) in enumerate(WEAK.items(), 3):
         for m in pattern.finditer(text):
+            if not all(c.search(m[0]) for c in HOLDS.get(kind, ())):
+                continue
             k = bisect_left(starts, m.end())
             if not k or ends[k - 1] <= m.start():
                 out.append((m.start(), number, m.end()))
