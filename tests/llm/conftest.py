@@ -21,8 +21,11 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """ODD with columns whose names an operator might use itself."""
-    rows = [(*r, k, "x", 0.5) for k, r in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, slot long, digest string, score double").repartition(3)
+    more = "bucket, place, offset, head, h_src, h_part, s_src, t_src, chunk, pid, length".split(", ")
+    rows = [(*r, k, "x", 0.5, *[k] * len(more)) for k, r in enumerate(ODD)]
+    return spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, slot long, digest string, score double, "
+              + ", ".join(f"{c} long" for c in more)).repartition(3)
 
 
 @pytest.fixture(scope="session")
