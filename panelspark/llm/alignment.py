@@ -82,7 +82,7 @@ def byte_level() -> dict[str, int]:
 class Aligner:
     """Both vocabularies, from their files' bytes."""
 
-    def __init__(self, a_data: bytes, b_data: bytes, cache_words: int = 600_000):
+    def __init__(self, a_data: bytes, b_data: bytes, cache_words: int = 500_000):
         import sentencepiece
         import tokenizers
 

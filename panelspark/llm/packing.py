@@ -19,6 +19,7 @@ but the id and the text are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,6 +32,10 @@ from pyspark.sql import functions as F
 from panelspark.llm.tokens import Words, hf_encoder, slices, vocabulary_bytes
 from panelspark.session import materialize
 
+#: Signs that may stand behind a word; ends of words that surely are letters or digits; bytes of marks that combine.
+SIGNS = b".,;:!?$%&*#|<>()[]{}\"+-=/_~^@"
+SURE_END, MAY_COMBINE = re.compile(rb"[0-9A-Za-z]$|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$"), re.compile(rb"[\xcc\xcd]")
+
 #: Bits of a sequence's number: the round it was packed in, its group, its place in the group.
 GROUP_BITS, BIN_BITS = 36, 20
 
@@ -208,31 +213,60 @@ def pack_lengths(pieces: DataFrame, capacity: int = 2048, group_pieces: int = 40
     return out
 
 
+class Stems:
+    """Ids of words (bytes without ASCII white space) from those of their stems and of the signs behind them.
+
+    This tokenizer lower-cases and cuts between letters or digits and other signs. Only a cut behind an ASCII or Latin-1 letter or
+    digit is made here, and letters are lowered only where nothing combines with them; the ids are those of the whole word.
+    """
+
+    def __init__(self, data: bytes, most: int = 600_000):
+        self.encode, self.most = hf_encoder(data, plain_specials=False), most
+        self.known: dict[bytes, list[int]] = {}
+
+    def divide(self, word: bytes) -> tuple[bytes, bytes]:
+        if b"<|" in word:
+            return word, b""
+        stem = word.rstrip(SIGNS)
+        if len(stem) == len(word) or not SURE_END.search(stem):
+            stem = word
+        tail = word[len(stem):]
+        return (stem if MAY_COMBINE.search(stem) else stem.lower()), tail
+
+    def ids(self, words: list[bytes]) -> list[list[int]]:
+        parts = [self.divide(w) for w in words]
+        if len(self.known) > self.most:
+            self.known.clear()
+        new = [p for p in {p for both in parts for p in both} if p not in self.known]
+        self.known.update(zip(new, self.encode([p.decode("utf-8", "surrogatepass") for p in new])))
+        known = self.known
+        return [known[stem] + known[tail] if tail else known[stem] for stem, tail in parts]
+
+
 @lru_cache(maxsize=1)
 def words_of(data: bytes) -> Words:
     """Kept by a worker from one task to the next."""
-    encode = hf_encoder(data, plain_specials=False)
-    return Words([lambda words: encode([w.decode("utf-8", "surrogatepass") for w in words])])
+    return Words([Stems(data).ids])
 
 
-def cut(data: bytes, capacity: int, end_id: int, slice_chars: int):
+def cut(data: bytes, capacity: int, end_id: int, slice_chars: int, with_ids: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(doc_id, text) to doc_id, ids and, for each of its pieces, length and CRC-32."""
+        """(doc_id, text) to doc_id, its pieces' lengths and CRC-32s and, if asked for, ids."""
         words = words_of(data)
         for batch in batches:
             texts = batch["text"].tolist()
             for first, end in slices(texts, slice_chars):
                 split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts[first:end]]
                 sizes = np.fromiter(map(len, split), np.int64, len(split))
-                flat, many = words.rows[0].take(words.codes([w for x in split for w in x])) if sizes.any() else (
-                    np.empty(0, np.int32), np.empty(0, np.int64))
+                codes = words.codes([w for x in split for w in x])
+                flat, many = words.rows[0].take(codes)
                 stops = np.concatenate([[0], np.cumsum(many)])[np.cumsum(sizes)].tolist()
                 ids, lengths, sums, at = [], [], [], 0
                 for stop in stops:
                     own = np.append(flat[at:stop], np.int32(end_id)).astype("<u4")
                     at = stop
                     parts = [own[k:k + capacity] for k in range(0, len(own), capacity)]
-                    ids.append(own.view("<i4"))
+                    ids.append(own.view("<i4") if with_ids else None)
                     lengths.append([len(p) for p in parts])
                     sums.append([zlib.crc32(p.tobytes()) for p in parts])
                 yield pd.DataFrame({"no_id": batch["no_id"].iloc[first:end], "doc_id": batch["doc_id"].iloc[first:end], "ids": ids,
@@ -249,7 +283,7 @@ def tokenized(docs: DataFrame, folder: str | None, file: str, id_col: str, text_
     given = F.col(id_col).cast("long")  # ids without nulls keep their digits on the way through pandas
     own = docs.select(given.isNull().alias("no_id"), F.coalesce(given, F.lit(0).cast("long")).alias("doc_id"),
                       F.col(text_col).alias("text"))
-    made = own.mapInPandas(cut(vocabulary_bytes(file, folder), capacity, end_id, slice_chars),
+    made = own.mapInPandas(cut(vocabulary_bytes(file, folder), capacity, end_id, slice_chars, with_ids),
                            "no_id boolean, doc_id long, ids array<int>, lengths array<long>, sums array<long>")
     spread = made.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), *["ids"] * with_ids, F.posexplode(F.arrays_zip("lengths", "sums")).alias("piece", "p"))
     start = (F.col("piece") * capacity).cast("long")

@@ -31,6 +31,7 @@ def vocabulary_bytes(name: str, folder: str | None = None) -> bytes:
 
 def hf_encoder(data: bytes, plain_specials: bool) -> Callable[[list[str]], list[list[int]]]:
     """Texts to ids, without special tokens; ``plain_specials`` reads their strings as plain text."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use the cores
     import tokenizers
 
     tokenizer = tokenizers.Tokenizer.from_str(data.decode("utf-8"))
@@ -59,28 +60,41 @@ class Ragged:
         return self.flat[np.arange(total) + np.repeat(starts - ends + sizes, sizes)], sizes
 
 
+class Known(dict):
+    """Codes of words in the order in which they came; the ones just met are in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
+
+
 class Words:
     """Codes of distinct words; ``encoders`` give each its rows, kept until more than ``most`` words are held."""
 
-    def __init__(self, encoders: Sequence[Callable[[list], list[list[int]]]], most: int = 400_000):
+    def __init__(self, encoders: Sequence[Callable[[list], list[list[int]]]], most: int = 600_000):
         self.encoders, self.most = encoders, most
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict = {}
+        self.known = Known()
         self.rows = [Ragged() for _ in self.encoders]
 
     def codes(self, words: list) -> np.ndarray:
-        new = set(words) - self.known.keys()
-        if new and len(self.known) + len(new) > self.most:
-            self.clear()
-            new = set(words)
-        if new:
-            batch = list(new)
+        known = self.known
+        out = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if known.new:
+            if len(known) > max(self.most, len(known.new)):
+                self.clear()
+                return self.codes(words)
             for rows, encode in zip(self.rows, self.encoders):
-                rows.add(encode(batch))
-            self.known.update(zip(batch, range(len(self.known), len(self.known) + len(batch))))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                rows.add(encode(known.new))
+            known.new = []
+        return out
 
 
 def spaced(text: str) -> list[str]:

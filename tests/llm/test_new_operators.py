@@ -162,6 +162,20 @@ def test_parts_give_the_text():
         assert all(parts) and "".join(" " + p for p in parts) == " " + text
 
 
+@pytest.mark.parametrize("most", [40, 10_000])
+def test_small_word_caches(texts, libraries, most):
+    """Caches that overflow again and again give the same ids."""
+    data = tokens.vocabulary_bytes("word_bpe_49k.json")
+    words = tokens.Words([packing.Stems(data, most).ids], most)
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    aligner = alignment.Aligner(*(tokens.vocabulary_bytes(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model")), most)
+    for _, text in texts[:60]:
+        codes = words.codes((text or "").encode().split())
+        assert words.rows[0].take(codes)[0].tolist() == library.encode(text or "", add_special_tokens=False).ids
+        found = aligner.align([text])[0]
+        assert (found["n_a"][0], found["groups_sha256"][0]) == tuple(np.take(np.array(brute_alignment(text, libraries), object), [0, 4]))
+
+
 def brute_pieces(rows, capacity=2048):
     words = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = []
