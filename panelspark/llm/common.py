@@ -50,21 +50,45 @@ def attach(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, s
     return joined.select(*left.columns, *[found[c].alias(c) for c in (rows, *payload)])
 
 
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, name: str, among: bool = True, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``keys`` (column ``name``), or those where it surely isn't (``among`` False).
+
+    The keys' hashes are marked in a bit map of 2**bits places, which alone is broadcast: 8 MB at 26 whatever the number
+    of keys. Rows that share a place with a key pass as well; with very many keys all do. So wide rows
+    are left where they are, and the plan is the same at every size.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << bits))
+    spot = place(F.col(name)).alias("p")
+    maps = keys.select(spot).groupBy(F.shiftright("p", 15).alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("__map"))
+    at = F.col("__at").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("__map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at.bitwiseAND(F.lit(7)) + 1).cast("int"))
+    marked = F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))
+    met = df.withColumn("__at", place(key)).join(F.broadcast(maps), F.shiftright("__at", 15) == F.col("__bucket"), "left")
+    return met.where(marked if among else ~marked).select(*df.columns)
+
+
 def keep_one(docs: DataFrame, keyed: DataFrame, keys: Sequence[str], multi: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stay after duplicates go.
 
-    ``keyed`` is docs with the two columns ``keys`` added. ``multi`` lists the keys of rows in groups of
+    ``keyed`` is docs with the two columns ``keys`` added. ``multi``, a written table, lists the keys of rows in groups of
     several rows: ``keys``, ``stays`` (this key's row stays) and ``repeats`` (rows with the same
-    key). Of repeated rows with one key the first one met stays.
+    key). Of repeated rows with one key the first one met stays. Rows that surely aren't listed stay where they are
+    read; only the others meet the list.
     """
-    right = multi.select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], "stays", "repeats")
+    right = multi.select(*[F.col(k).alias(f"__m{i}") for i, k in enumerate(keys)], "stays", "repeats").where(
+        ~F.col("stays") | (F.col("repeats") > 1))
     match = [F.col(k).eqNullSafe(F.col(f"__m{i}")) for i, k in enumerate(keys)]
-    single = right.where(~F.col("stays") | (F.col("repeats") > 1))
-    kept = keyed.join(single, match, "left_anti").select(*docs.columns)
+    listed = right.select(F.xxhash64(*[F.col(f"__m{i}") for i in range(len(keys))]).alias("__hash"))
+    own = F.xxhash64(*keys)
+    away = maybe_in(keyed, own, listed, "__hash", among=False).select(*docs.columns)
+    near = maybe_in(keyed, own, listed, "__hash")
+    kept = away.unionByName(near.join(right, match, "left_anti").select(*docs.columns))
     again = materialize(right.where(F.col("stays") & (F.col("repeats") > 1)))
     if again.isEmpty():
         return kept
-    first = (keyed.select(*keys, F.struct(*docs.columns).alias("__row")).join(again, match, "left_semi")
+    first = (near.select(*keys, F.struct(*docs.columns).alias("__row")).join(again, match, "left_semi")
              .groupBy(*keys).agg(F.first("__row").alias("__row")).select("__row.*"))
     return kept.unionByName(first)
 

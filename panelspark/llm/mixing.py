@@ -1,16 +1,16 @@
 """Mixing sources to target weights: Pfair scheduling of source blocks.
 
-Each source is cut into blocks of ``block_docs`` documents. Time is a row of slots, one block each.
-A segment of the plan gives every source a whole number of its slots; block j of a source with c of a segment's L
-slots is released at slot floor(j * L / c) and due at ceil((j + 1) * L / c). Earliest deadline first
-over released blocks meets every deadline, so at any slot a source has had less than one block more or
-less than its share. A segment starts and ends with every source exactly on its share, which makes
-it a pattern of bounded length that repeats: a segment of ``period`` slots holds until a source has less
-left than one repetition takes; a shorter one uses up that source; the others go on
-with their weights in proportion. Every document appears once.
-
-The driver plans segments from one number of blocks per source. Patterns are scheduled as Spark groups, one
-segment each; blocks of all repetitions and the rows of the sources are numbered and joined by Spark.
+Each source is cut into blocks of ``block_docs`` documents. Time is a row of slots, one block each. In the ideal mix a source has
+w * v blocks at virtual time v until its own are used up, where w is its target weight; all others go on in proportion.
+Block j of a source is released when its ideal count is j and due when it is j + 1, so its release time and
+deadline follow from its weight alone. Earliest deadline first over released blocks meets every deadline, so at any slot
+a source has had less than one block more or less than its target (``lag`` says how much).
+
+The schedule is made in periods of slots that don't wait for each other. At a period's start each source has had its ideal count,
+rounded down or up. Rounding is two-way: in the order of releases and in that of deadlines the rounded counts up to any source
+stay within one of the ideal ones, which is what makes both periods beside the border keep all deadlines; a
+flow through unit cells of both orders finds it. Borders, periods, blocks and rows are Spark groups and joins: no list of
+sources reaches the driver. A period has four slots for each source, so that (period, source) rows stay fewer than blocks.
 
 Defined results: a null source is the empty name; weights are shares of their sum; a source without weight follows
 after the others at its natural share; repeated rows and null ids keep a place each; input columns
@@ -20,99 +20,197 @@ named like the result's are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import clear_names
+from panelspark.session import materialize
 
 NAMES = ["target", "block", "slot", "place", "lag"]
-MOST_SOURCES = 10_000
-
-
-def shares(weights: Mapping[str, float], slots: int) -> dict[str, int]:
-    """Whole slots by largest remainder, at least one each."""
-    total = sum(weights.values())
-    free = slots - len(weights)
-    exact = {s: w / total * slots for s, w in weights.items()}
-    out = {s: max(1, int(e)) for s, e in exact.items()}
-    while sum(out.values()) > slots:  # ones given to small sources come from the largest
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:max(0, slots - sum(out.values()))]:
-        out[s] += 1
-    assert free >= 0 and sum(out.values()) == slots
-    return out
-
-
-def plan(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[tuple[int, int, dict[str, int]]]:
-    """Segments (first slot, repetitions, blocks of each source in one repetition)."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    out, slot = [], 0
+NEAR = 1e-6
+
+
+def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last unit cell that each of ``x`` touches when laid end to end."""
+    ends = np.cumsum(x)
+    first, last = np.floor(ends - x + NEAR).astype(int), np.ceil(ends - NEAR).astype(int) - 1
+    return first, np.maximum(first, last)
+
+
+def two_way(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """0 or 1 for each of ``x``, all between them and of whole sum, so that the sums up to any place in the given order and in
+    ``order`` differ from those of ``x`` by less than one. A unit flow from the cells of one order to those of the other."""
+    many, m = int(round(float(x.sum()))), len(x)
+    if not many:
+        return np.zeros(m, int)
+    left, right = cells(x), tuple(c[np.argsort(order)] for c in cells(x[order]))
+    # Nodes: source, cells of the first order, elements in and out, cells of the second, sink.
+    enter, leave, sink = 1 + many, 1 + many + m, 1 + 2 * many + 2 * m
+    to, free, out = [], [], [[] for _ in range(sink + 1)]
+
+    def edge(a: int, b: int) -> None:
+        out[a].append(len(to))
+        to.append(b)
+        free.append(1)
+        out[b].append(len(to))
+        to.append(a)
+        free.append(0)
+
+    for c in range(many):
+        edge(0, 1 + c)
+        edge(leave + m + c, sink)
+    middle = []
+    for i in range(m):
+        middle.append(len(to))
+        edge(enter + i, leave + i)
+        for c in {int(left[0][i]), min(int(left[1][i]), many - 1)}:
+            edge(1 + c, enter + i)
+        for c in {int(right[0][i]), min(int(right[1][i]), many - 1)}:
+            edge(leave + i, leave + m + c)
+    while True:
+        depth, todo = [-1] * (sink + 1), deque([0])
+        depth[0] = 0
+        while todo:
+            a = todo.popleft()
+            for e in out[a]:
+                if free[e] and depth[to[e]] < 0:
+                    depth[to[e]] = depth[a] + 1
+                    todo.append(to[e])
+        if depth[sink] < 0:
+            break
+        at, path = [0] * (sink + 1), []
+        while True:
+            a = to[path[-1]] if path else 0
+            if a == sink:
+                for e in path:
+                    free[e], free[e ^ 1] = 0, 1
+                path = []
+                continue
+            while at[a] < len(out[a]) and not (free[out[a][at[a]]] and depth[to[out[a][at[a]]]] == depth[a] + 1):
+                at[a] += 1
+            if at[a] < len(out[a]):
+                path.append(out[a][at[a]])
+            elif path:
+                path.pop()
+                at[to[path[-1]] if path else 0] += 1
+            else:
+                break
+    return np.array([1 - free[e] for e in middle])
+
+
+def border(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rounded counts of all sources at one border, from their ideal counts x and weights w."""
+    rows = rows.sort_values("src")
+    x, w = rows["x"].to_numpy(), rows["w"].to_numpy()
+    whole = np.floor(x + NEAR)
+    part = np.flatnonzero(x - whole > NEAR)
+    release, due = whole[part] / w[part], (whole[part] + 1) / w[part]
+    by_release = part[np.argsort(-release, kind="stable")]
+    by_due = np.argsort(due[np.argsort(-release, kind="stable")], kind="stable")
+    whole[by_release] += two_way(x[by_release] - whole[by_release], by_due)
+    return pd.DataFrame({"k": rows["k"], "src": rows["src"], "count": whole.astype(np.int64)})
+
+
+def period(rows: pd.DataFrame) -> pd.DataFrame:
+    """Earliest deadline first over a period's blocks: rows (k, start, src, w, v_end, v, x, first, stop), v the virtual time at
+    the start and x the ideal count there."""
+    rows = rows.sort_values("src")
+    w, end, x, first, stop = (rows[c].to_numpy() for c in ("w", "v_end", "x", "first", "stop"))
+    v0, start, sources = float(rows["v"].iloc[0]), int(rows["start"].iloc[0]), rows["src"].tolist()
+    order = np.argsort(end, kind="stable")
+    ends, drop = end[order], np.cumsum(w[order])
+    speed = np.concatenate([[w.sum()], w.sum() - drop])
+    times = np.concatenate([[0.0], np.cumsum(np.diff(np.concatenate([[v0], ends])) * speed[:-1])])
+    marks = np.concatenate([[v0], ends])
+
+    def slots(v: np.ndarray) -> np.ndarray:
+        """Slots from the period's start to virtual time v."""
+        at = np.clip(np.searchsorted(marks, v, "right") - 1, 0, len(speed) - 1)
+        return times[at] + (v - marks[at]) * np.maximum(speed[at], 0)
+
+    def virtual(t: np.ndarray) -> np.ndarray:
+        at = np.clip(np.searchsorted(times, t, "right") - 1, 0, len(speed) - 1)
+        return marks[at] + (t - times[at]) / np.where(speed[at] > 0, speed[at], np.inf)
+
+    many = stop - first
+    owner = np.repeat(np.arange(len(rows)), many)
+    block = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+    due = np.minimum((block + 1) / w[owner], end[owner])
+    release = np.floor(np.maximum(slots(np.maximum(block / w[owner], v0)), 0) + NEAR).astype(int)
+    coming = np.lexsort((owner, release)).tolist()
+    release_of, due_of, ready, done, slot_of = release.tolist(), due.tolist(), [], 0, np.empty(len(owner), np.int64)
+    for slot in range(len(owner)):
+        while done < len(coming) and (release_of[coming[done]] <= slot or not ready):
+            b = coming[done]
+            heapq.heappush(ready, (due_of[b], sources[owner[b]], b))
+            done += 1
+        slot_of[heapq.heappop(ready)[2]] = slot
+    ideal = np.minimum(w[owner] * np.minimum(virtual(slot_of + 1.0), end[owner]), w[owner] * end[owner])
+    return pd.DataFrame({"src": rows["src"].to_numpy()[owner], "block": block, "slot": start + slot_of, "lag": ideal - (block + 1),
+                         "w": w[owner]})
+
+
+def running(table: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """Running sums over the whole table without one task for it: inside range partitions, then over their totals."""
+    cut = materialize(table.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    own, over = Window.partitionBy("__part").orderBy(*order), Window.orderBy("t_part")
+    totals = cut.groupBy(F.col("__part").alias("t_part")).agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()]).select(
+        "t_part", *[(F.sum(f"__{n}").over(over) - F.col(f"__{n}")).alias(f"__{n}") for n in sums])
+    inner = cut.select("*", *[F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n, c in sums.items()])
+    return inner.join(F.broadcast(totals), F.col("__part") == F.col("t_part")).select(
+        *table.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+
+
+def block_slots(sources: DataFrame, slots: int, many: int, weight: float, period_slots: int) -> DataFrame:
+    """sources (src, blocks, w), w above zero, to (src, block, slot, lag, w) of every block. ``slots``, ``many`` and ``weight``: the
+    sums of blocks, sources and weights."""
+    length = max(period_slots, 4 * many)
+    last = -(-slots // length)
+    ends = running(sources.withColumn("v_end", F.col("blocks") / F.col("w")), ["v_end", "src"], {"gone": "blocks", "less": "w"})
+    # Up to the end of a source, time runs at the speed of it and of all that end later.
+    until = F.col("gone") + F.col("v_end") * (F.lit(weight) - F.col("less"))
+    top = F.least(F.floor(until / length + 1e-9).cast("long"), F.lit(last - 1).cast("long"))
+    active = materialize(ends.select(
+        "src", "w", "v_end", "blocks", (F.col("gone") - F.col("blocks")).alias("before"),
+        (F.lit(weight) - F.col("less") + F.col("w")).alias("speed"), F.explode(F.sequence(F.lit(0).cast("long"), top)).alias("k")))
+    # Of the sources that still have blocks at a border the one that ends first knows its virtual time.
+    borders = active.groupBy("k").agg(F.min_by(F.struct("before", "speed"), F.struct("v_end", "src")).alias("s")).select(
+        F.col("k").alias("b_k"), F.greatest(F.lit(0.0), (F.col("k") * length - F.col("s.before")) / F.col("s.speed")).alias("v"))
+    met = materialize(active.join(borders, F.col("k") == F.col("b_k")).select("k", "src", "w", "v_end", "blocks", "v", F.least(
+        F.col("w") * F.col("v"), F.col("blocks").cast("double")).alias("x")))
+    counts = materialize(met.groupBy("k").applyInPandas(border, "k long, src string, count long"))
+    first = counts.select(F.col("k").alias("f_k"), F.col("src").alias("f_src"), F.col("count").alias("first"))
+    following = counts.select((F.col("k") - 1).alias("n_k"), F.col("src").alias("n_src"), F.col("count").alias("stop"))
+    ready = (met.join(first, (F.col("k") == F.col("f_k")) & (F.col("src") == F.col("f_src")))
+             .join(following, (F.col("k") == F.col("n_k")) & (F.col("src") == F.col("n_src")), "left")
+             .select("k", (F.col("k") * length).alias("start"), "src", "w", "v_end", "v", "x", "first",
+                     F.coalesce("stop", "blocks").alias("stop")))
+    return ready.groupBy("k").applyInPandas(period, "src string, block long, slot long, lag double, w double")
+
+
+def schedule(sources: DataFrame, period_slots: int = 1000) -> DataFrame:
+    """sources (src, blocks, w) to (src, block, slot, lag, target): those with a weight, then the others at their natural share."""
+    sources = materialize(sources.where("blocks > 0"))
+    facts = {r["ranked"]: r for r in sources.groupBy((F.col("w") > 0).alias("ranked")).agg(
+        F.sum("blocks").alias("slots"), F.count("*").alias("many"), F.sum("w").alias("weight")).collect()}
+    out, before = None, 0
     for ranked in (True, False):
-        active = {s: weights[s] if ranked else float(blocks[s]) for s in left if (weights.get(s, 0) > 0) == ranked}
-        while active:
-            each = shares(active, max(period, len(active)))
-            times = min(left[s] // each[s] for s in active)
-            if not times:
-                first = min(active, key=lambda s: (left[s] / each[s], s))
-                a, b = left[first], each[first]
-                each = {s: (2 * each[s] * a + b) // (2 * b) for s in active}
-                times = 1
-            each = {s: n for s, n in each.items() if n}
-            out.append((slot, times, each))
-            slot += times * sum(each.values())
-            for s, n in each.items():
-                left[s] -= n * times
-            active = {s: w for s, w in active.items() if left[s] > 0}
-        left = {s: n for s, n in left.items() if n > 0}
-    return out
-
-
-def earliest_deadline_first(counts: Mapping[str, int]) -> list[tuple[str, int, int, float]]:
-    """(source, its j-th block, slot, lag after the slot) of one repetition."""
-    length = sum(counts.values())
-    release = [(0, s, 0) for s in sorted(counts)]
-    heapq.heapify(release)
-    ready, out = [], []
-    for slot in range(length):
-        while release and release[0][0] <= slot:
-            _, s, j = heapq.heappop(release)
-            heapq.heappush(ready, (-(-(j + 1) * length // counts[s]), s, j))
-        due, s, j = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a deadline is missed")
-        out.append((s, j, slot, counts[s] * (slot + 1) / length - (j + 1)))
-        if j + 1 < counts[s]:
-            heapq.heappush(release, ((j + 1) * length // counts[s], s, j + 1))
-    return out
-
-
-def block_slots(spark, segments) -> DataFrame:
-    """(source, block, slot, lag) for every block of the plan."""
-    rows, used = [], {}
-    for k, (slot, times, each) in enumerate(segments):
-        length = sum(each.values())
-        for s, n in each.items():
-            rows.append((k, slot, times, length, s, n, used.get(s, 0)))
-            used[s] = used.get(s, 0) + n * times
-
-    def pattern(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows.iloc[0]
-        first = dict(zip(rows["src"], rows["first"]))
-        each = dict(zip(rows["src"], (int(n) for n in rows["n"])))
-        return pd.DataFrame(
-            [(s, first[s] + j, head["slot"] + at, each[s], head["length"], head["times"], lag)
-             for s, j, at, lag in earliest_deadline_first(each)],
-            columns=["src", "block", "slot", "n", "length", "times", "lag"])
-
-    table = spark.createDataFrame(rows, "seg int, slot long, times long, length long, src string, n long, first long")
-    return (table.groupBy("seg").applyInPandas(
-        pattern, "src string, block long, slot long, n long, length long, times long, lag double")
-        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("t"))
-        .select("src", (F.col("block") + F.col("t") * F.col("n")).alias("block"),
-                (F.col("slot") + F.col("t") * F.col("length")).alias("slot"), "lag"))
+        if ranked not in facts:
+            continue
+        f = facts[ranked]
+        own = sources.where((F.col("w") > 0) == ranked)
+        own = own if ranked else own.withColumn("w", F.col("blocks").cast("double"))
+        weight = f["weight"] if ranked else float(f["slots"])
+        part = block_slots(own, f["slots"], f["many"], weight, period_slots).select(
+            "src", "block", (F.col("slot") + before).alias("slot"), "lag", (F.col("w") / F.lit(weight) * int(ranked)).alias("target"))
+        out, before = part if out is None else out.unionByName(part), before + f["slots"]
+    return materialize(out) if out is not None else sources.sparkSession.createDataFrame(
+        [], "src string, block long, slot long, lag double, target double")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: float = 0.5, block_docs: int = 8,
@@ -124,33 +222,38 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, exponent: f
     Within a source the order is that of a seeded hash of the id.
     """
     docs = clear_names(docs, NAMES)
-    src = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    counted = docs.groupBy(src.alias("src")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-    if len(counted) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    counts = {r["src"]: r["n"] for r in counted}
+    src: Column = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    # The input travels as one column, so its names can't meet those used here.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), src.alias("src"), F.col(id_col).alias("id"),
+                       F.xxhash64(F.lit(seed), F.col(id_col)).alias("draw"))
+    counted = docs.groupBy(src.alias("src")).agg(F.count("*").alias("n"))
     if weights is None:
-        weights = {s: n ** exponent for s, n in counts.items()}
-    known = {s: max(0.0, float(weights.get(s, 0))) for s in counts}
-    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    slots = block_slots(docs.sparkSession, plan(blocks, known, period))
-    total = sum(known.values()) or 1.0
-    targets = docs.sparkSession.createDataFrame([(s, w / total) for s, w in known.items()], "t_src string, target double")
+        weighed = counted.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(exponent))))
+    else:
+        given = docs.sparkSession.createDataFrame([(str(s), max(0.0, float(w))) for s, w in weights.items()], "g_src string, w double")
+        weighed = counted.join(given, F.col("src") == F.col("g_src"), "left").select(
+            "src", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    sources = materialize(weighed.withColumn("blocks", F.ceil(F.col("n") / block_docs)))
+    total = sources.agg(F.sum("n").alias("n")).first()["n"] or 0
+    planned = schedule(sources.select("src", "blocks", "w"), period).withColumnRenamed("src", "s_src")
 
     # The rows of a source are numbered in two steps, so that a hot source is not sorted in one task.
-    parts = max(16, -(-sum(counts.values()) // bucket_rows))
-    draw = F.xxhash64(F.lit(seed), F.col(id_col))
-    rows = docs.withColumns({"__src": src, "__draw": draw}).withColumn(
-        "__part", F.pmod(F.shiftright("__draw", 20), F.lit(parts)))
-    heads = rows.groupBy("__src", "__part").agg(F.count("*").alias("n")).select(
-        F.col("__src").alias("h_src"), F.col("__part").alias("h_part"),
-        (F.sum("n").over(Window.partitionBy("__src").orderBy("__part")) - F.col("n")).alias("head"))
-    own = Window.partitionBy("__src", "__part").orderBy("__draw", id_col)
-    at = F.col("head") + F.col("__row") - 1
-    return (rows.withColumn("__row", F.row_number().over(own))
-            .join(heads, (F.col("__src") == F.col("h_src")) & (F.col("__part") == F.col("h_part")))
-            .withColumns({"__block": F.floor(at / block_docs), "place": F.pmod(at, F.lit(block_docs))})
-            .join(slots.withColumnRenamed("src", "s_src"),
-                  (F.col("__src") == F.col("s_src")) & (F.col("__block") == F.col("block")))
-            .join(F.broadcast(targets), F.col("__src") == F.col("t_src"))
-            .select(*docs.columns, *NAMES))
+    parts = max(16, -(-total // bucket_rows))
+    rows = rows.withColumn("part", F.pmod(F.shiftright("draw", 20), F.lit(parts)))
+    heads = rows.groupBy("src", "part").agg(F.count("*").alias("n")).select(
+        F.col("src").alias("h_src"), F.col("part").alias("h_part"),
+        (F.sum("n").over(Window.partitionBy("src").orderBy("part")) - F.col("n")).alias("head"))
+    own = Window.partitionBy("src", "part").orderBy("draw", "id")
+    at = F.col("head") + F.col("number") - 1
+    return (rows.withColumn("number", F.row_number().over(own))
+            .join(heads, (F.col("src") == F.col("h_src")) & (F.col("part") == F.col("h_part")))
+            .withColumns({"at_block": F.floor(at / block_docs), "place": F.pmod(at, F.lit(block_docs))})
+            .join(planned, (F.col("src") == F.col("s_src")) & (F.col("at_block") == F.col("block")))
+            .select("row.*", *NAMES))
+
+
+def in_order(docs: DataFrame, **options) -> DataFrame:
+    """docs, laid out in the order of the mix; columns stay as they are."""
+    mixed = mix(docs.select(F.struct(*docs.columns).alias("row"), *[F.col(options.get(k, d)) for k, d in (
+        ("id_col", "doc_id"), ("source_col", "source"))]), **options)
+    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")

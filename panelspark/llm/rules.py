@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import WHITE
+from panelspark.llm.common import WHITE, maybe_in
 from panelspark.session import materialize
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -234,8 +234,13 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs that the base rule and the learned list keep; columns stay as they are."""
-    # Written once: a filter on the statistics would otherwise move below them and repeat them.
-    rows = materialize(statistics(docs, id_col, text_col, with_row=True))
-    rules = learn(label_rows(rows.drop("__row"), labels), **options)
-    return rows.where(~base_failed() & (verdict(rules) == 0)).select("__row.*")
+    """docs that the base rule and the learned list keep; columns stay as they are.
+
+    The list is learned from the statistics of labelled documents, the only ones written; then all are judged where they are read.
+    """
+    known = maybe_in(docs, F.col(id_col).cast("long"), labels.select(F.col("doc_id").cast("long").alias("l")), "l")
+    rules = learn(label_rows(materialize(statistics(known, id_col, text_col)), labels), **options)
+    rows = statistics(docs, id_col, text_col, with_row=True)
+    # Exploded, so that the filter does not move below the statistics and repeat them.
+    once = F.explode(F.array(F.struct(*[c for c in rows.columns if c != "__row"]))).alias("s")
+    return rows.select("__row", once).select("__row", "s.*").where(~base_failed() & (verdict(rules) == 0)).select("__row.*")

@@ -27,21 +27,22 @@ GROUP = 1000
 
 def shuffle_records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11,
                     bucket_bytes: int = 16 << 20) -> DataFrame:
-    """docs with size, text_crc32, bucket and place in the bucket, written bucket by bucket."""
+    """bucket, place in the bucket, size, text_crc32 and row, the input's columns; written bucket by bucket."""
     docs = clear_names(docs, NAMES)
     data = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + OVERHEAD
     total = docs.agg(F.sum(data).alias("bytes")).first()["bytes"] or 0
     buckets = max(1, -(-total // bucket_bytes))
     scatter = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col, F.spark_partition_id()), F.lit(buckets))
-    records = docs.withColumns({
-        "size": data, "text_crc32": F.crc32(F.coalesce(text_col, F.lit("")).cast("binary"))})
-    row = F.struct(F.xxhash64(F.lit(seed), id_col, "text_crc32").alias("__draw"), *records.columns)
-    comparable = F.struct(F.col("__row.__draw"), F.col(f"__row.{id_col}"), F.col("__row.text_crc32"))
-    passed = (records.select(scatter.alias("bucket"), row.alias("__row"))
+    # The input travels as one column, so its names can't meet those used here.
+    crc = F.crc32(F.coalesce(text_col, F.lit("")).cast("binary"))
+    record = F.struct(F.xxhash64(F.lit(seed), F.col(id_col), crc).alias("draw"), F.col(id_col).alias("id"),
+                      crc.alias("text_crc32"), data.alias("size"), F.struct(*docs.columns).alias("row"))
+    comparable = F.struct(F.col("record.draw"), F.col("record.id"), F.col("record.text_crc32"))
+    passed = (docs.select(scatter.alias("bucket"), record.alias("record"))
               .repartition(min(buckets, 1 << 16), "bucket").sortWithinPartitions("bucket", comparable)
-              .groupBy("bucket").agg(F.collect_list("__row").alias("__rows"))
-              .select("bucket", F.posexplode(F.shuffle("__rows", seed)).alias("place", "__row"))
-              .select("bucket", "place", *[F.col("__row")[c].alias(c) for c in records.columns]))
+              .groupBy("bucket").agg(F.collect_list("record").alias("records"))
+              .select("bucket", F.posexplode(F.shuffle("records", seed)).alias("place", "record"))
+              .select("bucket", "place", "record.size", "record.text_crc32", "record.row"))
     return materialize(passed)
 
 
@@ -62,7 +63,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", **options)
             .withColumns({
                 "law": F.lit("rows"), "grown_shard": F.lit(None).cast("int"),
                 "slot": at - F.ceil(F.col("shard").cast("long") * n / k)})
-            .select(*[c for c in done.columns if c not in ("bucket", "place", "size", "text_crc32")], *NAMES))
+            .select("row.*", *NAMES))
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

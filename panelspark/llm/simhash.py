@@ -46,7 +46,7 @@ def hash_text(text: str | None, words: int = 3) -> list[int]:
     return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1:])]
 
 
-def fingerprints(texts: list, chunk: int = 50_000) -> np.ndarray:
+def fingerprints(texts: list, chunk: int = 50_000, words: int = 3) -> np.ndarray:
     """One unsigned fingerprint per text; at most ``chunk`` hashes are unpacked at a time."""
     votes, sizes = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     held, starts, owners, count = [], [], [], 0
@@ -57,7 +57,7 @@ def fingerprints(texts: list, chunk: int = 50_000) -> np.ndarray:
             np.add.at(votes, owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
 
     for i, text in enumerate(texts):
-        hashes = np.array(hash_text(text), dtype=np.uint64)
+        hashes = np.array(hash_text(text, words), dtype=np.uint64)
         sizes[i] = len(hashes)
         for part in range(0, len(hashes), chunk):
             piece = hashes[part:part + chunk]

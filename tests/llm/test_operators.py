@@ -254,32 +254,6 @@ def test_mix(case):
     assert all(abs(r["lag"]) < 1 for r in got)
 
 
-def test_earliest_deadline_first_stays_within_one_block():
-    rng = random.Random(4)
-    for _ in range(60):
-        counts = {f"s{k}": rng.choice([1, 1, 2, 7, 300]) for k in range(rng.randrange(1, 30))}
-        length, had = sum(counts.values()), collections.Counter()
-        order = sorted(mixing.earliest_deadline_first(counts), key=lambda x: x[2])
-        assert [x[2] for x in order] == list(range(length))
-        for s, j, slot, _ in order:
-            assert had[s] == j
-            had[s] += 1
-            assert all(abs(n * (slot + 1) / length - had[t]) < 1 for t, n in counts.items())
-
-
-def test_plan_uses_every_block():
-    rng = random.Random(6)
-    for _ in range(60):
-        blocks = {f"s{k}": rng.choice([0, 1, 5, 90, 4000]) for k in range(rng.randrange(1, 12))}
-        weights = {s: rng.choice([0, 1, 2.5, 40]) for s in blocks}
-        used, at = collections.Counter(), 0
-        for slot, times, each in mixing.plan(blocks, weights, 100):
-            assert slot == at
-            at += times * sum(each.values())
-            used.update({s: n * times for s, n in each.items()})
-        assert used == {s: n for s, n in blocks.items() if n}
-
-
 def test_pieces_round_trip(case):
     docs, rows = case
     encoded = pieces.encode(docs)
