@@ -203,14 +203,15 @@ def best_trial(trials: DataFrame, by: Sequence[str] = (), trial: str = "variant"
         *by, F.col("_b.t").alias(trial), (-F.col("_b.s")).alias("sharpe"))
 
 
-def validation_gate(candidate: DataFrame, control: DataFrame, tolerance: float = 0.02) -> DataFrame:
-    """Candidate against control on their common dates: both growth and Sharpe must be
+def validation_gate(candidate: DataFrame, control: DataFrame, tolerance: float = 0.02, keys: Sequence[str] = ()) -> DataFrame:
+    """Candidate against control on their common dates, for each value of ``keys``: both growth and Sharpe must be
     higher, drawdown within tolerance."""
-    both = candidate.select("d0", F.col("net").alias("cand")).join(control.select("d0", F.col("net").alias("ctrl")), "d0")
-    sides = both.select("d0", F.explode(F.array(*[
+    on = [*keys, "d0"]
+    both = candidate.select(*on, F.col("net").alias("cand")).join(control.select(*on, F.col("net").alias("ctrl")), on)
+    sides = both.select(*on, F.explode(F.array(*[
         F.struct(F.lit(p).alias("side"), F.col(p).alias("net")) for p in ("cand", "ctrl")])).alias("_x")).select(
-        "d0", "_x.side", "_x.net")
-    stats = summarize(sides, ["side"]).agg(*[
+        *on, "_x.side", "_x.net")
+    stats = summarize(sides, [*keys, "side"]).groupBy(*keys).agg(*[
         F.max(F.when(F.col("side") == p, F.col(c))).alias(f"{p}_{c}")
         for p in ("cand", "ctrl") for c in ("months", "cagr", "sharpe", "max_dd")])
     return stats.withColumn(

@@ -607,16 +607,17 @@ SQL["best_trial"] = query("""SELECT arm, half, variant, sharpe FROM (SELECT *, r
 
 
 def gate_side(source: str, p: str) -> str:
-    return f"""SELECT count(*) AS {p}_months, pow(product(1 + net), 12.0::DOUBLE / count(*)) - 1 AS {p}_cagr,
-      avg(net) / (stddev_samp(net) + 1e-12) * sqrt(12) AS {p}_sharpe, min(least(drawdown, 0)) AS {p}_max_dd FROM {rebased(source, '')}"""
+    return f"""SELECT arm, count(*) AS {p}_months, pow(product(1 + net), 12.0::DOUBLE / count(*)) - 1 AS {p}_cagr,
+      avg(net) / (stddev_samp(net) + 1e-12) * sqrt(12) AS {p}_sharpe, min(least(drawdown, 0)) AS {p}_max_dd
+      FROM {rebased(source, 'arm')} GROUP BY arm"""
 
 
-SQL["validation_gate"] = query(f"""SELECT cand_months, round(cand_cagr, 6) AS cand_cagr, round(cand_sharpe, 6) AS cand_sharpe,
+SQL["validation_gate"] = query(f"""SELECT arm, cand_months, round(cand_cagr, 6) AS cand_cagr, round(cand_sharpe, 6) AS cand_sharpe,
   round(cand_max_dd, 6) AS cand_max_dd, ctrl_months, round(ctrl_cagr, 6) AS ctrl_cagr, round(ctrl_sharpe, 6) AS ctrl_sharpe,
   round(ctrl_max_dd, 6) AS ctrl_max_dd, cand_cagr > ctrl_cagr AND cand_sharpe > ctrl_sharpe AND cand_max_dd >= ctrl_max_dd - 0.02::DOUBLE AS passed
-  FROM ({gate_side('vcand', 'cand')}), ({gate_side('vctrl', 'ctrl')})""", braked(
-    "vcand AS (SELECT a.d0, a.net FROM risk a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy')",
-    "vctrl AS (SELECT b.d0, b.net FROM risk a JOIN lc_led b USING (arm, fold, d0) WHERE arm = 'legacy')"))
+  FROM ({gate_side('vcand', 'cand')}) JOIN ({gate_side('vctrl', 'ctrl')}) USING (arm)""", braked(
+    "vcand AS (SELECT a.arm, a.d0, a.net FROM risk a JOIN lc_led b USING (arm, fold, d0))",
+    "vctrl AS (SELECT b.arm, b.d0, b.net FROM risk a JOIN lc_led b USING (arm, fold, d0))"))
 CTES["moments"] = """SELECT arm, variant, half, count(*) AS months, coalesce(avg(net) / nullif(stddev_samp(net), 0), 0) AS sharpe_m,
     avg(pow(net - mu, 3)) / pow(avg(pow(net - mu, 2)), 1.5) AS skew, avg(pow(net - mu, 4)) / pow(avg(pow(net - mu, 2)), 2) AS kurtosis
   FROM (SELECT *, avg(net) OVER (PARTITION BY arm, variant, half) AS mu FROM tn) GROUP BY 1, 2, 3"""
@@ -638,12 +639,12 @@ def normal_cdf(z: str) -> str:
       * exp(-pow(({z}) * k / 2000.0::DOUBLE, 2) / 2)) FROM range(2001) r(k))"""
 
 
-CTES["dm"] = "SELECT * FROM moments WHERE arm = 'legacy' AND half = 'tune'"
+CTES["dm"] = "SELECT * REPLACE (arm || '/' || variant AS variant) FROM moments WHERE half = 'tune'"
 CTES["dbest"] = "SELECT variant AS best, sharpe_m AS sharpe, months, skew, kurtosis FROM dm ORDER BY sharpe_m DESC, variant LIMIT 1"
 CTES["dsc"] = f"""SELECT scenario, trials, variance, variance_f * 1.0 AS star_f, b.* FROM dbest b, (
-    SELECT 'formal' AS scenario, 5::BIGINT AS trials, var_samp(sharpe_m) AS variance, {expected_max(5)}::DOUBLE AS variance_f FROM dm UNION ALL
-    SELECT 'formal, variance without base', 5, var_samp(sharpe_m) FILTER (WHERE variant <> 'base'), {expected_max(5)}::DOUBLE FROM dm UNION ALL
-    SELECT 'broad', 38, var_samp(sharpe_m) FILTER (WHERE variant <> 'base'), {expected_max(38)}::DOUBLE FROM dm)"""
+    SELECT 'formal' AS scenario, count(*) AS trials, var_samp(sharpe_m) AS variance, {expected_max(10)}::DOUBLE AS variance_f FROM dm UNION ALL
+    SELECT 'formal, variance without base', count(*), var_samp(sharpe_m) FILTER (WHERE variant NOT LIKE '%/base'), {expected_max(10)}::DOUBLE FROM dm UNION ALL
+    SELECT 'broad', count(*) + 33, var_samp(sharpe_m) FILTER (WHERE variant NOT LIKE '%/base'), {expected_max(43)}::DOUBLE FROM dm)"""
 CTES["dz"] = """SELECT *, sqrt(variance) * star_f AS sharpe_star,
     sharpe * sqrt(months - 1) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)) AS z0,
     (sharpe - sqrt(variance) * star_f) * sqrt(months - 1) / sqrt(greatest(1e-12, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe)) AS z1 FROM dsc"""
@@ -875,6 +876,7 @@ _graded = """SELECT run_id, decision_date, ticker, model, entry_date, exit_date,
   round(market_ret, 6) AS market_ret, round(ret - market_ret, 6) AS excess FROM graded"""
 SQL["grade_picks"] = query(_graded)
 SQL["stream_grade"] = query(_graded)
+SQL["stream_grade_keyed"] = query(_graded)
 SQL["grade_summary"] = query("""SELECT model, count(*) AS n, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate,
   round(avg(ret), 6) AS mean_ret, round(avg(ret - market_ret), 6) AS mean_excess FROM graded GROUP BY 1""")
 SQL["grade_legacy"] = query("""SELECT decision_date, ticker, model, round(exit / ref - 1 - 0.001::DOUBLE, 6) AS ret, round(mc / m1 - 1, 6) AS market_ret,
