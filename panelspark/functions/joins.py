@@ -67,6 +67,21 @@ def beside(one: DataFrame, *others: DataFrame) -> DataFrame:
     return out
 
 
-def align_series(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows both series have."""
-    return a.join(b, list(on), "inner")
+def overlap_by_count(left: DataFrame, right: DataFrame, keys: Sequence[str], name: str = "ticker",
+                     empty: float | None = None) -> DataFrame:
+    """Sizes, Jaccard and equality of the two sets of ``name`` under each value of ``keys``, whatever the sets' size.
+
+    Rows are tagged with their side and counted twice: a name's sides, then a key's names; no set is gathered. Keys that
+    either side has are kept; repeated names count once; ``empty`` is the Jaccard of two empty sets (keys with null names).
+    """
+    tagged = left.select(*keys, name, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(
+        right.select(*keys, name, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    names = tagged.groupBy(*keys, name).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r"))
+    some = F.col(name).isNotNull().cast("int")
+    sums = names.groupBy(*keys).agg(
+        F.sum(some * F.col("_l")).alias("left_n"), F.sum(some * F.col("_r")).alias("right_n"),
+        F.sum(some * F.col("_l") * F.col("_r")).alias("intersection_n"), F.sum(some).alias("union_n"))
+    return sums.withColumns({
+        "jaccard": F.when(F.col("union_n") > 0, F.col("intersection_n") / F.nullif(F.col("union_n"), F.lit(0))).otherwise(
+            F.lit(empty).cast("double")),
+        "exact_match": F.col("intersection_n") == F.col("union_n")})

@@ -947,3 +947,10 @@ for _name in ("features", "labels", "formation_momentum", "pick_momentum", "mome
               "pick_long_short", "ledger_base", "null_books", "auc_by_fold", "score_compare", "spearman_by_date",
               "stability_monthly"):
     SQL[f"wide_{_name}"] = SQL[_name].replace(NATION, SUPPLIER)
+
+# Both arms' picks by month, from the statement of the wide picks.
+SQL["wide_reconcile_picks"] = f"""WITH p AS ({SQL["wide_pick_threshold"]}),
+  n AS (SELECT CAST(date_trunc('month', d0) + INTERVAL 1 MONTH AS DATE) AS month, fold, ticker, max((arm = 'legacy')::INT) AS l,
+    max((arm = 'corrected')::INT) AS r FROM p GROUP BY ALL)
+  SELECT month, fold, sum(l)::BIGINT AS left_n, sum(r)::BIGINT AS right_n, sum(l * r)::BIGINT AS intersection_n, count(*) AS union_n,
+    round(sum(l * r) / count(*)::DOUBLE, 6) AS jaccard, sum(l * r) = count(*) AS exact_match FROM n GROUP BY month, fold"""

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.columns import hash_unit, is_month_end, realized_month
-from panelspark.functions.joins import beside, set_overlap
+from panelspark.functions.columns import hash_unit, is_month_end, month_key, realized_month
+from panelspark.functions.joins import beside, overlap_by_count, set_overlap
 from panelspark.functions.windows import decision_dates
 from panelspark.operators import (brake, evaluate, features, folds, labels, ledger, model, paper, provenance, reconcile,
                                   select, stability, stats, value)
@@ -1066,3 +1066,12 @@ def wide_spearman_by_date(spark, sf):
 @register
 def wide_stability_monthly(spark, sf):
     return tidy(stability.stability(aligned(spark, sf, WIDE), 0.25, 5)[0])
+
+
+@register
+def wide_reconcile_picks(spark, sf):
+    """Both arms' threshold picks among suppliers, month by month, by counting."""
+    book = materialize(select.pick_threshold(cands(spark, sf, WIDE)))
+    month = month_key(realized_month("d0")).alias("month")
+    side = lambda arm: book.where(F.col("arm") == arm).select(month, "fold", "ticker")
+    return tidy(overlap_by_count(side("legacy"), side("corrected"), ["month", "fold"]))

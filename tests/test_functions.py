@@ -136,3 +136,12 @@ def test_ordered_counts_of_many_groups_with_ties_and_nulls(spark):
     got = {(r.g, r.v): (r.n, r.below, r.total) for r in ranks.ordered_counts(df, ["g"], "v").collect()}
     assert got == want
     assert ranks.ordered_counts(df.where("g = 'none'"), [], "v").count() == 0
+
+
+def test_overlap_by_count(spark):
+    from panelspark.functions.joins import overlap_by_count
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (4, None)], "m int, ticker string")
+    right = spark.createDataFrame([(1, "b"), (1, "c"), (2, "a"), (3, "x"), (4, None)], "m int, ticker string")
+    got = {r["m"]: tuple(r)[1:] for r in overlap_by_count(left, right, ["m"], empty=1.0).collect()}
+    assert got == {1: (2, 2, 1, 3, pytest.approx(1 / 3), False), 2: (1, 1, 1, 1, 1.0, True), 3: (0, 1, 0, 1, 0.0, False),
+                   4: (0, 0, 0, 0, 1.0, True)}
