@@ -15,7 +15,8 @@ the merge order it was trained with isn't replayed.
 No shuffle: each document is encoded where it is read. Memory is bounded by a slice of ``slice_chars``
 characters (or one document) and a cache of ``cache_words`` words.
 
-Defined results: a null or empty text has no ids and decodes to the empty text; the mark U+2581 decodes to a space; repeated
+Defined results: a null or empty text has no ids and decodes to the empty text; the mark U+2581 decodes to a space
+(``round_trip`` is false for a text that holds it); repeated
 rows and other columns stay as they are, except columns named like the result's, which are replaced; an
 empty table gives an empty result.
 """
@@ -190,7 +191,7 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
                 sizes = np.array([len(r) for r in rows], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = np.concatenate(rows) if rows else np.array([], np.int32)
-                same = [vocabulary.decode(r.tolist()) == t.replace(MARK, " ") for r, t in zip(rows, part)]
+                same = [vocabulary.decode(r.tolist()) == t for r, t in zip(rows, part)]
                 kept = batch.slice(at, len(part))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(
