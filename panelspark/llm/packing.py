@@ -29,13 +29,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.tokens import Words, hf_encoder, slices, vocabulary_bytes
+from panelspark.llm.tokens import Known, Ragged, Words, hf_encoder, slices, vocabulary_bytes
 from panelspark.session import materialize
 
 #: Signs that may stand behind a word; ends of words that surely are letters or digits; bytes of marks that combine.
 SIGNS = b".,;:!?$%&*#|<>()[]{}\"+-=/_~^@"
 SURE_END, MAY_COMBINE = re.compile(rb"[0-9A-Za-z]$|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$"), re.compile(rb"[\xcc\xcd]")
 
+#: A line's end with the signs before it, where these stand behind a sure end.
+LINE_END = re.compile(
+    rb"((?:(?<=[0-9a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[" + re.escape(SIGNS) + rb"]+)?\n")
+
 #: Bits of a sequence's number: the round it was packed in, its group, its place in the group.
 GROUP_BITS, BIN_BITS = 36, 20
 
@@ -218,11 +222,19 @@ class Stems:
 
     This tokenizer lower-cases and cuts between letters or digits and other signs. Only a cut behind an ASCII or Latin-1 letter or
     digit is made here, and letters are lowered only where nothing combines with them; the ids are those of the whole word.
+    New parts are encoded many to a text, with ``BAR`` between them: a bar between spaces is a token of its own and no part has one.
     """
 
-    def __init__(self, data: bytes, most: int = 600_000):
-        self.encode, self.most = hf_encoder(data, plain_specials=False), most
-        self.known: dict[bytes, list[int]] = {}
+    BAR = b"|"
+
+    def __init__(self, data: bytes, most: int = 600_000, at_once: int = 500):
+        self.encode, self.most, self.at_once = hf_encoder(data, plain_specials=False), most, at_once
+        self.bar = self.encode([self.BAR.decode()])[0]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.rows = Known({b"": 0}), Ragged()
+        self.rows.add([[]])
 
     def divide(self, word: bytes) -> tuple[bytes, bytes]:
         if b"<|" in word:
@@ -233,14 +245,44 @@ class Stems:
         tail = word[len(stem):]
         return (stem if MAY_COMBINE.search(stem) else stem.lower()), tail
 
-    def ids(self, words: list[bytes]) -> list[list[int]]:
-        parts = [self.divide(w) for w in words]
+    def parts(self, words: list[bytes]) -> list[bytes]:
+        """Stem and tail of each word, one after another."""
+        lines = b"\n".join(words) + b"\n"
+        if b"<|" in lines or MAY_COMBINE.search(lines):
+            return [p for w in words for p in self.divide(w)]
+        return LINE_END.sub(rb"\n\1\n", lines.lower()).split(b"\n")[:-1]
+
+    def encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of parts one after another, and how many each has."""
+        flats, sizes = [], []
+        for k in range(0, len(parts), self.at_once):
+            some = parts[k:k + self.at_once]
+            text = (b" " + self.BAR + b" ").join(some)
+            if len(self.bar) == 1 and text.count(self.BAR) == len(some) - 1 and b"<|" not in text:
+                ids = np.array(self.encode([text.decode("utf-8", "surrogatepass")])[0], np.int32)
+                bars = np.flatnonzero(ids == self.bar[0])
+                if len(bars) == len(some) - 1:
+                    flats.append(ids[ids != self.bar[0]])
+                    sizes.append(np.diff(bars, prepend=-1, append=len(ids)) - 1)
+                    continue
+            rows = self.encode([p.decode("utf-8", "surrogatepass") for p in some])
+            flats.append(np.array([i for row in rows for i in row], np.int32))
+            sizes.append(np.array([len(row) for row in rows], np.int64))
+        return np.concatenate(flats), np.concatenate(sizes)
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words one after another, and how many each has."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         if len(self.known) > self.most:
-            self.known.clear()
-        new = [p for p in {p for both in parts for p in both} if p not in self.known]
-        self.known.update(zip(new, self.encode([p.decode("utf-8", "surrogatepass") for p in new])))
+            self.clear()
         known = self.known
-        return [known[stem] + known[tail] if tail else known[stem] for stem, tail in parts]
+        codes = np.fromiter(map(known.__getitem__, self.parts(words)), np.int64, 2 * len(words))
+        if known.new:
+            self.rows.add(self.encode_parts(known.new))
+            known.new = []
+        flat, sizes = self.rows.take(codes)
+        return flat, sizes.reshape(-1, 2).sum(1)
 
 
 @lru_cache(maxsize=1)

@@ -45,9 +45,13 @@ class Ragged:
     def __init__(self):
         self.flat, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
 
-    def add(self, rows: Sequence[Sequence[int]]) -> None:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        new = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
+    def add(self, rows: Sequence[Sequence[int]] | tuple[np.ndarray, np.ndarray]) -> None:
+        """Lists of ids, or all ids one after another and the size of each row."""
+        if isinstance(rows, tuple):
+            new, sizes = rows
+        else:
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            new = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
         self.flat = np.concatenate([self.flat, new])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
@@ -63,8 +67,8 @@ class Ragged:
 class Known(dict):
     """Codes of words in the order in which they came; the ones just met are in ``new``."""
 
-    def __init__(self):
-        super().__init__()
+    def __init__(self, given=()):
+        super().__init__(given)
         self.new: list = []
 
     def __missing__(self, word) -> int:
@@ -74,9 +78,10 @@ class Known(dict):
 
 
 class Words:
-    """Codes of distinct words; ``encoders`` give each its rows, kept until more than ``most`` words are held."""
+    """Codes of distinct words; ``encoders`` give each its rows, as ``Ragged.add`` takes them, kept until more than ``most`` words
+    are held."""
 
-    def __init__(self, encoders: Sequence[Callable[[list], list[list[int]]]], most: int = 600_000):
+    def __init__(self, encoders: Sequence[Callable[[list], list[list[int]] | tuple]], most: int = 600_000):
         self.encoders, self.most = encoders, most
         self.clear()
 

@@ -176,6 +176,19 @@ def test_small_word_caches(texts, libraries, most):
         assert (found["n_a"][0], found["groups_sha256"][0]) == tuple(np.take(np.array(brute_alignment(text, libraries), object), [0, 4]))
 
 
+@pytest.mark.parametrize("signs", ["aAbé'.<>-_~^@ßΣ1９", "aAbé'|.<>-_~^@\u0338\u0301ßΣ1９"])
+def test_parts_of_odd_words(signs):
+    """Words put together from stems and tails, many to a text, have the library's ids."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 9))) for _ in range(4000)]
+    words += ["<|endoftext|>", "x<|endoftext|>y."] * ("|" in signs)
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    flat, sizes = packing.Stems(tokens.vocabulary_bytes("word_bpe_49k.json"), at_once=7).ids([w.encode() for w in words])
+    ends = np.cumsum(sizes)
+    for word, end, size in zip(words, ends, sizes):
+        assert flat[end - size:end].tolist() == library.encode(word, add_special_tokens=False).ids, word
+
+
 def brute_pieces(rows, capacity=2048):
     words = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     out = []
