@@ -1,12 +1,16 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a run of words; neighbouring blocks overlap by one word less than the longest template, so
-every run of words as long as a template lies whole in some block. A template is found in a block
-when the block holds at least ``ceil(threshold * size)`` of its distinct words. Words are ordered by
+A template is found where a run of at most as many words as it has holds at least ``ceil(threshold * size)`` of its
+distinct words, all of those that must occur and none of those that must not; a template of fewer than ``SHORT``
+distinct words needs all of them.
+
+Runs are found in two steps. A block is a longer run of words; neighbouring blocks overlap by one word less than the
+longest template, so every run as long as a template lies whole in some block. Words are ordered by
 their count over the whole corpus, rarest first. Of a template, only the prefix of
 ``size - needed + 1`` rarest words is indexed: a block that meets the threshold shares one of them
 (prefix filter), has enough template words at all (length filter), and enough of them left behind
-the shared word's place in both orders (positional filter). Only blocks that pass are compared.
+the shared word's place in both orders (positional filter). Only blocks that pass are compared, and only in those that
+hold enough of the template is the run itself searched for.
 
 Phrases are templates with threshold 1; the blocks that hold all words of a phrase are then searched for the
 places where they stand consecutively.
@@ -35,27 +39,69 @@ WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Phrases and labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Template sentences of common licenses and their labels.
+#: Sentences of common licenses, their labels, words that must occur and words that must not (fixed values).
 TEMPLATES = [
-    ("licensed under the gnu general public license", "gpl"),
+    ("licensed under the gnu general public license", "gpl", "", ""),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general "
-     "public license as published by the free software foundation", "gpl"),
+     "public license as published by the free software foundation", "gpl", "gnu general", "lesser affero library"),
+    ("licensed under the gnu lesser general public license", "lgpl", "", ""),
+    ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+     "public license as published by the free software foundation", "lgpl", "gnu lesser", "affero"),
+    ("licensed under the gnu affero general public license", "agpl", "", ""),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+     "public license as published by the free software foundation", "agpl", "gnu affero", "lesser"),
+    ("permission is granted to copy distribute and or modify this document under the terms of the gnu free "
+     "documentation license", "gfdl", "gnu documentation", ""),
     ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
-     "apache"),
-    ("released under the mit license", "mit"),
+     "apache", "apache", ""),
+    ("licensed under the mit license", "mit", "", ""),
+    ("released under the mit license", "mit", "", ""),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-     "documentation files to deal in the software without restriction", "mit"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under a creative commons attribution noncommercial license", "cc-by-nc"),
+     "documentation files to deal in the software without restriction", "mit", "permission granted charge", "organization"),
+    ("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+     "accompanying documentation covered by this license to use reproduce display distribute execute and transmit the "
+     "software", "boost", "permission granted organization", ""),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby "
+     "granted provided that the above copyright notice and this permission notice appear in all copies", "isc",
+     "permission granted fee", ""),
+    ("licensed under the bsd license", "bsd", "", ""),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that "
-     "the following conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
-    ("all rights reserved", "all-rights-reserved"),
-    ("this is free and unencumbered software released into the public domain", "public-domain"),
+     "the following conditions are met", "bsd", "redistribution permitted", ""),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+     "products derived from this software without specific prior written permission", "bsd", "neither endorse", ""),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held "
+     "liable for any damages arising from the use of this software", "zlib", "software warranty authors", ""),
+    ("licensed under the mozilla public license", "mpl", "", ""),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl", "mozilla", ""),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license",
+     "epl", "eclipse", ""),
+    ("this font software is licensed under the sil open font license version 1 1", "ofl", "sil font", ""),
+    ("licensed under cc by 4 0", "cc-by", "", ""),
+    ("licensed under a creative commons attribution license", "cc-by", "", "noncommercial sharealike noderivatives"),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by", "creative commons attribution",
+     "noncommercial sharealike noderivatives"),
+    ("licensed under cc by nc 4 0", "cc-by-nc", "", ""),
+    ("licensed under a creative commons attribution noncommercial license", "cc-by-nc", "", "sharealike noderivatives"),
+    ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc",
+     "creative commons noncommercial", "sharealike noderivatives"),
+    ("licensed under cc by sa 4 0", "cc-by-sa", "", ""),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa",
+     "creative commons sharealike", "noncommercial noderivatives"),
+    ("licensed under cc by nd 4 0", "cc-by-nd", "", ""),
+    ("licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd",
+     "creative commons noderivatives", "noncommercial sharealike"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa", "", ""),
+    ("licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa",
+     "creative commons noncommercial sharealike", "noderivatives"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this "
+     "work", "cc0", "waived copyright", ""),
+    ("all rights reserved", "all-rights-reserved", "", ""),
+    ("this is free and unencumbered software released into the public domain", "public-domain", "public domain", ""),
 ]
 
+#: Templates of fewer distinct words than this need all of them.
+SHORT = 10
+
 RESULT = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
           "score double")
 
@@ -68,17 +114,19 @@ class TemplateIndex:
     """Templates in global word order, their prefixes by word, and the phrases."""
 
     def __init__(self, templates, phrases, threshold: float, counts: dict[str, int], stride: int = 64):
-        sets = [(tuple(t.split()), label, threshold, False) for t, label in templates]
-        sets += [(tuple(p.split()), label, 1.0, True) for p, label in phrases.items()]
-        vocabulary = {w for words, *_ in sets for w in words}
+        sets = [(tuple(t.split()), label, must.split(), never.split(), False) for t, label, must, never in templates]
+        sets += [(tuple(p.split()), label, (), (), True) for p, label in phrases.items()]
+        vocabulary = {w for words, _, _, never, _ in sets for w in (*words, *never)}
         order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(order)}
-        self.sets, self.prefix = [], {}
-        for words, label, share, is_phrase in sets:
+        self.sets, self.prefix, self.limits = [], {}, []
+        for words, label, must, never, is_phrase in sets:
             ids = sorted({self.rank[w] for w in words})
+            share = 1.0 if is_phrase or len(ids) < SHORT else threshold
             needed = math.ceil(share * len(ids) - 1e-9)
             at = len(self.sets)
             self.sets.append((ids, needed, label, is_phrase, [self.rank[w] for w in words]))
+            self.limits.append(({self.rank[w] for w in must}, {self.rank[w] for w in never}))
             for place in range(len(ids) - needed + 1):
                 self.prefix.setdefault(ids[place], []).append((at, place))
         self.stride = stride
@@ -97,9 +145,9 @@ class TemplateIndex:
                     a, b = bisect_left(places, block * stride), bisect_left(places, block * stride + width)
                     yield block * stride, sorted(set(ranked[a:b]))
 
-    def join(self, block: list[int]) -> dict[int, float]:
-        """Template number to containment, for those that meet their threshold."""
-        tried, found, members = set(), {}, set(block)
+    def join(self, block: list[int]) -> list[int]:
+        """Numbers of the templates of which a block holds enough words."""
+        tried, found, members = set(), [], set(block)
         for place_b, rank in enumerate(block):
             for at, place_t in self.prefix.get(rank, ()):
                 if at in tried:
@@ -111,9 +159,29 @@ class TemplateIndex:
                     continue
                 overlap = sum(i in members for i in ids)
                 if overlap >= needed:
-                    found[at] = overlap / len(ids)
+                    found.append(at)
         return found
 
+    def best_run(self, at: int, ranked: list[int], places: list[int]) -> float:
+        """Largest containment of a template in a run of a block's words, 0 where none meets the conditions."""
+        ids, needed, _, _, sequence = self.sets[at]
+        must, never = self.limits[at]
+        members, best = set(ids), 0
+        for first, rank in enumerate(ranked):
+            if rank not in members:
+                continue
+            held, end = set(), places[first] + len(sequence)
+            for k in range(first, len(ranked)):
+                if places[k] >= end or ranked[k] in never:
+                    break
+                if ranked[k] in members:
+                    held.add(ranked[k])
+            if len(held) > best and must <= held:
+                best = len(held)
+            if best == len(ids):
+                break
+        return best / len(ids) if best >= needed else 0.0
+
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
         get = self.rank.get
@@ -121,14 +189,16 @@ class TemplateIndex:
         places, ranked = [i for i, _ in hits], [r for _, r in hits]
         starts, base, labels, score = set(), set(), set(), 0.0
         for begin, block in self.blocks(ranked, places):
-            for at, share in self.join(block).items():
+            a, b = bisect_left(places, begin), bisect_left(places, begin + self.width)
+            for at in self.join(block):
                 _, _, label, is_phrase, sequence = self.sets[at]
                 if not is_phrase:
-                    labels.add(label)
-                    score = max(score, share)
+                    share = self.best_run(at, ranked[a:b], places[a:b])
+                    if share:
+                        labels.add(label)
+                        score = max(score, share)
                     continue
                 span = len(sequence)
-                a, b = bisect_left(places, begin), bisect_left(places, begin + self.width)
                 for k in range(a, b - span + 1):
                     if ranked[k:k + span] == sequence and places[k + span - 1] - places[k] == span - 1:
                         starts.add((places[k], at))
@@ -160,7 +230,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``score`` is the largest containment of a template found, 1 where a phrase stands, else 0.
     """
-    vocabulary = {w for t, _ in templates for w in t.split()} | {w for p in phrases for w in p.split()}
+    vocabulary = {w for t, _, _, never in templates for w in (*t.split(), *never.split())} | {w for p in phrases for w in p.split()}
     index = TemplateIndex(templates, phrases, threshold, count_words(docs, text_col, vocabulary))
 
     @F.pandas_udf(RESULT)

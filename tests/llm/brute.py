@@ -25,18 +25,23 @@ def license_base(text):
     return len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({b for _, b in found}))
 
 
-def block_labels(text, templates, threshold, width, stride=64):
-    """Labels and best containment of templates in the blocks of a text."""
+def run_labels(text, templates, threshold, short):
+    """Labels and best containment of templates in runs of a text that are no longer than them."""
     words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
     labels, best = set(), 0.0
-    for at in range(0, len(words), stride):
-        block = set(words[at:at + width])
-        for sentence, label in templates:
-            wanted = set(sentence.split())
-            share = len(wanted & block) / len(wanted)
-            if share >= threshold - 1e-12:
-                labels.add(label)
-                best = max(best, share)
+    for sentence, label, must, never in templates:
+        wanted, must, never = set(sentence.split()), set(must.split()), set(never.split())
+        share = threshold if len(wanted) >= short else 1.0
+        if len(wanted & set(words)) < share * len(wanted) - 1e-9:
+            continue
+        most = len(sentence.split())
+        for first in range(len(words)):
+            for end in range(first + 1, min(len(words), first + most) + 1):
+                run = set(words[first:end])
+                held = len(run & wanted) / len(wanted)
+                if held >= share - 1e-9 and run >= must and not run & never:
+                    labels.add(label)
+                    best = max(best, held)
     return labels, best
 
 

@@ -32,10 +32,9 @@ def test_license_base(case):
 
 def test_license_templates(case):
     docs, rows = case
-    index = licenses.TemplateIndex(licenses.TEMPLATES, licenses.PHRASES, 0.8, {})
     want = []
     for i, t in rows:
-        labels, best = brute.block_labels(t, licenses.TEMPLATES, 0.8, index.width)
+        labels, best = brute.run_labels(t, licenses.TEMPLATES, 0.8, licenses.SHORT)
         base = brute.license_base(t)
         labels |= set(base[4].split(",")) - {""}
         want.append((i, ",".join(sorted(labels)), 1.0 if base[1] else best))
@@ -43,17 +42,46 @@ def test_license_templates(case):
     same(got, want)
 
 
-def test_license_order_of_words_is_free():
+@pytest.mark.parametrize("threshold", [0.4, 0.8])
+def test_license_runs_in_shuffled_sentences(threshold):
+    """Sentences with words changed, dropped and swapped, in any order of the words' counts."""
     rng = random.Random(3)
-    words = sorted({w for t, _ in licenses.TEMPLATES for w in t.split()}) + ["x", "y"]
-    for _ in range(40):
+    words = sorted({w for t, *_ in licenses.TEMPLATES for w in t.split()}) + ["x", "y"]
+    for _ in range(60):
         counts = {w: rng.randrange(9) for w in words}
-        text = " ".join(rng.choice(words) for _ in range(rng.randrange(200)))
-        index = licenses.TemplateIndex(licenses.TEMPLATES, licenses.PHRASES, 0.6, counts)
-        labels, best = brute.block_labels(text, licenses.TEMPLATES, 0.6, index.width)
+        text = []
+        for _ in range(rng.randrange(1, 6)):
+            text += [rng.choice(words) for _ in range(rng.randrange(60))]
+            part = rng.choice(licenses.TEMPLATES)[0].split()
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(part))
+                part[at:at + 1] = rng.choice([[], [rng.choice(words)], [part[at], rng.choice(words)]])
+                if not part:
+                    break
+            text += part
+        text = " ".join(text)
+        index = licenses.TemplateIndex(licenses.TEMPLATES, licenses.PHRASES, threshold, counts)
+        labels, best = brute.run_labels(text, licenses.TEMPLATES, threshold, licenses.SHORT)
+        base = brute.license_base(text)
         found = index.scan(text)
-        assert set(found[5].split(",")) - {""} >= labels
-        assert found[6] == pytest.approx(best) or found[1]
+        assert set(found[5].split(",")) - {""} == labels | set(base[4].split(",")) - {""}
+        assert found[6] == pytest.approx(1.0 if base[1] else best)
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("licensed under CC BY 4.0", "cc-by"),
+    ("Licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc"),
+    ("licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"),
+    ("released the license under version 4", ""),
+    ("all rights are reserved", ""),
+    ("All rights reserved.", "all-rights-reserved"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation", "lgpl")])
+def test_license_labels_of_sentences(text, labels):
+    index = licenses.TemplateIndex(licenses.TEMPLATES, licenses.PHRASES, 0.8, {})
+    assert index.scan(text)[5] == labels
+    assert index.scan("word " * 70 + text + " word" * 70)[5] == labels
 
 
 def test_exact(case):
