@@ -36,9 +36,10 @@ from panelspark.session import materialize
 SIGNS = b".,;:!?$%&*#|<>()[]{}\"+-=/_~^@"
 SURE_END, MAY_COMBINE = re.compile(rb"[0-9A-Za-z]$|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]$"), re.compile(rb"[\xcc\xcd]")
 
-#: A line's end with the signs before it, where these stand behind a sure end.
-LINE_END = re.compile(
-    rb"((?:(?<=[0-9a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[" + re.escape(SIGNS) + rb"]+)?\n")
+#: Signs at a line's end that stand behind a sure end. The first sign comes first in the pattern, so that it is sought fast.
+SIGN = b"[" + re.escape(SIGNS) + b"]"
+TAIL = re.compile(
+    b"(" + SIGN + rb"(?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))" + SIGN + rb"*)\n\n")
 
 #: Bits of a sequence's number: the round it was packed in, its group, its place in the group.
 GROUP_BITS, BIN_BITS = 36, 20
@@ -247,10 +248,10 @@ class Stems:
 
     def parts(self, words: list[bytes]) -> list[bytes]:
         """Stem and tail of each word, one after another."""
-        lines = b"\n".join(words) + b"\n"
+        lines = b"\n\n".join(words) + b"\n\n"
         if b"<|" in lines or MAY_COMBINE.search(lines):
             return [p for w in words for p in self.divide(w)]
-        return LINE_END.sub(rb"\n\1\n", lines.lower()).split(b"\n")[:-1]
+        return TAIL.sub(rb"\n\1\n", lines.lower()).split(b"\n")[:-1]
 
     def encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of parts one after another, and how many each has."""
