@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.joins import same_rows
@@ -65,9 +65,25 @@ def purge_legacy(assigned: DataFrame, embargo: int = EMBARGO_DAYS) -> DataFrame:
 
 def gate_folds(assigned: DataFrame, train: int = 500, val: int = 100, test: int = 100) -> DataFrame:
     """Keep folds with enough rows in every role."""
-    sizes = fold_sizes(assigned)
-    good = sizes.where((F.col("train") > train) & (F.col("val") > val) & (F.col("test") > test)).select("fold")
-    return assigned.join(F.broadcast(good), "fold", "left_semi")
+    return assigned.join(F.broadcast(gated(fold_sizes(assigned), train, val, test)), "fold", "left_semi")
+
+
+def gated(sizes: DataFrame, train: int = 500, val: int = 100, test: int = 100) -> DataFrame:
+    """Folds with enough rows in every role."""
+    return sizes.where((F.col("train") > train) & (F.col("val") > val) & (F.col("test") > test)).select("fold")
+
+
+def fold_rows(panel: DataFrame, span: Row, embargo: int = EMBARGO_DAYS) -> DataFrame:
+    """Purged rows of one fold with their role; ``span`` is the fold's row of the calendar.
+
+    All bounds are literals, so a panel kept in the order of dates is read only where the fold lies.
+    """
+    train, val, test, end = [F.lit(span[c]) for c in ("train_start", "val_start", "test_start", "test_end")]
+    day = F.col("Date")
+    role = F.when(day >= test, "test").when(day >= val, "val").otherwise("train")
+    keep = ((day >= test) | ((day >= val) & (F.col("label_end") < F.date_sub(test, embargo)))
+            | ((day < val) & (F.col("label_end") < F.date_sub(val, embargo))))
+    return panel.where((day >= train) & (day < end) & keep).withColumn("role", role)
 
 
 def fold_sizes(assigned: DataFrame) -> DataFrame:

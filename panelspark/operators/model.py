@@ -10,10 +10,11 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from panelspark.operators import folds
 from panelspark.operators.features import model_columns
 from panelspark.session import materialize
 
@@ -35,51 +36,87 @@ def _raw(model: GBTClassificationModel, rows: DataFrame) -> DataFrame:
         "prediction", "probability", "rawPrediction")
 
 
+def best_round(errors: Sequence[float], patience: int, tol: float = 0.0) -> tuple[int, bool]:
+    """Rounds up to the best one before ``patience`` rounds without a gain above ``tol``, and whether that many came."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best] - tol:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_trees(train: DataFrame, val: DataFrame, seed: int, rounds: int, depth: int, min_rows: int, patience: int,
+              tol: float) -> GBTClassificationModel:
+    """Trees up to the round of the least validation error.
+
+    All prefixes of a fit are evaluated in one pass. While no ``patience`` rounds went by without a gain, the fit is done
+    with twice the rounds; a fit with the same seed begins with the same trees, so the best prefix is the fit with as many.
+    """
+    def fit(n: int) -> GBTClassificationModel:
+        return GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, maxDepth=depth, seed=seed,
+                             minInstancesPerNode=min_rows, subsamplingRate=0.8).fit(train)
+
+    n = min(rounds, patience + max(1, patience // 2))
+    while True:
+        trees = fit(n)
+        best, over = best_round(trees.evaluateEachIteration(val), patience, tol)
+        if over or n == rounds:
+            return trees if best == n else fit(best)
+        n = min(rounds, 2 * n)
+
+
+def fit_calibration(held: DataFrame, raw: str = "raw", label: str = "label") -> IsotonicRegressionModel:
+    """Isotonic fit of the labels on raw scores."""
+    return IsotonicRegression(featuresCol=raw, labelCol=label).fit(held.select(raw, label))
+
+
+def calibrated(model: IsotonicRegressionModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``proba``, the calibrated score within 0 and 1."""
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
+    return model.transform(rows).withColumn("proba", bounded).drop("prediction")
+
+
 def fit_fold(train: DataFrame, val: DataFrame, seed: int = 0, rounds: int = 20, depth: int = 5,
-             min_rows: int = 200, tol: float = 0.01) -> FoldModel:
-    """Fit trees on the training rows, stopping at the first round that lowers the error on the
-    validation rows by less than ``tol`` of it, then calibrate on validation."""
+             min_rows: int = 200, tol: float = 0.0, patience: int = 20) -> FoldModel:
+    """Fit trees on the training rows, keep the rounds up to the best on the validation rows, calibrate on validation."""
     cols = model_columns(train)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")
-    both = train.select(*cols, "label", F.lit(False).alias("is_val")).unionByName(
-        val.select(*cols, "label", F.lit(True).alias("is_val")))
-    data = materialize(both)
-    booster = GBTClassifier(
-        featuresCol="features", labelCol="label", validationIndicatorCol="is_val", maxIter=rounds, maxDepth=depth,
-        minInstancesPerNode=min_rows, subsamplingRate=0.8, seed=seed, validationTol=tol)
-    trees = booster.fit(assembler.transform(data))
-    held = _raw(trees, assembler.transform(data.where("is_val")))
-    calibration = IsotonicRegression(featuresCol="raw", labelCol="label").fit(held.select("raw", "label"))
-    return FoldModel(assembler, trees, calibration)
+    fit, held = [assembler.transform(d.select(*cols, "label")).select("features", "label") for d in (train, val)]
+    trees = fit_trees(fit, held, seed, rounds, depth, min_rows, patience, tol)
+    return FoldModel(assembler, trees, fit_calibration(_raw(trees, held)))
 
 
 def score(model: FoldModel, rows: DataFrame) -> DataFrame:
     """Calibrated probability of the top class for every row."""
-    raw = _raw(model.trees, model.features.transform(rows))
-    fitted = model.calibration.transform(raw)
-    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))
-    return fitted.withColumn("proba", bounded).drop("features", "raw", "prediction")
+    return calibrated(model.calibration, _raw(model.trees, model.features.transform(rows))).drop("features", "raw")
 
 
-def score_folds(purged: DataFrame, seeds: Sequence[int] = (0,), arm: str = "corrected", parallel: int = 4,
+def score_folds(panel: DataFrame, seeds: Sequence[int] = (0,), arm: str = "corrected", parallel: int = 4,
                 **params) -> DataFrame:
-    """Scored test rows of every fold and seed. Each fit is a distributed job; a few run
-    at once. Scores are written out as they depend on the fitted trees."""
-    rows = materialize(purged, partition_by=["fold"])
-    folds = [r.fold for r in rows.select("fold").distinct().orderBy("fold").collect()]
-
-    def one(job: tuple[int, int]) -> DataFrame:
-        fold, seed = job
-        here = rows.where(F.col("fold") == fold)
+    """Scored test rows of every fold that passes the gate, and seed.
+
+    The panel is written once, in the order of dates; each fold reads its own range of dates from it, without a copy. Each
+    fit is a distributed job; a few run at once. Scores are written out as they depend on the fitted trees.
+    """
+    spark = panel.sparkSession
+    rows = materialize(panel.repartitionByRange("Date", "ticker").sortWithinPartitions("Date"))
+    gate = folds.gated(folds.fold_sizes(folds.purge(folds.assign_folds(rows))))
+    spans = folds.fold_calendar(rows).join(F.broadcast(gate), "fold", "left_semi").orderBy("fold").collect()
+
+    def one(job: tuple[Row, int]) -> DataFrame:
+        span, seed = job
+        here = folds.fold_rows(rows, span)
         model = fit_fold(here.where("role = 'train'"), here.where("role = 'val'"), seed, **params)
         scored = score(model, here.where("role = 'test'"))
-        return materialize(scored.select(
-            F.lit(arm).alias("arm"), "fold", F.lit(seed).alias("seed"), "ticker", "Date", "Close", "label", "proba"))
+        return materialize(scored.select(F.lit(arm).alias("arm"), F.lit(span.fold).alias("fold"), F.lit(seed).alias("seed"),
+                                         "ticker", "Date", "Close", "label", "proba"))
 
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, [(f, s) for f in folds for s in seeds]))
+        parts = list(pool.map(one, [(span, s) for span in spans for s in seeds]))
     if not parts:  # the gate left no fold
-        return rows.sparkSession.createDataFrame([], StructType.fromDDL(f"arm STRING, fold INT, seed INT, {SCORED}"))
+        return spark.createDataFrame([], StructType.fromDDL(f"arm STRING, fold INT, seed INT, {SCORED}"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

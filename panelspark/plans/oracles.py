@@ -940,6 +940,23 @@ SQL["stitched_ledger"] = query(f"""SELECT half, d0, round(net, 8) AS net, round(
   FROM {rebased('mo_half', '')}""")
 
 
+# Isotonic fit by its min-max formula: the largest, over lower ends, of the smallest mean up to an upper end.
+CTES["iso"] = """SELECT *, sum(rows) OVER w AS cn, sum(positives) OVER w AS cp FROM (
+    SELECT arm, fold, floor(proba * 100) / 100 AS raw, count(*) AS rows, sum(label)::DOUBLE AS positives FROM scores GROUP BY ALL)
+  WINDOW w AS (PARTITION BY arm, fold ORDER BY raw)"""
+SQL["isotonic_calibration"] = query("""SELECT arm, fold, raw, rows, positives, round(max(low), 6) AS proba FROM (
+  SELECT i.arm, i.fold, i.raw, i.rows, i.positives, j.raw AS j, min((k.cp - j.cp + j.positives) / (k.cn - j.cn + j.rows)) AS low
+  FROM iso i JOIN iso j ON i.arm = j.arm AND i.fold = j.fold AND j.raw <= i.raw
+    JOIN iso k ON i.arm = k.arm AND i.fold = k.fold AND k.raw >= i.raw GROUP BY ALL) GROUP BY ALL""")
+SQL["bundle_digest"] = """WITH l0 AS (SELECT s_nationkey AS n, 'nation=' || s_nationkey || ' ' || sha256(string_agg(
+    s_suppkey || '|' || s_name || chr(10), '' ORDER BY s_suppkey)) AS line FROM supplier GROUP BY 1),
+  l1 AS (SELECT (row_number() OVER (ORDER BY n) - 1) // 4 AS up, row_number() OVER (ORDER BY n) AS rn, line FROM l0),
+  l2 AS (SELECT up AS node, sha256(string_agg(line, chr(10) ORDER BY rn)) AS line FROM l1 GROUP BY 1),
+  l3 AS (SELECT node // 4 AS up, sha256(string_agg(line, chr(10) ORDER BY node)) AS line FROM l2 GROUP BY 1),
+  l4 AS (SELECT sha256(string_agg(line, chr(10) ORDER BY up)) AS line FROM l3)
+  SELECT (SELECT count(*) FROM l0) AS files, line AS digest FROM l4"""
+
+
 # ---- supplier names -------------------------------------------------------------------
 # The same statements over bars whose ticker is the supplier.
 SUPPLIER = "concat('S', cast(s_suppkey AS VARCHAR))"

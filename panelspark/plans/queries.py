@@ -887,8 +887,36 @@ def manifest_diff(spark, sf):
 
 
 def gbt_rows(spark, sf) -> DataFrame:
-    purged = folds.gate_folds(folds.purge(folds.assign_folds(fixtures.panel(spark, sf))))
-    return model.score_folds(purged, seeds=(0, 1, 2), rounds=300, depth=6, tol=0.0)
+    """Scores of all folds and seeds, fitted once for all queries of an application."""
+    return shared(spark, f"gbt {sf}", lambda: model.score_folds(
+        fixtures.panel(spark, sf), seeds=(0, 1, 2), rounds=300, depth=6, patience=20))
+
+
+@register
+def isotonic_calibration(spark, sf):
+    """Scores in hundredths calibrated on their labels, by arm and fold."""
+    raw = (F.floor(F.col("proba") * 100) / 100).alias("raw")
+    rows = materialize(fixtures.scores(spark, sf).select(*KEYS, raw, F.col("label").cast("double").alias("label")))
+    parts = []
+    for group in rows.select(*KEYS).distinct().orderBy(*KEYS).collect():
+        own = rows.where((F.col("arm") == group.arm) & (F.col("fold") == group.fold))
+        counted = own.groupBy(*KEYS, "raw").agg(F.count(F.lit(1)).alias("rows"), F.sum("label").alias("positives"))
+        parts.append(model.calibrated(model.fit_calibration(own), counted))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return tidy(out)
+
+
+@register
+def bundle_digest(spark, sf):
+    """Hash tree over one file for each nation's suppliers, four to a node."""
+    path = new_path(spark)
+    line = F.concat_ws("|", F.col("s_suppkey").cast("string"), "s_name")
+    rows = fixtures.table(spark, sf, "supplier").select("s_suppkey", line.alias("line"), F.col("s_nationkey").alias("nation"))
+    rows.repartition("nation").sortWithinPartitions("nation", "s_suppkey").drop("s_suppkey").write.partitionBy("nation").text(path)
+    files = provenance.fingerprint(spark, path).withColumn("name", F.regexp_extract("path", r"(nation=\d+)", 1))
+    return provenance.bundle_digest(files, fan=4)
 
 
 @register

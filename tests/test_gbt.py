@@ -18,21 +18,55 @@ def test_registered_fits_are_whole(monkeypatch, spark):
         return rows
 
     monkeypatch.setattr(queries.fixtures, "panel", lambda *a: spark.range(1))
-    for name in ("assign_folds", "purge", "gate_folds"):
-        monkeypatch.setattr(queries.folds, name, lambda rows: rows)
+    monkeypatch.setattr(queries, "shared", lambda spark, key, build: build())
     monkeypatch.setattr(queries, "tidy", lambda rows: rows)
     monkeypatch.setattr(model, "score_folds", score_folds)
     monkeypatch.setattr(model, "evaluate_folds", evaluate_folds)
     queries.QUERIES["gbt_evaluation"](spark, "none")
     assert asked["rounds"] >= 300 and asked["depth"] == 6 and tuple(asked["seeds"]) == (0, 1, 2)
-    assert asked["trials"] == 200
+    assert asked["trials"] == 200 and asked["patience"] == 20
 
 
-def test_early_stop_ends_the_fit(monkeypatch, spark):
+def test_best_round_waits_for_patience():
+    errors = [5.0, 4.0, 4.5, 4.2, 3.9, 4.0, 4.1, 4.2, 1.0]
+    assert model.best_round(errors, 3) == (5, True)  # the later 1.0 comes too late
+    assert model.best_round(errors, 2) == (2, True)
+    assert model.best_round(errors, 9) == (9, False)
+    assert model.best_round([1.0] * 4, 3) == (1, True)
+    assert model.best_round([3.0, 2.95, 2.0], 5, tol=0.1) == (3, False)
+
+
+def noise(spark, signal):
     rng = random.Random(0)
+    rows = [(rng.random(), rng.random()) for _ in range(600)]
+    return spark.createDataFrame([(x, y, float(rng.random() < (0.9 if y > 0.5 else 0.1) if signal else rng.random() < 0.5))
+                                  for x, y in rows], "x double, y double, label double")
+
+
+def test_patience_ends_the_fit(monkeypatch, spark):
     monkeypatch.setattr(model, "model_columns", lambda df: ["x", "y"])
-    rows = spark.createDataFrame([(rng.random(), rng.random(), float(rng.random() < 0.5)) for _ in range(400)],
-                                 "x double, y double, label double")
-    train, val = rows.where("x < 0.5"), rows.where("x >= 0.5")
-    fitted = model.fit_fold(train, val, rounds=30, depth=2, min_rows=10, tol=0.0)
+    rows = noise(spark, False)
+    fitted = model.fit_fold(rows.where("x < 0.5"), rows.where("x >= 0.5"), rounds=30, depth=2, min_rows=10, patience=4)
     assert 1 <= fitted.trees.getNumTrees < 30
+
+
+def test_bad_rounds_before_better_ones(monkeypatch, spark):
+    """Errors that rise and fall below the first again: the later round stays, with the trees of the longer fit."""
+    monkeypatch.setattr(model, "model_columns", lambda df: ["x", "y"])
+    kind, given = model.GBTClassificationModel, []
+    errors = [1.0, 1.5, 1.4, 0.5] + [0.9] * 30
+
+    def evaluate(self, dataset):
+        given.append(self.getNumTrees)
+        return errors[:self.getNumTrees]
+
+    monkeypatch.setattr(kind, "evaluateEachIteration", evaluate)
+    rows = noise(spark, True)
+    sides = rows.where("x < 0.5"), rows.where("x >= 0.5")
+    fitted = model.fit_fold(*sides, rounds=30, depth=2, min_rows=10, patience=3)
+    assert given == [4, 8] and fitted.trees.getNumTrees == 4
+    longer = model.fit_fold(*sides, rounds=4, depth=2, min_rows=10, patience=9)
+    assert [t.toDebugString.split("\n", 1)[1] for t in fitted.trees.trees] == [
+        t.toDebugString.split("\n", 1)[1] for t in longer.trees.trees]
+    given.clear()
+    assert model.fit_fold(*sides, rounds=30, depth=2, min_rows=10, patience=2).trees.getNumTrees == 1

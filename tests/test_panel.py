@@ -1,3 +1,4 @@
+import datetime
 import math
 import random
 import statistics
@@ -123,27 +124,42 @@ def test_universe_vol_needs_adjacent_sessions(spark):
             assert r.uvol == pytest.approx(statistics.stdev(mean[:at]) * math.sqrt(252))
 
 
+PANEL = "ticker STRING, Date DATE, label_end DATE, Close DOUBLE, label DOUBLE, ret_1 DOUBLE, ret_5 DOUBLE"
+
+
 def test_no_fold_gives_an_empty_table(spark):
-    df = spark.createDataFrame([], "fold INT, role STRING, ticker STRING, Date DATE, Close DOUBLE, label DOUBLE, ret_1 DOUBLE")
-    out = model.score_folds(df)
+    out = model.score_folds(spark.createDataFrame([], PANEL))
     assert out.count() == 0 and "proba" in out.columns
 
 
 def test_trees_find_a_planted_signal(spark):
     rng = random.Random(1)
-    rows = []
-    for i in range(1500):
-        x = rng.gauss(0, 1)
-        role = ("train", "train", "val", "test")[i % 4]
-        rows.append((0, role, f"T{i}", day("2020-01-01"), 1.0, float(x + rng.gauss(0, 0.7) > 0.8), x, rng.gauss(0, 1)))
-    df = spark.createDataFrame(rows, "fold INT, role STRING, ticker STRING, Date DATE, Close DOUBLE, label DOUBLE, ret_1 DOUBLE, ret_5 DOUBLE")
+    first, rows = day("2018-01-01"), []
+    for i in range(3000):
+        x, at = rng.gauss(0, 1), first + datetime.timedelta(i % 1460)
+        rows.append((f"T{i}", at, at + datetime.timedelta(5), 1.0, float(x + rng.gauss(0, 0.7) > 0.8), x, rng.gauss(0, 1)))
     from panelspark.operators.evaluate import auc
-    scored = model.score_folds(df, rounds=3, depth=2, min_rows=20)
+    scored = model.score_folds(spark.createDataFrame(rows, PANEL), rounds=3, depth=2, min_rows=20)
     pdf = scored.toPandas()
-    assert len(pdf) == 375 and pdf.proba.between(0, 1).all()
+    want = [r[0] for r in rows if datetime.timedelta(1275) <= r[1] - first < datetime.timedelta(1455)]
+    assert sorted(pdf.ticker) == sorted(want) and set(pdf.fold) == {0} and pdf.proba.between(0, 1).all()
     assert auc(scored, ["fold"]).first().auc > 0.7
 
 
+def test_slices_of_folds_are_the_purged_assignment(spark):
+    rng = random.Random(2)
+    first = day("2018-01-01")
+    rows = []
+    for i in range(4000):
+        at = first + datetime.timedelta(rng.randrange(2000))
+        rows.append((f"T{i}", at, at + datetime.timedelta(rng.randrange(40)), 1.0, 0.0, 0.0, 0.0))
+    panel = spark.createDataFrame(rows, PANEL)
+    want = folds.purge(folds.assign_folds(panel)).select("fold", "role", "ticker").collect()
+    spans = folds.fold_calendar(panel).collect()
+    got = [(s.fold, r.role, r.ticker) for s in spans for r in folds.fold_rows(panel, s).select("role", "ticker").collect()]
+    assert len(spans) > 2 and sorted(got) == sorted(map(tuple, want))
+
+
 def test_liquid_universe_and_topk(spark):
     d = days(1)[0]
     rows = [(f"T{i}", d, 10.0, 10.0, 10.0, 10.0, 1000.0 * i) for i in range(1, 8)] + [("P", d, 4.0, 4.0, 4.0, 4.0, 1e9)]

@@ -1,4 +1,7 @@
+import hashlib
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +199,21 @@ def test_bundle_digest_follows_folds_only(spark, tmp_path):
     assert digest().digest != first.digest
 
 
+def test_hash_tree_is_a_plain_loop(spark):
+    rng = random.Random(4)
+    rows = [(f"f{rng.randrange(40)}.{i}", f"{rng.randrange(16 ** 8):08x}") for i in range(130)]
+    plain = [f"{n} {h}" for n, h in sorted(rows, key=lambda r: (int(re.search(r"\d+", r[0])[0]), *r))]
+    sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    while True:
+        plain = [sha(plain[k:k + 5]) for k in range(0, len(plain), 5)]
+        if len(plain) == 1:
+            break
+    df = spark.createDataFrame(rows, "name STRING, sha256 STRING")
+    for parts in (1, 7):
+        assert tuple(provenance.bundle_digest(df.repartition(parts), fan=5).first()) == (130, plain[0])
+    assert tuple(provenance.bundle_digest(df.limit(0)).first()) == (0, sha([]))
+
+
 def test_record_hash_ignores_column_order(spark):
     df = spark.createDataFrame([(1, "a", None)], "x INT, y STRING, z DOUBLE")
     a, b = df.select(provenance.record_hash(["x", "y", "z"]).alias("a"), provenance.record_hash(["z", "y", "x"]).alias("b")).first()
