@@ -51,19 +51,23 @@ def fit_trees(train: DataFrame, val: DataFrame, seed: int, rounds: int, depth: i
               tol: float) -> GBTClassificationModel:
     """Trees up to the round of the least validation error.
 
-    All prefixes of a fit are evaluated in one pass. While no ``patience`` rounds went by without a gain, the fit is done
+    Without patience, MLlib ends the fit at the first round without a gain. With it,
+    all prefixes of a fit are evaluated in one pass. While no ``patience`` rounds went by without a gain, the fit is done
     with twice the rounds; a fit with the same seed begins with the same trees, so the best prefix is the fit with as many.
     """
-    def fit(n: int) -> GBTClassificationModel:
+    def booster(n: int) -> GBTClassifier:
         return GBTClassifier(featuresCol="features", labelCol="label", maxIter=n, maxDepth=depth, seed=seed,
-                             minInstancesPerNode=min_rows, subsamplingRate=0.8).fit(train)
+                             minInstancesPerNode=min_rows, subsamplingRate=0.8)
 
+    if not patience:
+        both = train.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
+        return booster(rounds).setValidationIndicatorCol("is_val").setParams(validationTol=tol).fit(both)
     n = min(rounds, patience + max(1, patience // 2))
     while True:
-        trees = fit(n)
+        trees = booster(n).fit(train)
         best, over = best_round(trees.evaluateEachIteration(val), patience, tol)
         if over or n == rounds:
-            return trees if best == n else fit(best)
+            return trees if best == n else booster(best).fit(train)
         n = min(rounds, 2 * n)
 
 
@@ -79,7 +83,7 @@ def calibrated(model: IsotonicRegressionModel, rows: DataFrame) -> DataFrame:
 
 
 def fit_fold(train: DataFrame, val: DataFrame, seed: int = 0, rounds: int = 20, depth: int = 5,
-             min_rows: int = 200, tol: float = 0.0, patience: int = 20) -> FoldModel:
+             min_rows: int = 200, tol: float = 0.0, patience: int = 0) -> FoldModel:
     """Fit trees on the training rows, keep the rounds up to the best on the validation rows, calibrate on validation."""
     cols = model_columns(train)
     assembler = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="error")

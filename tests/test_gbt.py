@@ -24,7 +24,7 @@ def test_registered_fits_are_whole(monkeypatch, spark):
     monkeypatch.setattr(model, "evaluate_folds", evaluate_folds)
     queries.QUERIES["gbt_evaluation"](spark, "none")
     assert asked["rounds"] >= 300 and asked["depth"] == 6 and tuple(asked["seeds"]) == (0, 1, 2)
-    assert asked["trials"] == 200 and asked["patience"] == 20
+    assert asked["trials"] == 200
 
 
 def test_best_round_waits_for_patience():
@@ -50,6 +50,13 @@ def test_patience_ends_the_fit(monkeypatch, spark):
     assert 1 <= fitted.trees.getNumTrees < 30
 
 
+def test_first_stop_ends_the_fit(monkeypatch, spark):
+    monkeypatch.setattr(model, "model_columns", lambda df: ["x", "y"])
+    rows = noise(spark, False)
+    fitted = model.fit_fold(rows.where("x < 0.5"), rows.where("x >= 0.5"), rounds=30, depth=2, min_rows=10)
+    assert 1 <= fitted.trees.getNumTrees < 30
+
+
 def test_bad_rounds_before_better_ones(monkeypatch, spark):
     """Errors that rise and fall below the first again: the later round stays, with the trees of the longer fit."""
     monkeypatch.setattr(model, "model_columns", lambda df: ["x", "y"])
