@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from panelspark.session import materialize
 
-def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def ordered_counts(df: DataFrame, by: Sequence[str], value: str, **more: Column) -> DataFrame:
     """One row per distinct non-null value: ``n`` rows hold it, ``below`` rows hold
-    a smaller one, ``total`` rows are in the group."""
+    a smaller one, ``total`` rows are in the group; ``more`` are further aggregates of its rows."""
     by = list(by)
     counts = (df.where(F.col(value).isNotNull())
-              .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")))
+              .groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in more.items()]))
     slotted = materialize(counts.repartitionByRange(*by, value).select(
-        *by, value, "n", F.spark_partition_id().alias("_slot")))
+        *by, value, "n", *more, F.spark_partition_id().alias("_slot")))
     inside = Window.partitionBy(*by, "_slot").orderBy(value)
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     slots = Window.partitionBy(*by).orderBy("_slot")
@@ -42,7 +42,7 @@ def ordered_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
         F.sum("_m").over(Window.partitionBy(*by)).alias("total"))
     return (slotted.withColumn("_run", F.sum("n").over(running))
             .join(offsets, [*by, "_slot"])
-            .select(*by, value, "n",
+            .select(*by, value, "n", *more,
                     (F.col("_before") + F.col("_run") - F.col("n")).alias("below"), "total"))
 
 
@@ -56,6 +56,16 @@ def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, pct: bo
     return df.join(lookup, [*keys, value], "left").select(*df.columns, out)
 
 
+def share_cut(df: DataFrame, by: Sequence[str], value: str, share: float, out: str = "cut") -> DataFrame:
+    """The smallest value of each group whose average rank, as a share of the group, is at least ``share``.
+
+    Average ranks rise with the value, so a row ranks there exactly where its value is not below the cut: one row
+    per group goes back to the rows in place of a rank per value.
+    """
+    rank = (F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)) / F.col("total")
+    return ordered_counts(df, by, value).where(rank >= share).groupBy(*by).agg(F.min(value).alias(out))
+
+
 def bounded_rank(by: Sequence[str], value: str) -> Column:
     """Average rank as a plain window, for groups with a proven size bound such as
     the months of one strategy."""

@@ -48,6 +48,29 @@ def add_features(bars: DataFrame) -> DataFrame:
         (close / F.col("_ma50") - 1).alias("ma50_gap"))
 
 
+def with_complete(bars: DataFrame) -> DataFrame:
+    """``bars`` with ``complete``: whether ``add_features`` gives the row every feature, neither null nor NaN.
+
+    A trailing window is full where the last row that spoils it lies before the window, so running maxima of row
+    numbers answer what the features' sliding frames would; only the mean volume must be taken, as it may be 0.
+    """
+    w = own_rows()
+    close, last = F.col("Close"), F.lag("Close", 1).over(w)
+    log_close = F.ln(close)
+    spoilt = lambda c: c.isNull() | F.isnan(c)
+    base = bars.select(
+        "*", F.row_number().over(w).alias("_n"), (log_close - F.lag(log_close, 1).over(w)).alias("_ret"),
+        ((F.col("High") - F.col("Low")) / last).alias("_range"), (close - last).alias("_change"),
+        gated(F.avg, F.col("Volume"), 20, w).alias("_volume"))
+    past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = lambda hit: F.coalesce(F.max(F.when(hit, F.col("_n"))).over(past), F.lit(0))
+    ret, n = F.col("_ret"), F.col("_n")
+    full = ((n >= 50) & (at(spoilt(close)) <= n - 50) & (at(spoilt(ret) | (F.abs(ret) == float("inf"))) <= n - 20)
+            & (at(spoilt(F.col("_range"))) <= n - 20) & (at(F.col("_change") < 0) > n - 14)
+            & ~spoilt(F.col("Volume") / F.nullif(F.col("_volume"), F.lit(0.0)) - 1))
+    return base.select(*bars.columns, full.alias("complete"))
+
+
 def add_alpha(panel: DataFrame, alpha: DataFrame | None) -> DataFrame:
     """Plug a date-keyed outside series (``Date``, ``alpha_1``); null where absent."""
     return panel if alpha is None else panel.join(alpha.select("Date", "alpha_1"), "Date", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,9 @@ def fold_calendar(panel: DataFrame, train: int = TRAIN_DAYS, val: int = VAL_DAYS
         F.date_add(start, val).alias("test_start"), F.date_add(start, val + test).alias("test_end"))
 
 
-def assign_folds(panel: DataFrame, train: int = TRAIN_DAYS, val: int = VAL_DAYS, test: int = TEST_DAYS) -> DataFrame:
-    """Every panel row once per (fold, role) whose range holds its date.
+def assign_folds(panel: DataFrame, train: int = TRAIN_DAYS, val: int = VAL_DAYS, test: int = TEST_DAYS,
+                 roles: Sequence[str] = ("train", "val", "test")) -> DataFrame:
+    """Every panel row once per (fold, role) whose range holds its date, for the ``roles`` asked for.
 
     Folds lie on a regular grid, so the memberships follow from the day offset; no
     range join is needed. The only side input is the date span, a scalar subquery.
@@ -37,13 +40,16 @@ def assign_folds(panel: DataFrame, train: int = TRAIN_DAYS, val: int = VAL_DAYS,
         # fold k covers [start + k*test, start + length + k*test) in day offsets
         low = F.greatest(F.floor((day - start - length) / test) + 1, F.lit(0)).cast("int")
         high = F.least(F.floor((day - start) / test).cast("int"), last)
+        if length <= test:  # ranges that don't overlap hold a day once at most
+            return F.when(low <= high, F.array(F.struct(low.alias("fold"), F.lit(role).alias("role"))))
         return F.when(low <= high, F.transform(
             F.sequence(low, high), lambda k: F.struct(k.alias("fold"), F.lit(role).alias("role"))))
 
-    roles = F.concat(*[F.coalesce(m, F.array().cast("array<struct<fold:int,role:string>>")) for m in (
-        members("train", 0, train), members("val", train, val), members("test", train + val, test))])
+    spans = {"train": (0, train), "val": (train, val), "test": (train + val, test)}
+    none = F.array().cast("array<struct<fold:int,role:string>>")
+    found = F.concat(*[F.coalesce(members(r, *spans[r]), none) for r in roles])
     placed = panel.withColumn("_s", span).select(
-        *panel.columns, "_s", F.explode(roles).alias("_m"))
+        *panel.columns, "_s", F.explode(found).alias("_m"))
     val_start = F.date_add("_s.a", F.lit(train) + F.col("_m.fold") * test)
     return placed.select(*panel.columns, "_m.fold", "_m.role", val_start.alias("val_start"),
                          F.date_add(val_start, val).alias("test_start"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.columns import hash_unit, padded
 from panelspark.operators.folds import assign_folds
-from panelspark.operators.labels import build_panel
+from panelspark.operators.labels import build_panel, labelled_rows
 from panelspark.session import shared
 from panelspark.sources.bars import BAR_COLUMNS, bars_from_lines
 
@@ -54,7 +54,9 @@ def build_scores(spark: SparkSession, sf_dir: str, arms: tuple[str, ...] = ("leg
                  names: str = "nation") -> DataFrame:
     """Scored test rows of every fold for two arms, with reproducible md5 scores; the
     second arm perturbs the first."""
-    test = assign_folds(panel(spark, sf_dir, names)).where(F.col("role") == "test")
+    # The nations' panel serves many queries; of the suppliers' only the labels are asked for, so no features are written.
+    rows = panel(spark, sf_dir) if names == "nation" else labelled_rows(all_bars(spark, sf_dir, names=names), MARKET)
+    test = assign_folds(rows.select("ticker", "Date", "Close", "label"), roles=("test",))
     day = F.date_format("Date", "yyyy-MM-dd")
     first, other = hash_unit(F.lit("legacy"), "ticker", day), hash_unit(F.lit("other"), "ticker", day)
     proba = {"legacy": first, "corrected": F.lit(0.8) * first + F.lit(0.2) * other}

@@ -6,7 +6,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark import session
 from panelspark.operators import features, folds, labels, model, select
+from panelspark.sources import fixtures
 from tests.helpers import bars, day, days
 from tests.test_ledger import random_market
 
@@ -167,3 +169,73 @@ def test_liquid_universe_and_topk(spark):
     assert [r.ticker for r in select.liquid_universe(px, 3, 5.0, 15_000.0).orderBy("rn").collect()] == ["T7", "T6", "T5"]
     own = spark.createDataFrame([(d, f"T{i:02d}", i / 10) for i in range(30)], "d0 DATE, ticker STRING, mom DOUBLE")
     assert sorted(r.ticker for r in select.pick_momentum_topk(own).collect()) == [f"T{i}" for i in range(25, 30)]
+
+
+def odd_bars(spark):
+    """Series with nulls, NaN, flat runs, falls to zero and volumes that average 0, and the market's."""
+    rng, nan, ds, rows = random.Random(7), float("nan"), days(170), []
+    for t in ["A", "B", "C", "D", "E", "F", "G", "MKT"]:
+        c = 50.0
+        for i, d in enumerate(ds):
+            c = c if t == "A" and 60 <= i < 95 else max(1.0, c + rng.choice([-1.0, 0.0, 1.5, -0.5]))
+            o, h, l, k, v = c, c + 1, c - 1, c, 10.0
+            if t == "B" and 70 <= i < 100:
+                v = 0.0
+            if t == "C" and i in (40, 121):
+                k = None
+            if t == "D" and i in (30, 130):
+                k = nan
+            if t == "E" and i in (55, 110):
+                h = None if i == 55 else nan
+            if t == "F" and i == 90:
+                v = None
+            if t == "G" and 60 <= i < 100:
+                v = 10.0 if i % 2 else -10.0
+            rows.append((t, d, o, h, l, k, v))
+    schema = "ticker STRING, Date STRING, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume DOUBLE"
+    return spark.createDataFrame([(r[0], str(r[1]), *r[2:]) for r in rows], schema).withColumn("Date", F.col("Date").cast("date"))
+
+
+def test_complete_rows_are_those_with_all_features(spark):
+    rows = odd_bars(spark)
+    want = {(r.ticker, r.Date) for r in features.add_features(rows).dropna(subset=features.FEATURES).collect()}
+    flagged = features.with_complete(rows)
+    got = {(r.ticker, r.Date) for r in flagged.where("complete").collect()}
+    assert got == want and 0 < len(want) < flagged.count() == rows.count()
+    assert flagged.where("complete IS NULL").count() == 0
+
+
+def test_labelled_rows_are_the_panel_without_features(spark):
+    rows = odd_bars(spark)
+    columns = ["ticker", "Date", "Close", "fwd_ret", "mkt_fwd", "excess", "label_end", "label"]
+    side = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    got = side(labels.labelled_rows(rows))
+    assert got == side(labels.build_panel(rows)) and len({r[-1] for r in got}) == 2
+
+
+def test_suppliers_scores_write_no_features(spark, monkeypatch):
+    """The scores of the wide queries need labels only; neither a panel nor rows with features are written."""
+    written, plain = [], labels.materialize
+    monkeypatch.setattr(labels, "materialize", lambda df: written.append(df.columns) or plain(df))
+    sf = "/root/testdata/sf0.001"
+    got = fixtures.build_scores(spark, sf, names="supplier")
+    assert got.columns == ["arm", "fold", "ticker", "Date", "Close", "label", "proba"] and got.count() > 0
+    assert written == [["Date", "ticker", "Close", "complete", "fwd_ret", "label_end", "mkt_fwd"]]
+    assert not any(key == f"panel supplier {sf}" for _, key in session._shared)
+
+
+def test_labels_join_one_cut_a_date(spark):
+    """Ranks don't go back to the rows by value: a date's cut is joined by date alone."""
+    rows = random_market(22, "ABCDE", 90) + [("MKT", d, 50.0 + i) for i, d in enumerate(days(90))]
+    panel = labels.add_labels(bars(spark, rows).select("ticker", "Date", "Close"), bars(spark, rows).where("ticker = 'MKT'"))
+    plan = panel._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.splitlines() if "Join" in line]
+    assert keys and not any("excess" in line for line in keys)
+
+
+@pytest.mark.parametrize("role", ["train", "val", "test"])
+def test_folds_of_one_role(spark, role):
+    panel = bars(spark, [("A", d, 1.0) for d in days(1600)])
+    every = folds.assign_folds(panel, 400, 90, 90)
+    side = lambda df: sorted(tuple(r) for r in df.collect())
+    assert side(folds.assign_folds(panel, 400, 90, 90, roles=(role,))) == side(every.where(F.col("role") == role)) != []
