@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.columns import correlation
-from panelspark.functions.ranks import average_rank
+from panelspark.functions.joins import beside
+from panelspark.functions.ranks import average_rank, ordered_counts
 
 EPS = 1e-12
 
@@ -46,12 +47,16 @@ def summarize(ledger: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def auc(df: DataFrame, by: Sequence[str], label: str = "label", score: str = "proba") -> DataFrame:
-    """Area under the ROC curve by rank sum; null where only one class is present."""
-    ranked = average_rank(df, by, score, "_rank")
-    pos, rows = F.sum(F.col(label)), F.count(F.lit(1))
-    sums = ranked.groupBy(*by).agg(
-        rows.alias("rows"), F.count_if(F.col(label) == 1).alias("positives"),
-        F.sum(F.when(F.col(label) == 1, F.col("_rank"))).alias("_s"))
+    """Area under the ROC curve by rank sum; null where only one class is present.
+
+    Positives are counted with the score's distinct values, so no rank goes back to the rows.
+    """
+    positive = F.count_if(F.col(label) == 1)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), positive.alias("positives"))
+    rank = F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)
+    ranked = ordered_counts(df, by, score, hits=positive).where("hits > 0").groupBy(*by).agg(
+        F.sum(F.col("hits") * rank).alias("_s"))
+    sums = sizes.join(ranked, list(by), "left") if by else beside(sizes, ranked)
     p, n = F.col("positives"), F.col("rows") - F.col("positives")
     return sums.select(*by, "rows", "positives", F.when(
         (p > 0) & (n > 0), (F.col("_s") - p * (p + 1) / 2) / F.nullif(p * n, F.lit(0))).alias("auc"))

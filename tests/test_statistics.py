@@ -32,6 +32,17 @@ def test_auc_against_pairs(spark):
     assert got["f"] == pytest.approx(want) and got["one"] is None
 
 
+def test_auc_joins_no_ranks_to_rows(spark):
+    """Only groups and slots are joined, never rows by their score; null scores count as rows and positives without a rank."""
+    df = spark.createDataFrame([("f", 1.0, 0.9), ("f", 0.0, 0.1), ("f", 1.0, 0.1), ("f", 0.0, None), ("g", 1.0, 0.5)],
+                               "fold STRING, label DOUBLE, proba DOUBLE")
+    out = evaluate.auc(df, ["fold"])
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("proba" in line for line in joins)
+    # Ranks are 1.5, 1.5 and 3: (4.5 - 3) / (2 * 2).
+    assert {r.fold: (r.rows, r.positives, r.auc) for r in out.collect()} == {"f": (4, 2, 0.375), "g": (1, 1, None)}
+
+
 def test_bootstrap_blocks_are_circular_and_repeat(spark):
     s = series(spark, range(10))
     draws = stats.bootstrap_draws(s, "net", block=4, draws=20)
