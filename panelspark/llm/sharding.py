@@ -56,6 +56,8 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", **options)
     outer = counts.groupBy("g").agg(F.sum("n").alias("n")).select("g", (F.sum("n").over(
         Window.orderBy("g")) - F.col("n")).alias("outer"))
     offsets = inner.join(outer, "g").select("bucket", (F.col("inner") + F.col("outer")).alias("offset"))
+    # One row per bucket of bucket_bytes. Unless it is broadcast from the start, all records may be shuffled again for it.
+    offsets = F.broadcast(offsets)
     rows = done.count()
     at, n, k = F.col("offset") + F.col("place"), F.lit(max(1, rows)), F.lit(shards)
     return (done.join(offsets, "bucket")

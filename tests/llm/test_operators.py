@@ -261,6 +261,17 @@ def test_shards(case):
         assert len(slots) == 7 and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
 
 
+def test_shards_shuffle_records_once(spark, documents):
+    """The join with the buckets' offsets shuffles no records, whatever the planner knows of sizes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = sharding.shard(documents, shards=7, bucket_bytes=20_000)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = next(line for line in plan.splitlines() if "Join" in line)
+    assert "BroadcastHashJoin" in first and "bucket" in first
+
+
 def test_shards_keep_rows_and_mix(documents, tmp_path):
     sharding.write_shards(documents, str(tmp_path / "s"), shards=5)
     back = documents.sparkSession.read.parquet(str(tmp_path / "s"))
