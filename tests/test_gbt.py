@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from panelspark.operators import model
 from panelspark.plans import queries
 
@@ -77,3 +79,26 @@ def test_bad_rounds_before_better_ones(monkeypatch, spark):
         t.toDebugString.split("\n", 1)[1] for t in longer.trees.trees]
     given.clear()
     assert model.fit_fold(*sides, rounds=30, depth=2, min_rows=10, patience=2).trees.getNumTrees == 1
+
+
+def test_fits_take_as_many_tasks_as_their_rows_fill(monkeypatch, spark):
+    """A fold's rows in many small files are fitted on few tasks; more rows take more."""
+    class Seen(Exception):
+        pass
+
+    met = []
+
+    def fit_fold(train, val, seed, **params):
+        met.append((train.rdd.getNumPartitions(), val.rdd.getNumPartitions(), train.count(), val.count()))
+        raise Seen
+
+    rows = spark.range(200 * 1700).selectExpr(
+        "concat('S', id % 200) AS ticker", "date_add(DATE'2020-01-01', CAST(id / 200 AS INT)) AS Date", "1.0D AS Close",
+        "CAST(id % 5 = 0 AS DOUBLE) AS label", "date_add(DATE'2020-01-01', CAST(id / 200 AS INT) + 20) AS label_end")
+    plain = model.materialize
+    monkeypatch.setattr(model, "materialize", lambda df: plain(df.repartition(8)))
+    monkeypatch.setattr(model, "fit_fold", fit_fold)
+    with pytest.raises(Seen):
+        model.score_folds(rows, parallel=1)
+    train, val, train_rows, val_rows = met[0]
+    assert val == 1 and 1 < train == -(-train_rows // model.TASK_ROWS) < 8 and val_rows < model.TASK_ROWS
