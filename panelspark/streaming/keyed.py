@@ -106,6 +106,16 @@ def legs(stream: DataFrame, picks: DataFrame, late: str = "30 days", horizon: in
         follow(horizon), LEG, "held STRING", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def state_partitions(log: DataFrame, names: int = 100) -> int:
+    """A state partition for every ``names`` tickers of the log and one a core at least; never more than the session's setting.
+
+    Every micro-batch opens, asks and commits each partition, whether or not it holds a ticker. A checkpoint keeps the number it began with.
+    """
+    spark = log.sparkSession
+    tickers = log.select(F.explode(F.array("ticker", "market")).alias("ticker")).distinct().count()
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-tickers // names)))
+
+
 def grade_legs(spark: SparkSession, leg_path: str, log_path: str, grade_path: str, cost_bps: float, now: str | None = None) -> None:
     """Grades of pending picks both of whose legs are there."""
     rows = read_table(spark, leg_path, LEG)
@@ -138,5 +148,11 @@ def stream_grade_keyed(stream: DataFrame, log_path: str, grade_path: str, leg_pa
         batch.write.mode("overwrite").parquet(f"{leg_path}/batch={batch_id}")
         grade_legs(batch.sparkSession, leg_path, log_path, grade_path, cost_bps)
 
-    return (legs(stream, log, late, horizon).writeStream.option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).foreachBatch(run).start())
+    # A started query keeps the settings it was started with.
+    setting = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions(log)))
+    try:
+        return (legs(stream, log, late, horizon).writeStream.option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).foreachBatch(run).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", setting)

@@ -55,6 +55,26 @@ def test_batches_late_and_repeated_bars(spark, tmp_path):
     assert counts[-1] == want.count() > 20 and any(0 < c < counts[-1] for c in counts) and counts == sorted(counts)
 
 
+def test_state_partitions_follow_the_tickers(spark, tmp_path):
+    """Few tickers take a partition a core, not all that the session would shuffle to, and the session's setting stays."""
+    root, ds, key = str(tmp_path), days(40, "2026-01-05"), "spark.sql.shuffle.partitions"
+    tables.append_table(log_of(spark, ds, ["AAA", "BBB"]), f"{root}/log", tables.LOG_SCHEMA)
+    rows = [(n, d, 100.0, 130.0, 70.0, 100.0, 1.0) for n in ("AAA", "BBB", "MKT") for d in [*ds, ds[-1] + timedelta(60)]]
+    spark.createDataFrame(rows, BARS).coalesce(1).write.parquet(f"{root}/in")
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get(key)
+    spark.conf.set(key, str(3 * cores))
+    try:
+        query = keyed.stream_grade_keyed(grader.bars_stream(spark, f"{root}/in"), f"{root}/log", f"{root}/grades", f"{root}/legs", f"{root}/ckpt")
+        query.awaitTermination()
+        assert spark.conf.get(key) == str(3 * cores)
+        many = spark.range(20 * cores - 1).select(F.col("id").cast("string").alias("ticker"), F.lit("MKT").alias("market"))
+        assert [keyed.state_partitions(many, names) for names in (10, 5, 1000)] == [2 * cores, 3 * cores, cores]
+    finally:
+        spark.conf.set(key, before)
+    assert {s["numShufflePartitions"] for p in query.recentProgress for s in p["stateOperators"]} == {cores}
+    assert tables.read_table(spark, f"{root}/grades", tables.GRADE_SCHEMA).count() == 6
+
+
 def test_snapshot_check(spark, tmp_path):
     root, ds = str(tmp_path), days(30, "2026-01-05")
     log = log_of(spark, ds, ["AAA"])
