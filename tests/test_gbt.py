@@ -102,3 +102,52 @@ def test_fits_take_as_many_tasks_as_their_rows_fill(monkeypatch, spark):
         model.score_folds(rows, parallel=1)
     train, val, train_rows, val_rows = met[0]
     assert val == 1 and 1 < train == -(-train_rows // model.TASK_ROWS) < 8 and val_rows < model.TASK_ROWS
+
+
+def test_registered_fits_wait_for_better_rounds(monkeypatch, spark):
+    """As the reference's fits, the registered ones don't end at the first round without a gain."""
+    asked = {}
+
+    def score_folds(rows, **params):
+        asked.update(params)
+        return rows
+
+    monkeypatch.setattr(queries.fixtures, "panel", lambda *a: spark.range(1))
+    monkeypatch.setattr(queries, "shared", lambda spark, key, build: build())
+    monkeypatch.setattr(model, "score_folds", score_folds)
+    queries.gbt_rows(spark, "none")
+    assert asked["patience"] >= 20 and asked["rounds"] >= 300
+
+
+def test_rounds_tried_first_change_no_tree(monkeypatch, spark):
+    monkeypatch.setattr(model, "model_columns", lambda df: ["x", "y"])
+    rows = noise(spark, True)
+    sides = rows.where("x < 0.5"), rows.where("x >= 0.5")
+    made = [model.fit_fold(*sides, rounds=30, depth=2, min_rows=10, patience=2, start=n).trees for n in (0, 3, 17)]
+    assert 1 <= made[0].getNumTrees < 30
+    assert len({tuple(t.toDebugString.split("\n", 1)[1] for t in m.trees) for m in made}) == 1
+
+
+@pytest.mark.parametrize("patience", [0, 4])
+def test_every_fold_and_seed_is_fitted_once(monkeypatch, spark, patience):
+    """With patience the first seed of a fold goes ahead and tells the others how many rounds to try."""
+    met = []
+
+    class Fitted:
+        class trees:
+            getNumTrees = 7
+
+    def fit_fold(train, val, seed, **params):
+        met.append((seed, params["patience"], params["start"]))
+        return Fitted
+
+    rows = spark.range(20 * 1700).selectExpr(
+        "concat('S', id % 20) AS ticker", "date_add(DATE'2020-01-01', CAST(id / 20 AS INT)) AS Date", "1.0D AS Close",
+        "CAST(id % 5 = 0 AS DOUBLE) AS label", "date_add(DATE'2020-01-01', CAST(id / 20 AS INT) + 20) AS label_end")
+    monkeypatch.setattr(model, "fit_fold", fit_fold)
+    monkeypatch.setattr(model, "score", lambda fitted, rows: rows.selectExpr("*", "0.5D AS proba"))
+    out = model.score_folds(rows, seeds=(0, 1, 2), patience=patience)
+    spread = out.groupBy("fold", "seed").count().collect()
+    folds = {r["fold"] for r in spread}
+    assert {(r["fold"], r["seed"]) for r in spread} == {(f, s) for f in folds for s in (0, 1, 2)}
+    assert sorted(met) == sorted((s, patience, 15 if patience and s else 0) for _ in folds for s in (0, 1, 2))
